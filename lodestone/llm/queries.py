@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, licenses, neighbours, packing, quality, token_files, tokenize
+from . import html, licenses, lm, neighbours, packing, quality, token_files, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -56,6 +60,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_license_scan": op2_license_scan,
+    "op3_lm_scores": op3_lm_scores,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_main_text": op5_main_text,
     "op6_token_files": op6_token_files,

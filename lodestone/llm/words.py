@@ -44,10 +44,10 @@ def _weights(longest: int) -> np.ndarray:
 
 
 class Words:
-    """Words of consecutive rows: `hash` of each, `first[i]:first[i + 1]` those of row i."""
+    """Words of consecutive rows: `hash` of each, `first[i]:first[i + 1]` those of row i; `tail`: each one's last two bytes."""
 
-    def __init__(self, hashes: np.ndarray, first: np.ndarray):
-        self.hash, self.first = hashes, first
+    def __init__(self, hashes: np.ndarray, first: np.ndarray, tail: np.ndarray | None = None):
+        self.hash, self.first, self.tail = hashes, first, np.zeros(0, np.uint64) if tail is None else tail
 
     @property
     def counts(self) -> np.ndarray:
@@ -82,8 +82,11 @@ def words_of(texts: pa.Array) -> Words:
     sizes = np.diff(np.append(order, len(kept)))
     place = np.arange(len(kept)) - np.repeat(order, sizes)
     weights = _weights(int(sizes.max()))
-    sums = np.add.reduceat((_LOWER[raw[kept]].astype(np.uint64) + np.uint64(1)) * weights[place], order)
-    return Words(mix(sums + mix(sizes.astype(np.uint64))), np.searchsorted(starts, bounds))
+    low = _LOWER[raw[kept]].astype(np.uint64)
+    sums = np.add.reduceat((low + np.uint64(1)) * weights[place], order)
+    last = order + sizes - 1
+    tail = low[last] + np.where(sizes > 1, low[last - 1], 0) * np.uint64(256)
+    return Words(mix(sums + mix(sizes.astype(np.uint64))), np.searchsorted(starts, bounds), tail)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
