@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, licenses, lm, near_dedup, neighbours, packing, quality, token_files, tokenize
+from . import html, licenses, lm, near_dedup, neighbours, packing, passages, quality, token_files, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), *vocabulary("byte_bpe_50k.json"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents")).drop("did")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.classes(table(spark, sf_dir, "documents"), size=3, percent=85)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_main_text": op5_main_text,
     "op6_token_files": op6_token_files,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
