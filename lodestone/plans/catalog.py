@@ -2,5 +2,449 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import metrics as M
+from ..functions import text as X
+from ..operators import answering, chunking, dense, evaluation, fusion, sparse
+from .store import report_rows, row_digest
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def register(fn: Query) -> Query:
+        def widened(spark: SparkSession, folder: str) -> DataFrame:
+            out = fn(spark, folder)
+            return out.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes])
+
+        QUERIES[fn.__name__] = widened
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+# SQL fragments -----------------------------------------------------------------
+
+
+def tok(x: str) -> str:
+    """Tokens of a text."""
+    cut = rf"regexp_replace(regexp_replace(coalesce({x}, ''), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g')"
+    return f"list_filter(string_split(lower(regexp_replace({cut}, '[^a-zA-Z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
+
+
+def words(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z_][a-z0-9_]*')"
+
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+
+
+def qtok(x: str) -> str:
+    expanded = f"flatten(list_transform({tok(x)}, lambda t: CASE WHEN t IN ('handled', 'handles', 'handling') THEN [t, 'handle', 'handler'] ELSE [t] END))"
+    kept = f"list_filter({expanded}, lambda t: t NOT IN ({_STOP}))"
+    return f"CASE WHEN len({kept}) > 0 THEN {kept} ELSE {expanded} END"
+
+
+def lines_sql(x: str) -> str:
+    cut = rf"string_split(regexp_replace({x}, '\r\n?', chr(10), 'g'), chr(10))"
+    return f"CASE WHEN {x} = '' THEN [] WHEN {cut}[-1] = '' THEN {cut}[:-2] ELSE {cut} END"
+
+
+POSTINGS = f"""docs AS (SELECT doc_id, {tok("text")} AS toks FROM documents),
+postings AS (SELECT doc_id, term, count(*) AS tf, first(dl) AS dl FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM docs) GROUP BY doc_id, term),
+stats AS (SELECT count(*) AS n, avg(len(toks)) AS a FROM docs),
+raw AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+raws AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM raw, stats),
+idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raws) ELSE r END AS idf FROM raws)"""
+
+BM25 = f"""{POSTINGS},
+asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({qtok("text")}) AS term FROM benchmark WHERE trim(text) <> '') GROUP BY query_id, term),
+bm25 AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score
+  FROM asked JOIN idf USING (term) JOIN postings USING (term), stats GROUP BY query_id, doc_id),
+ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm25 WHERE score > 0)"""
+
+
+def knn_sql(asked: str) -> str:
+    return f"""near AS (SELECT q.query_id, e.vec_id AS doc_id, list_cosine_similarity(CAST(q.v AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score
+  FROM ({asked}) q, embeddings e),
+knn AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM near)"""
+
+
+ASKED_VECTORS = "SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0"
+
+
+# BM25 --------------------------------------------------------------------------
+
+
+@query(f"WITH {POSTINGS} SELECT doc_id, term, tf FROM postings")
+def tokenize_term_freq(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.term_frequencies(table(spark, d, "documents")).select("doc_id", "term", "tf")
+
+
+@query(f"WITH {POSTINGS} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def doc_freq_idf(spark: SparkSession, d: str) -> DataFrame:
+    index = sparse.build(table(spark, d, "documents"))
+    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {POSTINGS} SELECT n AS n_docs, round(a, 6) AS avg_len FROM stats")
+def doc_length_stats(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.document_stats(table(spark, d, "documents")).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+
+
+@query(
+    f"""SELECT id, array_to_string({qtok("q")}, ' ') AS tokens FROM (
+  SELECT CAST(item_id AS VARCHAR) AS id, text AS q FROM benchmark
+  UNION ALL SELECT * FROM (VALUES ('a', 'How is the HTTPSError handled by getUser_id?'), ('b', 'where is the'), ('c', ''), ('d', 'handling XMLParser2 events')) v(id, q))"""
+)
+def query_token_expand(spark: SparkSession, d: str) -> DataFrame:
+    extra = spark.sql("SELECT * FROM VALUES ('a', 'How is the HTTPSError handled by getUser_id?'), ('b', 'where is the'), ('c', ''), ('d', 'handling XMLParser2 events') AS v(id, q)")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("q")).unionByName(extra)
+    return asked.select("id", F.array_join(X.query_tokens(F.col("q")), " ").alias("tokens"))
+
+
+def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
+    index = sparse.build(table(spark, d, "documents"))
+    return sparse.bm25_topk(index, table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), k, question="text")
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25(spark, d, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+# dense and fused ---------------------------------------------------------------
+
+
+def _knn(spark: SparkSession, d: str, k: int) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return dense.knn_topk(rows, rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), k)
+
+
+@query(f"WITH {knn_sql(ASKED_VECTORS)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM knn WHERE rank <= 10")
+def dense_knn_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""WITH {knn_sql(ASKED_VECTORS)}, hits AS (SELECT query_id, CAST(CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS DOUBLE) AS hit FROM knn
+  JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id WHERE rank <= 11 AND query_id <> doc_id)
+SELECT query_id, round(sum(hit) / count(*), 6) AS precision_at_10, max(hit) AS hit FROM hits GROUP BY query_id"""
+)
+def knn_label_precision(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "embeddings").select("vec_id", "label")
+    hits = _knn(spark, d, 11).filter("query_id <> doc_id")
+    own = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted"))
+    found = hits.join(own, "query_id").join(labels.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+    hit = F.when(F.col("label") == F.col("wanted"), 1.0).otherwise(0.0)
+    return found.groupBy("query_id").agg(F.round(F.avg(hit), 6).alias("precision_at_10"), F.max(hit).alias("hit"))
+
+
+@query(
+    f"""WITH {BM25}, {knn_sql("SELECT item_id AS query_id, embedding AS v FROM benchmark JOIN embeddings ON vec_id = item_id")},
+l AS (SELECT query_id, doc_id, rank AS dr, score FROM knn WHERE rank <= 10), r AS (SELECT query_id, doc_id, rank AS br FROM ranked WHERE rank <= 10),
+fused AS (SELECT coalesce(l.query_id, r.query_id) AS query_id, coalesce(l.doc_id, r.doc_id) AS doc_id, dr, br,
+  coalesce(CAST(1 AS DOUBLE) / (60 + dr), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + br), 0) AS s FROM l FULL JOIN r ON l.query_id = r.query_id AND l.doc_id = r.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, dr NULLS LAST, br NULLS LAST) AS rank FROM fused)
+SELECT query_id, doc_id, round(s, 9) AS rrf_score, dr AS dense_rank, br AS bm25_rank, rank FROM o WHERE rank <= 5"""
+)
+def rrf_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(rows.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    out = fusion.hybrid_search(lambda n: dense.knn_topk(rows, asked, n), lambda n: _bm25(spark, d, n), 5)
+    return out.select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf_score"), "dense_rank", "bm25_rank", "rank")
+
+
+@query(
+    """SELECT conv_id, turn, array_to_string(list_filter([lag(turn, 2) OVER w, lag(turn, 1) OVER w, lead(turn, 1) OVER w, lead(turn, 2) OVER w], lambda x: x IS NOT NULL), ',') AS linked
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
+)
+def linked_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    near = fusion.linked_neighbours(table(spark, d, "conversations"), 2, ("conv_id",), ("turn",), "turn")
+    return near.select("conv_id", "turn", F.array_join(F.transform("linked", lambda x: x.cast("string")), ",").alias("linked"))
+
+
+@query("SELECT text_hash, doc_id FROM (SELECT sha256(text) AS text_hash, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS p FROM documents) WHERE p = 1")
+def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", X.text_hash(F.col("text")).alias("text_hash"))
+    return docs.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query(
+    """WITH hits AS (SELECT conv_id AS query_id, turn AS rank, turn // 2 AS doc_id, lead(turn // 2) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+p AS (SELECT query_id, rank, 0 AS payload, doc_id FROM hits UNION ALL SELECT query_id, rank, 1, nxt FROM hits WHERE nxt IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, payload) AS n FROM p)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, payload) AS position, doc_id, payload = 0 AS is_primary FROM o WHERE n = 1"""
+)
+def linked_payload_order(spark: SparkSession, d: str) -> DataFrame:
+    half = F.floor(F.col("turn") / 2)
+    hits = table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), half.alias("doc_id"))
+    following = F.lead("doc_id").over(Window.partitionBy("query_id").orderBy("rank"))
+    return fusion.flatten_hits(hits.withColumn("linked", F.when(following.isNotNull(), F.array(following))))
+
+
+# chunking ----------------------------------------------------------------------
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, len({lines_sql("text")}) AS n FROM documents), w AS (SELECT doc_id, n, unnest(range(CAST(greatest(1, ceil((n - 5) / 35.0)) AS BIGINT))) AS part FROM l)
+SELECT doc_id, part, part * 35 AS begin_line, least(part * 35 + 40, n) AS end_line FROM w"""
+)
+def line_window_split(spark: SparkSession, d: str) -> DataFrame:
+    cut = table(spark, d, "documents").select("doc_id", F.posexplode(chunking.line_windows(F.size(chunking.lines_of(F.col("text"))), 40, 5)).alias("part", "w"))
+    return cut.select("doc_id", F.col("part").cast("long").alias("part"), F.col("w.begin").cast("long").alias("begin_line"), F.col("w.end").cast("long").alias("end_line"))
+
+
+@query("SELECT doc_id, substr(sha1(concat_ws(':', source, lang, CAST(doc_id AS VARCHAR), CAST(n_chars AS VARCHAR))), 1, 16) AS chunk_id, sha256(text) AS text_sha256 FROM documents")
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", X.chunk_id(F.col("source"), F.col("lang"), F.col("doc_id"), F.col("n_chars")).alias("chunk_id"), X.text_hash(F.col("text")).alias("text_sha256"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM (SELECT doc_id, {lines_sql("text")} AS x FROM documents)),
+b AS (SELECT *, trim(line, ' ') = '' AS blank FROM l), o AS (SELECT *, CASE WHEN NOT blank AND coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY pos), true) THEN 1 ELSE 0 END AS opens FROM b),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM o)
+SELECT doc_id, CAST(section AS BIGINT) AS section, min(pos) + 1 AS first_line, max(pos) + 1 AS last_line, count(*) AS n_lines FROM s WHERE NOT blank GROUP BY doc_id, section"""
+)
+def paragraph_sections(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.paragraph_sections(table(spark, d, "documents"))
+
+
+@query()
+def readme_sections(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit("/README.md")).alias("filepath"), F.col("text").alias("raw_content"))
+    return chunking.chunk_files(files, 40, 5).drop("source")
+
+
+def _page_path() -> F.Column:
+    bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return F.regexp_replace(bare, "/+$", "")
+
+
+_PATH = "regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/+$', '')"
+
+
+@query(
+    f"""WITH f AS (SELECT CASE WHEN page_id % 3 = 0 THEN {_PATH} || '.js' WHEN page_id % 3 = 1 THEN {_PATH} || '/README.md' ELSE {_PATH} END AS path, html FROM pages),
+r AS (SELECT CASE WHEN NOT regexp_matches(lower(path), '(/readme\\.md|\\.(py|js|ts|java))$') THEN 'unsupported_type' WHEN len({lines_sql("html")}) > 3 THEN 'too_many_lines' END AS reason FROM f)
+SELECT reason, count(*) AS files FROM r WHERE reason IS NOT NULL GROUP BY reason"""
+)
+def skip_reason_counts(spark: SparkSession, d: str) -> DataFrame:
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(_page_path(), F.lit(".js"))).when(F.col("page_id") % 3 == 1, F.concat(_page_path(), F.lit("/README.md"))).otherwise(_page_path())
+    files = table(spark, d, "pages").select(path.alias("filepath"), F.col("html").alias("raw_content"))
+    return chunking.skip_counts(files.withColumn("skip_reason", chunking.skip_reason(F.col("filepath"), F.col("raw_content"), 3)))
+
+
+@query(
+    f"""SELECT page_id, {_PATH} AS path FROM pages WHERE ({_PATH} LIKE 'm.%' OR {_PATH} = 'm' OR regexp_matches({_PATH}, '^[^/]+/(en|fr)/')) AND NOT regexp_matches({_PATH}, '^[^/]+/fr/')"""
+)
+def path_prefix_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages").select("page_id", _page_path().alias("path")).withColumn("below", F.regexp_replace("path", "^[^/]+/", ""))
+    kept = chunking.filter_paths(rows, ("en", "fr"), ("fr",), False, "below").filter("below <> path")
+    mobile = rows.filter(F.col("path").startswith("m.") & ~F.col("path").rlike("^[^/]+/fr/") & ~chunking.under_prefix(F.col("below"), "en"))
+    return kept.unionByName(mobile).select("page_id", "path")
+
+
+@query("SELECT item_id, sha256(CAST(item_id AS VARCHAR) || chr(0) || text || chr(0)) AS row_sha256 FROM benchmark")
+def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select("item_id", row_digest(F.col("item_id"), F.col("text")).alias("row_sha256"))
+
+
+# answers -----------------------------------------------------------------------
+
+_TURNS = "SELECT a.conv_id, a.turn, a.text AS truth, b.text AS answer FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn's text and the next one's."""
+    rows = table(spark, d, "conversations")
+    following = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return rows.select("conv_id", "turn", F.col("text").alias("truth")).join(following, ["conv_id", "turn"])
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, list_distinct({words("answer")}) AS a, list_distinct({words("truth")}) AS b FROM ({_TURNS}))
+SELECT conv_id, turn, round(CASE WHEN len(b) > 0 THEN len(list_intersect(a, b)) / CAST(len(b) AS DOUBLE) ELSE 0 END, 6) AS overlap FROM t"""
+)
+def token_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _turns(spark, d).select("conv_id", "turn", F.round(M.token_overlap(F.col("answer"), F.col("truth")), 6).alias("overlap"))
+
+
+_CLIPPED = f"""t AS (SELECT conv_id, turn, {words("answer")} AS a, {words("truth")} AS b FROM ({_TURNS})),
+ca AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(a) AS w FROM t) GROUP BY conv_id, turn, w),
+cb AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(b) AS w FROM t) GROUP BY conv_id, turn, w),
+c AS (SELECT ca.conv_id, ca.turn, sum(least(ca.n, cb.n)) AS common FROM ca JOIN cb ON ca.conv_id = cb.conv_id AND ca.turn = cb.turn AND ca.w = cb.w GROUP BY ca.conv_id, ca.turn),
+m AS (SELECT t.conv_id, t.turn, CAST(len(a) AS DOUBLE) AS n, CAST(len(b) AS DOUBLE) AS m, CAST(coalesce(common, 0) AS DOUBLE) AS c FROM t LEFT JOIN c ON c.conv_id = t.conv_id AND c.turn = t.turn)"""
+
+
+@query(f"WITH {_CLIPPED} SELECT conv_id, turn, round(CASE WHEN c > 0 THEN 2 * c / (n + m) ELSE 0 END, 6) AS rouge1_f1 FROM m")
+def rouge1(spark: SparkSession, d: str) -> DataFrame:
+    return _turns(spark, d).select("conv_id", "turn", F.round(M.rouge1(F.col("answer"), F.col("truth")), 6).alias("rouge1_f1"))
+
+
+@query(f"WITH {_CLIPPED} SELECT conv_id, turn, round(CASE WHEN n > 0 AND m > 0 THEN c / n * CASE WHEN n > m THEN 1 ELSE exp(1 - m / n) END ELSE 0 END, 6) AS bleu FROM m")
+def bleu1(spark: SparkSession, d: str) -> DataFrame:
+    return _turns(spark, d).select("conv_id", "turn", F.round(M.bleu1(F.col("answer"), F.col("truth")), 6).alias("bleu"))
+
+
+@query()
+def rougeL(spark: SparkSession, d: str) -> DataFrame:  # noqa: N802
+    return _turns(spark, d).select("conv_id", "turn", F.round(M.rouge_l(F.col("answer"), F.col("truth")), 6).alias("rougeL_f1"))
+
+
+_PAIRS = """s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM conversations WHERE role = 'assistant'),
+p AS (SELECT a.conv_id, a.i AS "left", b.i AS "right", CASE WHEN len(a.w) = 0 AND len(b.w) = 0 THEN 1 WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0
+  ELSE len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) END AS x FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.i < b.i)"""
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").filter("role = 'assistant'").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("sample"), F.col("text").alias("answer"))
+
+
+@query(f'WITH {_PAIRS} SELECT conv_id AS query_id, "left", "right", round(x, 6) AS lexical, round(x, 6) AS combined FROM p')
+def answer_agreement_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return answering.agreement_pairs(_samples(spark, d)).select("query_id", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), "lexical", "combined")
+
+
+@query(
+    f"""WITH {_PAIRS}, c AS (SELECT conv_id, round(avg(round(x, 6)), 6) AS confidence FROM p GROUP BY conv_id), g AS (SELECT conv_id, count(*) AS n FROM s GROUP BY conv_id),
+j AS (SELECT g.conv_id, n, coalesce(confidence, 0) AS confidence FROM g LEFT JOIN c ON c.conv_id = g.conv_id)
+SELECT conv_id AS query_id, n AS n_samples, confidence, CASE WHEN confidence >= 0.72 THEN 'high' WHEN confidence >= 0.57 THEN 'medium' ELSE 'low' END AS level, confidence < 0.72 AS should_refuse FROM j"""
+)
+def confidence_levels(spark: SparkSession, d: str) -> DataFrame:
+    samples = _samples(spark, d)
+    return answering.confidence(samples, answering.agreement_pairs(samples)).select("query_id", "n_samples", "confidence", "level", "should_refuse")
+
+
+@query(
+    """WITH r AS (SELECT conv_id, turn, text, sum(length(text) + 7) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 7 AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)
+SELECT conv_id, turn, CASE WHEN p = 1 AND length(text) > 400 THEN regexp_replace(substr(text, 1, 385), '\\s+$', '') || chr(10) || '...[truncated]' ELSE text END AS block FROM r WHERE used <= 400 OR p = 1"""
+)
+def prompt_budget(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("block"))
+    return answering.within_budget(rows, 400, "conv_id", "turn", "block")
+
+
+_ASCII = "regexp_replace(html, '[^\\x00-\\x7F]', ' ', 'g')"
+
+
+def _claims_sql(x: str) -> str:
+    found = ", ".join(f"regexp_extract_all({x}, '{p}', {g})" for p, g in X.CLAIMS)
+    return f"list_sort(list_distinct(list_filter(list_transform(flatten([{found}]), lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g')), lambda c: length(c) > 2)))"
+
+
+@query(f"SELECT page_id, array_to_string({_claims_sql('a')}, '|') AS claims, len(list_filter({_claims_sql('a')}, lambda c: NOT contains(url, c))) AS ungrounded FROM (SELECT page_id, url, {_ASCII} AS a FROM pages)")
+def grounding_claims(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages").withColumn("a", F.regexp_replace("html", r"[^\x00-\x7F]", " "))
+    return rows.select("page_id", F.array_join(X.claims(F.col("a")), "|").alias("claims"), F.size(X.ungrounded_claims(F.col("a"), F.col("url"))).cast("long").alias("ungrounded"))
+
+
+@query(
+    """WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text ELSE text || ' [' || CAST(turn AS VARCHAR) || '] [1]' END AS t FROM conversations), c AS (SELECT *, regexp_extract_all(t, '\\[([0-9]+)\\]', 1) AS n FROM a)
+SELECT conv_id, turn, len(n) = 0 OR len(list_filter(n, lambda x: CAST(x AS BIGINT) < 1 OR CAST(x AS BIGINT) > 3)) > 0 AS invalid FROM c"""
+)
+def citation_guard(spark: SparkSession, d: str) -> DataFrame:
+    t = F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" ["), F.col("turn").cast("string"), F.lit("] [1]")))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.invalid_citations(t, F.lit(3)).alias("invalid"))
+
+
+@query(
+    f"""SELECT page_id, array_to_string(list_filter(regexp_extract_all({_ASCII}, '\\b[A-Za-z_][A-Za-z0-9_]*\\b'), lambda t: contains(t, '_') OR regexp_matches(t, '[a-z][A-Z]')), ' ') AS required FROM pages"""
+)
+def required_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages").withColumn("a", F.regexp_replace("html", r"[^\x00-\x7F]", " "))
+    return rows.select("page_id", F.array_join(X.required_identifiers(F.col("a")), " ").alias("required"))
+
+
+@query(
+    """SELECT conv_id, turn, contains(t, 'cannot find') OR contains(t, 'can''t find') OR contains(t, 'not in the codebase') OR contains(t, 'not present') OR contains(t, 'no evidence')
+  OR contains(t, 'insufficient context') OR contains(t, 'do not have enough context') AS refusal FROM (SELECT conv_id, turn, lower(text || CASE WHEN turn % 4 = 0 THEN ' I cannot find this in the codebase.' ELSE '' END) AS t FROM conversations)"""
+)
+def refusal_markers(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat("text", F.when(F.col("turn") % 4 == 0, " " + X.REFUSAL_ANSWER).otherwise(""))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.is_refusal(said).alias("refusal"))
+
+
+# evaluation --------------------------------------------------------------------
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as scored items: their host is expected, every host's documents were 'retrieved'."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
+    ref = lambda a, b: F.struct(a.alias("filepath"), b.alias("function_name"))
+    items = table(spark, d, "labels").join(docs, "doc_id").select(
+        F.col("doc_id").alias("id"),
+        F.lit("q").alias("question"),
+        F.col("source").alias("ground_truth_answer"),
+        F.array(ref(F.col("source"), F.when(F.col("quality") == 1, F.col("lang"))), ref(F.lit("src1"), F.lit(None).cast("string"))).alias("ground_truth_context"),
+        (F.col("toxic") == 1).alias("expected_refusal"),
+    )
+    outputs = items.select("id", F.when(F.col("id") % 2 == 0, F.col("ground_truth_answer")).otherwise(X.REFUSAL_ANSWER).alias("answer"), F.array(ref(F.concat(F.lit("src"), (F.col("id") % 20).cast("string")), F.lit("en"))).alias("contexts"))
+    return evaluation.score_items(items, outputs)
+
+
+_RECORDS = """r AS (SELECT l.doc_id AS id, toxic = 1 AS refuse, d.source, 'src' || CAST(l.doc_id % 20 AS VARCHAR) AS got, CASE WHEN quality = 1 THEN d.lang END AS fn, l.doc_id % 2 = 0 AS even FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+m AS (SELECT *, CASE WHEN source = got AND (fn IS NULL OR fn = 'en') THEN 1 ELSE 0 END AS m1, CASE WHEN got = 'src1' THEN 1 ELSE 0 END AS m2 FROM r)"""
+
+
+@query(
+    f"""WITH {_RECORDS} SELECT id, CASE WHEN NOT refuse THEN CAST(CASE WHEN m1 + m2 > 0 THEN 1 ELSE 0 END AS DOUBLE) END AS context_hit, CASE WHEN NOT refuse THEN CAST((m1 + m2) / 2.0 AS DOUBLE) END AS context_recall,
+CASE WHEN NOT refuse THEN CAST(greatest(m1, m2) AS DOUBLE) END AS context_precision, CASE WHEN refuse THEN NOT even END AS refusal_correct, CAST(2 - m1 - m2 AS BIGINT) AS n_missing FROM m"""
+)
+def context_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("id", "context_hit", "context_recall", "context_precision", "refusal_correct", F.size("missing_contexts").cast("long").alias("n_missing"))
+
+
+@query(
+    f"""WITH {_RECORDS} SELECT CAST(CASE WHEN even THEN 'even' ELSE 'odd' END AS VARCHAR) AS condition_id, count(*) AS total_questions, count(*) FILTER (NOT refuse) AS answerable_questions, count(*) FILTER (refuse) AS refusal_questions,
+round(avg(CASE WHEN NOT refuse THEN CASE WHEN m1 + m2 > 0 THEN 1.0 ELSE 0.0 END END), 6) AS context_hit_rate, round(avg(CASE WHEN NOT refuse THEN (m1 + m2) / 2.0 END), 6) AS context_recall,
+round(avg(CASE WHEN NOT refuse THEN CAST(greatest(m1, m2) AS DOUBLE) END), 6) AS context_precision, round(avg(CASE WHEN NOT refuse THEN CASE WHEN even THEN 1.0 ELSE 0.0 END END), 6) AS answer_relevance_proxy,
+round(avg(CASE WHEN refuse THEN CASE WHEN even THEN 0.0 ELSE 1.0 END END), 6) AS refusal_accuracy FROM m GROUP BY even"""
+)
+def condition_summary(spark: SparkSession, d: str) -> DataFrame:
+    records = _records(spark, d).withColumn("condition_id", F.when(F.col("id") % 2 == 0, "even").otherwise("odd"))
+    out = evaluation.summary(records, "condition_id")
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query(
+    """SELECT d.source, round(avg(CAST(quality AS DOUBLE)), 6) AS answer_correctness, round(avg(1 - CAST(toxic AS DOUBLE)), 6) AS faithfulness, count(*) FILTER (toxic = 1) AS errors
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY d.source"""
+)
+def judge_summary(spark: SparkSession, d: str) -> DataFrame:
+    judged = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    judged = judged.select("source", X.clamp(F.col("quality")).alias("answer_correctness"), X.clamp(1 - F.col("toxic")).alias("faithfulness"), F.when(F.col("toxic") == 1, "toxic").alias("error"))
+    return evaluation.judge_summary(judged, "source").select("source", F.round("answer_correctness", 6).alias("answer_correctness"), F.round("faithfulness", 6).alias("faithfulness"), "errors")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, coalesce(event_type, '') AS event_type, coalesce(printf('%.6f', value), '') AS value FROM events")
+def report_format(spark: SparkSession, d: str) -> DataFrame:
+    return report_rows(table(spark, d, "events").select("event_id", "event_type", "value"))
+
+
+@query("""SELECT event_id, '{"event_id":' || CAST(event_id AS VARCHAR) || ',"user_id":' || CAST(user_id AS VARCHAR) || ',"event_type":"' || event_type || '"}' AS record FROM events""")
+def run_log_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type")).alias("record"))
+
+
+@query(
+    """SELECT conv_id, turn, rtrim(substr(ltrim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-') AS slug,
+CASE WHEN length(text) <= 50 THEN text ELSE regexp_replace(substr(text, 1, 35), '\\s+$', '') || chr(10) || '...[truncated]' END AS short FROM conversations"""
+)
+def slugs_and_limits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", X.slug(F.col("text")).alias("slug"), X.limit_text(F.col("text"), 50).alias("short"))
