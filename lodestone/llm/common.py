@@ -54,8 +54,10 @@ def written(frame: DataFrame, what: str) -> DataFrame:
 
 
 def input_bytes(frame: DataFrame) -> int:
-    """Size of the files that a frame reads, by Catalyst's statistics."""
-    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Size of the tables that a frame reads, by Catalyst's statistics; those of unknown size count as nothing."""
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
 
 
 def parts_for(frame: DataFrame, each: int = 32 << 20, least: int = 32) -> int:
