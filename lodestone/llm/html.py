@@ -1,8 +1,8 @@
 """Operator 5: main text of web pages from the events of the standard library's HTML parser.
 
 The events become lines, one for each block of text, with the number of tags inside.  The
-ratio of text to tags is smoothed along the page with a Gaussian; lines above a threshold
-are clustered into content.  What the markup itself names as navigation, header, footer,
+ratio of text to tags is smoothed along the page with a Gaussian; lines above a threshold,
+and not mostly links, are clustered into content.  What the markup itself names as navigation, header, footer,
 sidebar, notice, advert, form, comment section, script or style never counts.  If the page
 marks an article or main part that holds content, all its remaining blocks are the result,
 short ones too; else the clusters and the lines between them in their container.
@@ -45,22 +45,22 @@ _HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags inside, whether inside a marked main part, container."""
+    """Lines of a page: text, tags inside, characters in links, whether inside a marked main part, container."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.stack: list[tuple[str, bool]] = []  # element, whether it is left out
         self.left_out = self.main = self.serial = 0
         self.containers = [0]
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.links = self.linked = 0  # tags, characters in links, open links
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.main, self.containers[-1]))
-        self.text, self.tags = [], 0
+            self.lines.append((text, self.tags, self.links, self.main, self.containers[-1]))
+        self.text, self.tags, self.links = [], 0, 0
 
     @staticmethod
     def named_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -78,6 +78,7 @@ class Lines(HTMLParser):
         tag, out = self.stack.pop()
         self.left_out -= out
         self.main -= tag in MAIN
+        self.linked -= tag == "a"
         if tag not in INLINE and tag != "p":
             self.containers.pop()
 
@@ -99,6 +100,7 @@ class Lines(HTMLParser):
         self.stack.append((tag, out))
         self.left_out += out
         self.main += tag in MAIN
+        self.linked += tag == "a"
         if tag not in INLINE and tag != "p":
             self.serial += 1
             self.containers.append(self.serial)
@@ -136,6 +138,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.left_out:
             self.text.append(data)
+            if self.linked:
+                self.links += len(data)
 
     def close(self) -> None:
         super().close()
@@ -159,9 +163,10 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.25) -> str:
     page.close()
     if not page.lines:
         return ""
-    texts, tags, mains, containers = zip(*page.lines, strict=True)
+    texts, tags, links, mains, containers = zip(*page.lines, strict=True)
     score = smoothed(np.array([len(t) / (1 + n) for t, n in zip(texts, tags, strict=True)]), sigma)
-    content = score >= share * score.std()
+    mostly_links = np.array([2 * n > len(t) for t, n in zip(texts, links, strict=True)])
+    content = (score >= share * score.std()) & ~mostly_links
     main = np.array(mains) > 0
     if (content & main).any():
         chosen = main

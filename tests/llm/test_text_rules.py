@@ -114,4 +114,4 @@ def test_packing(spark, edges, nothing):
 
 def test_packing_tie_order():
     bins, offsets, capacities = packing.best_fit([8, 5, 5, 3, 3], (4, 8), 1)
-    assert bins == [0, 1, 2, 1, 2] and offsets == [0, 0, 0, 5, 5] and capacities == [8, 8, 8]
+    assert bins == [0, 1, 2, 2, 1] and offsets == [0, 0, 0, 5, 5] and capacities == [8, 8, 8]
