@@ -63,3 +63,18 @@ def input_bytes(frame: DataFrame) -> int:
 def parts_for(frame: DataFrame, each: int = 32 << 20, least: int = 32) -> int:
     """Partitions so that each has about `each` bytes of the files that a frame reads."""
     return max(least, -(-input_bytes(frame) // each))
+
+
+def release() -> None:
+    """Give freed memory of a Python worker back to the machine; idle workers are kept for a while."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
