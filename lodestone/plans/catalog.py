@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import text as X
 from ..operators import answering, chunking, dense, evaluation, fusion, sparse
+from ..session import importable
 from .store import report_rows, row_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +27,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(fn: Query) -> Query:
         def widened(spark: SparkSession, folder: str) -> DataFrame:
-            out = fn(spark, folder)
+            out = fn(importable(spark), folder)
             return out.select(*[F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in out.dtypes])
 
         QUERIES[fn.__name__] = widened

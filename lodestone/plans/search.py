@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import answering, dense, fusion, sparse
+from ..session import importable
 from .store import load_sparse
 
 
@@ -15,7 +16,7 @@ class Engine:
     """Retrieval and answering over the tables of one index."""
 
     def __init__(self, spark: SparkSession, path: str, embedder: dense.Embedder | None = None, window: int = 1):
-        self.spark, self.embedder, self.window = spark, embedder, window
+        self.spark, self.embedder, self.window = importable(spark), embedder, window
         self.index = load_sparse(spark, path)
         self.chunks = spark.read.parquet(f"{path}/chunks")
         self.vectors = spark.read.parquet(f"{path}/vectors")

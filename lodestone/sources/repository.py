@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import EVAL_ITEM
+from ..session import importable
 
 #: Folders that are never entered.
 IGNORED_DIRS = frozenset(
@@ -69,7 +70,7 @@ def read_repository(spark: SparkSession, root: str, all_folders: bool = False) -
         raise FileNotFoundError(root)
     if not Path(root).is_dir():
         raise NotADirectoryError(root)
-    spark.dataSource.register(RepositorySource)
+    importable(spark).dataSource.register(RepositorySource)
     return spark.read.format("repository").option("allFolders", str(all_folders).lower()).load(root)
 
 
