@@ -1,23 +1,18 @@
-"""What the operators share: folders that all machines see, and workers' import path."""
+"""What the operators share: folders that all machines see, tables written there, sizes, memory."""
 
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import importable
+
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let local Python workers import this package; a cluster has it installed or gets it by --py-files."""
-    root = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
-    return spark
+    return importable(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
