@@ -211,3 +211,30 @@ def keep(frame: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id"
     left = frame.withColumn("__key", F.col(key).cast("long")).join(gone, "__key", "left_anti").withColumn("__text", mark)
     single = left.filter("__key IS NOT NULL").dropDuplicates(["__key", "__text"])
     return single.unionByName(left.filter("__key IS NULL")).select(*columns)
+
+
+#: The classes of `documents` with 3-word shingles and 85 percent, by all pairs that share a shingle.
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+                               WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(node, seen) AS (
+  SELECT a, b FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.seen
+), least AS (
+  SELECT node, min(seen) AS m FROM reach GROUP BY node
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(l.m, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(l.m, w.doc_id)) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least l ON l.node = w.doc_id
+"""

@@ -81,5 +81,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.sql(),
+    "op8_near_duplicates": near_dedup.SQL,
     "op9_quality_rules": quality.SQL,
 }
