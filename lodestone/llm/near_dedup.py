@@ -196,9 +196,11 @@ def classes(frame: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS
     candidates = components(banded.join(stars, "band").filter("node <> centre"), "node", "centre")
     links = verified(frame, candidates, sketched, size, percent, key, text, block)
     roots = components(links)
-    labelled = sketched.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).select("id", "n_shingles", "node", "component")
-    smallest = labelled.filter("component IS NOT NULL AND id IS NOT NULL").groupBy("component").agg(F.min("id").alias("component_id"))
-    out = labelled.join(smallest, "component", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
+    firsts = usable.groupBy("node").agg(F.min("id").alias("first"))
+    # both are written first: a join of stored tables can be split where one component or class is hot
+    smallest = written(roots.join(firsts, "node").groupBy("root").agg(F.min("first").alias("least")), "least")
+    labels = written(firsts.join(roots, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("least", "first").alias("component_id")), "labels")
+    out = sketched.join(labels, "node", "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     return out.select(F.col("id").alias(key), "n_shingles", "node", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
