@@ -130,10 +130,11 @@ def rules(frame: DataFrame, host: str = "source", text: str = "text") -> DataFra
 
 def keep(frame: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows of the frame that the rules keep, with their columns as they were."""
-    columns = frame.columns
-    b = base(frame.select("*", F.coalesce(F.col(host), F.lit("")).alias("__host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__hash")), text)
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = frame.select(F.struct(*frame.columns).alias("__row"), t.alias("__t"), F.coalesce(F.col(host), F.lit("")).alias("__host"), F.xxhash64(t).alias("__hash"))
+    passed = base(rows, "__t").filter(~F.col("base_failed")).select("__row", "__host", "__hash")
     poor = depleted(frame, host, text).select(F.col("host").alias("__host"), F.col("text_hash").alias("__hash"))
-    return b.filter(~F.col("base_failed")).select(*columns, "__host", "__hash").join(poor, ["__host", "__hash"], "left_anti").select(*columns)
+    return passed.join(poor, ["__host", "__hash"], "left_anti").select("__row.*")
 
 
 SQL = """

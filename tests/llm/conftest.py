@@ -30,7 +30,7 @@ def edges(spark):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(edge_rows(), SCHEMA)
-    clash = {c: F.lit(1) for c in ("ids", "key", "node", "did", "root", "size", "shard", "kept", "n_tokens", "hash", "host", "block", "component", "id")}
+    clash = {c: F.lit(1) for c in ("ids", "key", "node", "did", "root", "size", "shard", "kept", "n_tokens", "hash", "host", "block", "component", "id", "n_words", "base_failed", "begin")}
     return docs.withColumns(clash)
 
 

@@ -32,4 +32,6 @@ def test_stages_of_edges(spark, edges, nothing, data):
             out = stage(spark, docs, data)
             assert out.columns == columns, name
             assert out.count() <= docs.count()
+            extra = [c for c in columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+            assert all(r[c] == 1 for r in out.collect() for c in extra)
         corpus_pipeline.STAGES[-1][1](spark, docs, data).count()
