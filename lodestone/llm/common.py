@@ -21,6 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(folder)
+    if "://" not in folder:  # a path on the cluster's default file system
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().replace("file:/", "file:///", 1)
     return folder.rstrip("/")
 
 
