@@ -12,12 +12,14 @@ import base64
 import os
 import re
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
+from .common import release
+
 #: Entries of each table of known strings; a table is emptied when full.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 350_000
 
 #: Spaces beside other white space, where a text cannot be cut, and the safe cuts.
 _UNSAFE = re.compile(r" (?:(?<=\s )|(?=\s))")
@@ -60,17 +62,31 @@ class Codec:
     `.json` file of the tokenizers library; `pattern` splits texts before the merges."""
 
     def __init__(self, path: str, pattern: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path) if path.endswith(".json") else _from_ranks(path)
-        self._merge = self.tokenizer.model.tokenize
-        self._pieces = regex.compile(pattern).findall
+        self._path, self._pattern = path, pattern
         self._characters = dict(enumerate(byte_alphabet()))
         self._of_piece: dict[str, bytes] = {}
         self._of_part: dict[str, bytes] = {}
         self._blobs: np.ndarray | None = None
 
+    @cached_property
+    def tokenizer(self):
+        """Needed for encoding alone, so that decoding workers stay small."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self._path) if self._path.endswith(".json") else _from_ranks(self._path)
+        release()
+        return made
+
+    @cached_property
+    def _merge(self):
+        return self.tokenizer.model.tokenize
+
+    @cached_property
+    def _pieces(self):
+        import regex
+
+        return regex.compile(self._pattern).findall
+
     def _piece(self, piece: str) -> bytes:
         """Ids of one match of the pattern."""
         ids = self._of_piece.get(piece)
@@ -114,13 +130,16 @@ class Codec:
 
     def _table(self) -> None:
         """Bytes of all tokens, one after another, and where each begins."""
-        value = {c: b for b, c in enumerate(byte_alphabet())}
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        tokens = [
-            special[i].encode() if i in special else bytes(value[c] for c in self.tokenizer.id_to_token(i) or "")
-            for i in range(size)
-        ]
+        if self._path.endswith(".json"):
+            value = {c: b for b, c in enumerate(byte_alphabet())}
+            special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+            tokens = [
+                special[i].encode() if i in special else bytes(value[c] for c in self.tokenizer.id_to_token(i) or "")
+                for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))
+            ]
+        else:
+            known = {rank: token for token, rank in read_ranks(self._path).items()}
+            tokens = [known.get(i, b"") for i in range(max(known) + 1)]
         self._sizes = np.array([len(t) for t in tokens], dtype=np.int64)
         self._starts = np.concatenate([[0], np.cumsum(self._sizes)[:-1]])
         self._blobs = np.frombuffer(b"".join(tokens), dtype=np.uint8)
