@@ -11,8 +11,8 @@ from lodestone.llm.common import scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.keep(docs)
+    """Documents that the rules reject go; the others lose their host's boilerplate lines."""
+    return quality.apply(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,14 +4,15 @@ Base rules look at one text.  The line rule counts, for each host and normalised
 distinct documents that hold it; exact copies of a text count once, since copies are for
 the near-duplicate stage to judge.  A line is boilerplate if more than `min_docs` documents
 and more than `max_share` of the host's hold it; a document of which less than `min_left`
-of the words remain without such lines is depleted and rejected.
+of the words remain without such lines is depleted and rejected.  `apply` also
+removes the lines from the texts that it keeps.
 
 Counts are pre-aggregated where the rows are read, first by (host, line, text), so neither
 a hot host nor a hot line gathers in a task.  Line and text identities are 64-bit hashes.
 
 Null texts count as empty, null hosts as one host; an empty text fails the base rule; rows
 repeated with any key get the same verdict; an empty table gives an empty table; other
-columns are passed over (`rules`) or kept as they are (`apply`).
+columns are passed over (`rules`) or kept as they are (`keep`, `apply`).
 """
 
 from __future__ import annotations
@@ -92,8 +93,8 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x60\x7B-\x7F]+", " "))
 
 
-def depleted(frame: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """Host and text hash of the texts that consist mostly of their host's boilerplate."""
+def judged(frame: DataFrame, host: str, text: str, min_docs: int, max_share: float) -> DataFrame:
+    """host, text_hash, line_hash, n (words) and boilerplate (null: none) of all lines."""
     t = F.coalesce(F.col(text), F.lit(""))
     texts = frame.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(t).alias("text_hash"), t.alias("t"))
     lines = (
@@ -110,11 +111,21 @@ def depleted(frame: DataFrame, host: str = "source", text: str = "text", min_doc
         .filter(F.col("docs") > max_share * F.col("host_docs"))
         .select("host", "line_hash", F.lit(1).alias("boilerplate"))
     )
+    return lines.join(frequent, ["host", "line_hash"], "left")
+
+
+def left() -> list[Column]:
+    """Words of a text, and those outside its host's boilerplate."""
+    return [F.sum("n").alias("all_words"), F.sum(F.when(F.col("boilerplate").isNull(), F.col("n")).otherwise(0)).alias("left_words")]
+
+
+def depleted(frame: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """Host and text hash of the texts that consist mostly of their host's boilerplate."""
     # copies of a text add the same lines each: shares do not depend on their number
     return (
-        lines.join(frequent, ["host", "line_hash"], "left")
+        judged(frame, host, text, min_docs, max_share)
         .groupBy("host", "text_hash")
-        .agg(F.sum("n").alias("all_words"), F.sum(F.when(F.col("boilerplate").isNull(), F.col("n")).otherwise(0)).alias("left_words"))
+        .agg(*left())
         .filter(F.col("left_words") < min_left * F.col("all_words"))
         .select("host", "text_hash", F.lit(True).alias("depleted"))
     )
@@ -137,6 +148,35 @@ def keep(frame: DataFrame, host: str = "source", text: str = "text") -> DataFram
     return passed.join(poor, ["__host", "__hash"], "left_anti").select("__row.*")
 
 
+def apply(frame: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """The rows that pass, their texts without their host's boilerplate lines; the rules judge
+    the texts as they came.  A column n_chars follows the text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = frame.select(F.struct(*frame.columns).alias("__row"), t.alias("__t"), F.coalesce(F.col(host), F.lit("")).alias("__host"), F.xxhash64(t).alias("__hash"))
+    passed = base(rows, "__t").filter(~F.col("base_failed")).select("__row", "__host", "__hash")
+    touched = (
+        judged(frame, host, text, min_docs, max_share)
+        .groupBy("host", "text_hash")
+        .agg(*left(), F.collect_set(F.when(F.col("boilerplate").isNotNull(), F.col("line_hash"))).alias("__lines"))
+        .filter(F.size("__lines") > 0)
+        .select(F.col("host").alias("__host"), F.col("text_hash").alias("__hash"), "__lines", (F.col("left_words") < min_left * F.col("all_words")).alias("__depleted"))
+    )
+    found = passed.join(touched, ["__host", "__hash"], "left").filter(~F.coalesce("__depleted", F.lit(False)))
+    whole = F.col(f"__row.`{text}`")
+    rest = F.array_join(F.filter(F.split(whole, "\n"), lambda x: ~F.array_contains("__lines", F.xxhash64(normal_line(x)))), "\n")
+    cleaned = found.select("__row", "__lines", F.when(F.col("__lines").isNull(), whole).otherwise(rest).alias("__text"))
+
+    def column(name: str) -> Column:
+        old = F.col(f"__row.`{name}`")
+        if name == text:
+            return F.col("__text").alias(name)
+        if name == "n_chars":
+            return F.when(F.col("__lines").isNull(), old).otherwise(F.length("__text").cast(frame.schema[name].dataType)).alias(name)
+        return old.alias(name)
+
+    return cleaned.select(*map(column, frame.columns))
+
+
 SQL = """
 WITH w AS (
   SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,

@@ -43,6 +43,25 @@ def test_boilerplate_depletes_documents_but_copies_do_not(spark):
     assert quality.keep(docs).columns == docs.columns
 
 
+def test_boilerplate_lines_are_removed(spark, edges, nothing):
+    import corpus_pipeline
+
+    line = "Share this page: 12 comments"
+    texts = {i: prose(i, 70) + f"\n{line.upper()}!\n" + prose(1000 + i, 5) for i in range(12)}  # 12 of 20 documents
+    texts |= {20 + i: prose(20 + i, 70) + "\n12 34\n" for i in range(8)}
+    rows = [(i, t, "en", "a", len(t)) for i, t in texts.items()] + [(100, texts[0], "en", "b", len(texts[0])), (101, texts[0], "en", "a", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert quality.apply(docs).columns == docs.columns
+    for out in (quality.apply(docs), corpus_pipeline.quality_rules(spark, docs, "")):
+        found = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+        expected = {i: "\n".join(x for x in t.split("\n") if line.upper() not in x) for i, t in texts.items()}
+        expected |= {100: texts[0], 101: expected[0]}
+        assert found == {i: (t, len(t)) for i, t in expected.items()}
+    key = lambda r: (r.doc_id or -1, r.text)
+    assert sorted(quality.apply(edges).collect(), key=key) == sorted(quality.keep(edges).collect(), key=key)
+    assert quality.apply(nothing).collect() == []
+
+
 def test_license_forms(spark, edges, nothing):
     mit = licenses.KNOWN[1][1]
     texts = [mit, mit.upper().replace("LICENSE", "LICENCE") + "\n\nCopyright (c) 2020 Someone", "© 2001 X\n" + mit.replace("\n", " \n "), mit + " more", "Some text.\nReleased under the MIT licence!\nEnd", "", None]
