@@ -255,3 +255,34 @@ def test_predictions_sum_to_one(spark):
     rest2 = (lm.THETA[2] + d2 * model["T2"][g]) / (lm.THETA[2] + model["C2"][g])
     own = {int(bucket.up0[bucket.up1[i]]): p2[i] for i in range(len(p2)) if bucket.g2[i] == g}
     assert abs(sum(own.get(w, rest2 * level1[w]) for w in range(len(p0))) + rest2 * level1[-1] - 1) < 1e-9
+
+
+# recall of passages ----------------------------------------------------------------
+
+
+def changed(passage, step, seed):
+    """Every step-th word is another one."""
+    return " ".join(f"edit{seed}x{i}" if i % step == seed % step else w for i, w in enumerate(passage.split()))
+
+
+def test_fuzzy_passages_are_found_down_to_the_identity(spark):
+    sizes = (50, 60, 100, 200)
+    rows = []
+    for n, (step, size) in enumerate((step, size) for step in (5, 6, 8) for size in sizes for _ in range(10)):
+        passage = prose(5000 + n, size)
+        rows += [(2 * n, prose(7000 + n, 60) + " " + passage + " " + prose(8000 + n, 40)), (2 * n + 1, prose(9000 + n, 30) + " " + changed(passage, step, n) + " " + prose(10000 + n, 60))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    found = {(r.doc_id // 2, r.source_doc_id // 2) for r in passages.passages(docs).collect()}
+    assert all(a == b for a, b in found)
+    assert len(found) >= 0.95 * len(rows) / 2
+
+
+def test_a_single_seed_is_aligned():
+    a = np.arange(100, dtype=np.int64)
+    near = np.array([True])
+    assert passages.chains(np.array([3]), np.array([9]), 4, near=near) == [(3, 7, 9, 13)]
+    assert passages.chains(np.array([3]), np.array([9]), 4, near=~near) == []
+    assert passages.aligned(a, a, (50, 54, 50, 54)) == (0, 100, 0, 100, 1.0)
+    b = np.where(np.arange(100) < 60, a, -a)
+    b[10:60:6] = -1
+    assert passages.aligned(a, b, (50, 52, 50, 52))[:2] == (0, 58)
