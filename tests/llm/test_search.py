@@ -286,3 +286,11 @@ def test_a_single_seed_is_aligned():
     b = np.where(np.arange(100) < 60, a, -a)
     b[10:60:6] = -1
     assert passages.aligned(a, b, (50, 52, 50, 52))[:2] == (0, 58)
+
+
+@pytest.mark.parametrize(("rate", "least"), [(0.10, 0.97), (0.15, 0.78)])
+def test_fuzzy_copies_find_a_source_in_large_groups(spark, rate, least):
+    passage = prose(4000, 60)
+    rows = [(i, prose(20000 + i, 20) + " " + edited(passage, rate, 300 + i) + " " + prose(30000 + i, 20), "en", "a", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert len({r.doc_id for r in passages.passages(docs).collect()}) >= least * 199
