@@ -59,10 +59,11 @@ def _from_ranks(path: str):
 
 class Codec:
     """Encoder and decoder of one byte-level vocabulary: a `.tiktoken` rank file or a
-    `.json` file of the tokenizers library; `pattern` splits texts before the merges."""
+    `.json` file of the tokenizers library; `pattern` splits texts before the merges.  With
+    `added`, the library's added tokens inside a text get their own ids, as by its `encode`."""
 
-    def __init__(self, path: str, pattern: str):
-        self._path, self._pattern = path, pattern
+    def __init__(self, path: str, pattern: str, added: bool = False):
+        self._path, self._pattern, self._with_added = path, pattern, added
         self._characters = dict(enumerate(byte_alphabet()))
         self._of_piece: dict[str, bytes] = {}
         self._of_part: dict[str, bytes] = {}
@@ -77,6 +78,12 @@ class Codec:
         release()
         return made
 
+    @cached_property
+    def _added(self):
+        """Finds an added token in a text; None if there are none to look for."""
+        found = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if self._with_added else []
+        return re.compile("|".join(map(re.escape, found))).search if found else None
+
     @cached_property
     def _merge(self):
         return self.tokenizer.model.tokenize
@@ -110,6 +117,9 @@ class Codec:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self._added and self._added(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         safe = text[0] != " " and text[-1] != " " and not _UNSAFE.search(text)
         parts = text.split(" ") if safe else _SAFE_CUT.split(text)
         head = b"".join(map(self._piece, self._pieces(parts[0])))
@@ -172,7 +182,7 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, added: bool = False) -> Codec:
     """One codec for each vocabulary and worker process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Codec(path, pattern)
+    return Codec(path, pattern, added)

@@ -76,7 +76,7 @@ def write(frame: DataFrame, folder: str, vocabulary: str, pattern: str, end_id:
     ordered = source.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, store, coder = TaskContext.get().partitionId(), Store(folder), codec(vocabulary, pattern)
+        shard, store, coder = TaskContext.get().partitionId(), Store(folder), codec(vocabulary, pattern, added=True)
         kind = "<u2" if coder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         own = f"shard-{shard:08d}.{uuid.uuid4().hex}"
         keys, counts, out, end = [], [], None, np.array([end_id], "<u4").tobytes()

@@ -83,3 +83,20 @@ def test_queries_over_the_table(spark, data, exact):
         ids = np.append(codec(*JSON).encode(docs[r.doc_id]), 0).astype("<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    library = Tokenizer.from_file(JSON[0])
+    texts = [*strange_texts()[:500], "hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> \n b", "<|endoftext|" + "x " * 50]
+    coder = codec(*JSON, added=True)
+    expected = {}
+    for i, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert coder.encode(text).tolist() == ids and coder.decode(coder.encode(text)) == text
+        expected[i] = np.array([*ids, 0], "<u4")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at = 0
+    for r in sorted(token_files.round_trip(docs, *JSON).collect(), key=lambda r: r.doc_id):
+        ids = expected[r.doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
