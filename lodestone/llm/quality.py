@@ -4,8 +4,10 @@ Base rules look at one text.  The line rule counts, for each host and normalised
 distinct documents that hold it; exact copies of a text count once, since copies are for
 the near-duplicate stage to judge.  A line is boilerplate if more than `min_docs` documents
 and more than `max_share` of the host's hold it; a document of which less than `min_left`
-of the words remain without such lines is depleted and rejected.  `apply` also
-removes the lines from the texts that it keeps.
+of the words remain without such lines is depleted and rejected.  `rules` and `keep` judge
+by these limits alone, as the SQL does; `apply` takes the lower of the share and `MAX_DOCS`
+documents, so that large hosts are cleaned like small ones, and removes the lines from the
+texts that it keeps.
 
 Counts are pre-aggregated where the rows are read, first by (host, line, text), so neither
 a hot host nor a hot line gathers in a task.  Line and text identities are 64-bit hashes.
@@ -26,6 +28,8 @@ SYMBOLS = "#*$%&|<>"
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_DOCS, MAX_SHARE, MIN_LEFT = 10, 0.10, 1 / 3
+#: Documents of a host that may hold a line, however large the host, where lines are removed.
+MAX_DOCS = 100
 
 
 def let(value: Column, body) -> Column:
@@ -93,7 +97,7 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x60\x7B-\x7F]+", " "))
 
 
-def judged(frame: DataFrame, host: str, text: str, min_docs: int, max_share: float) -> DataFrame:
+def judged(frame: DataFrame, host: str, text: str, min_docs: int, max_share: float, max_docs: int | None) -> DataFrame:
     """host, text_hash, line_hash, n (words) and boilerplate (null: none) of all lines."""
     t = F.coalesce(F.col(text), F.lit(""))
     texts = frame.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(t).alias("text_hash"), t.alias("t"))
@@ -103,12 +107,13 @@ def judged(frame: DataFrame, host: str, text: str, min_docs: int, max_share: flo
         .select("host", "text_hash", F.xxhash64("x.line").alias("line_hash"), F.col("x.n").alias("n"))
     )
     hosts = texts.groupBy("host").agg(F.count_distinct("text_hash").alias("host_docs"))
+    share = max_share * F.col("host_docs")
     frequent = (
         lines.groupBy("host", "line_hash")
         .agg(F.count_distinct("text_hash").alias("docs"))
         .filter(F.col("docs") > min_docs)
         .join(hosts, "host")
-        .filter(F.col("docs") > max_share * F.col("host_docs"))
+        .filter(F.col("docs") > (share if max_docs is None else F.least(share, F.lit(float(max_docs)))))
         .select("host", "line_hash", F.lit(1).alias("boilerplate"))
     )
     return lines.join(frequent, ["host", "line_hash"], "left")
@@ -123,7 +128,7 @@ def depleted(frame: DataFrame, host: str = "source", text: str = "text", min_doc
     """Host and text hash of the texts that consist mostly of their host's boilerplate."""
     # copies of a text add the same lines each: shares do not depend on their number
     return (
-        judged(frame, host, text, min_docs, max_share)
+        judged(frame, host, text, min_docs, max_share, None)
         .groupBy("host", "text_hash")
         .agg(*left())
         .filter(F.col("left_words") < min_left * F.col("all_words"))
@@ -148,14 +153,16 @@ def keep(frame: DataFrame, host: str = "source", text: str = "text") -> DataFram
     return passed.join(poor, ["__host", "__hash"], "left_anti").select("__row.*")
 
 
-def apply(frame: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def apply(
+    frame: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int | None = MAX_DOCS, min_left: float = MIN_LEFT
+) -> DataFrame:
     """The rows that pass, their texts without their host's boilerplate lines; the rules judge
     the texts as they came.  A column n_chars follows the text."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = frame.select(F.struct(*frame.columns).alias("__row"), t.alias("__t"), F.coalesce(F.col(host), F.lit("")).alias("__host"), F.xxhash64(t).alias("__hash"))
     passed = base(rows, "__t").filter(~F.col("base_failed")).select("__row", "__host", "__hash")
     touched = (
-        judged(frame, host, text, min_docs, max_share)
+        judged(frame, host, text, min_docs, max_share, max_docs)
         .groupBy("host", "text_hash")
         .agg(*left(), F.collect_set(F.when(F.col("boilerplate").isNotNull(), F.col("line_hash"))).alias("__lines"))
         .filter(F.size("__lines") > 0)

@@ -62,6 +62,14 @@ def test_boilerplate_lines_are_removed(spark, edges, nothing):
     assert quality.apply(nothing).collect() == []
 
 
+def test_lines_of_large_hosts_count_like_those_of_small_ones(spark):
+    line = prose(9999, 100)
+    rows = [(i, (line + "\n" + prose(i, 60)) if i < 110 else prose(i, 60), "en", "big", 0) for i in range(1500)]  # in 7 %
+    rows += [(2000 + i, line + "\n" + prose(3000 + i, 20), "en", "big", 0) for i in range(5)]  # mostly that line
+    out = {r.doc_id: r.text for r in quality.apply(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(out) == set(range(1500)) and all(line not in t for t in out.values())
+
+
 def test_license_forms(spark, edges, nothing):
     mit = licenses.KNOWN[1][1]
     texts = [mit, mit.upper().replace("LICENSE", "LICENCE") + "\n\nCopyright (c) 2020 Someone", "© 2001 X\n" + mit.replace("\n", " \n "), mit + " more", "Some text.\nReleased under the MIT licence!\nEnd", "", None]
