@@ -117,6 +117,23 @@ def test_near_duplicates_of_edges(edges, nothing):
     assert near_dedup.classes(nothing).collect() == [] and near_dedup.keep(nothing).collect() == []
 
 
+def test_rows_that_share_a_key_are_told_apart(spark):
+    a, b = prose(1, 90), prose(2, 90)
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (6, edited(b, 0.002, 1) + " end", 4), (7, b, 5), (7, b, 5), (None, a, 6), (8, "", 7), (8, None, 8), (9, a + " x", 9), (9, a, 10)]
+    kept = near_dedup.keep(spark.createDataFrame(rows, "doc_id long, text string, root int")).collect()
+    found = sorted((r.doc_id or -1, r.text or "", r.root) for r in kept)
+    assert [(i, t) for i, t, _ in found] == [(-1, a), (1, a), (5, b), (8, "")]
+
+
+def test_large_groups_of_near_copies_and_a_stranger(spark):
+    """Many copies around one text, and texts alike only to some of them: in several parts after the stars."""
+    base = prose(40, 120)
+    rows = [(i, edited(base, 0.01 * (i % 6), 7000 + i)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.classes(docs, 3, 85, block=40).collect()}
+    assert out == brute_classes(rows, 3, 85)
+
+
 def test_sketch_fills_every_coordinate():
     for n in (1, 2, 7, 500):
         s = near_dedup.sketch([np.arange(n, dtype=np.uint64)], 180)
