@@ -311,3 +311,45 @@ def test_fuzzy_copies_find_a_source_in_large_groups(spark, rate, least):
     rows = [(i, prose(20000 + i, 20) + " " + edited(passage, rate, 300 + i) + " " + prose(30000 + i, 20), "en", "a", 0) for i in range(200)]
     docs = spark.createDataFrame(rows, SCHEMA)
     assert len({r.doc_id for r in passages.passages(docs).collect()}) >= least * 199
+
+
+def test_passages_do_not_depend_on_the_layout(spark, tmp_path):
+    passage = prose(4100, 60)
+    rows = [(i, prose(21000 + i, 20) + " " + edited(passage, 0.05 * (i % 3), 900 + i) + " " + prose(31000 + i, 20), "en", "a", 0) for i in range(60)]
+    rows += [(100 + i, prose(4200 + i // 2, 70), "en", "a", 0) for i in range(20)]
+    found = []
+    for parts in (1, 7, 23):
+        spark.createDataFrame(rows, SCHEMA).repartition(parts).write.parquet(f"{tmp_path}/{parts}")
+        found.append(sorted(passages.passages(spark.read.parquet(f"{tmp_path}/{parts}")).collect()))
+    assert found[0] == found[1] == found[2] and len({r.doc_id for r in found[0]}) > 60
+
+
+def test_passages_against_brute_force(spark):
+    """All stretches of 45 words or more that two texts share word for word, by a plain search."""
+    r = random.Random(6)
+    pool = [prose(4300 + i, r.randint(45, 80)) for i in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [prose(51000 + 10 * i + j, r.randint(5, 40)) if r.random() < 0.6 else r.choice(pool) for j in range(4)]
+        rows.append((i, " ".join(parts), "en", "a", 0))
+    holders = defaultdict(set)
+    for i, text, *_ in rows:
+        w = text.split()
+        for a in range(len(w) - 44):
+            holders[tuple(w[a : a + 45])].add(i)
+    found = passages.passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    covered = {i: set() for i in range(60)}
+    for x in found:
+        covered[x.doc_id].update(range(x.begin, x.end))
+    exact = lost = 0
+    keepers = Counter()
+    for i, text, *_ in rows:
+        w = text.split()
+        for a in range(len(w) - 44):
+            if len(holders[run := tuple(w[a : a + 45])]) > 1:
+                if set(range(a, a + 45)) <= covered[i]:
+                    exact += 1
+                else:
+                    keepers[run] += 1  # one holder keeps it; a text that holds it twice may keep its own
+                    lost += keepers[run] > 1
+    assert exact and lost <= 0.03 * (exact + lost)
