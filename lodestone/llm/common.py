@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import importable
 
@@ -51,15 +53,37 @@ def written(frame: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def input_bytes(frame: DataFrame) -> int:
-    """Size of the tables that a frame reads, by Catalyst's statistics; those of unknown size count as nothing."""
+def _leaves(frame: DataFrame) -> list:
     leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    return sum(s for s in sizes if s < 1 << 60)
+    return [leaves.apply(i) for i in range(leaves.size())]
+
+
+def input_bytes(frame: DataFrame) -> int:
+    """Size of what a frame reads: of the files, by Catalyst's statistics; where those know no
+    size (rows that come from no file), of the frame's own rows, added up by a job."""
+    sizes = [int(leaf.stats().sizeInBytes()) for leaf in _leaves(frame)]
+    if all(s < 1 << 60 for s in sizes):
+        return sum(sizes)
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8) for f in frame.schema.fields]
+    each = sum(wide[1:], wide[0]) if wide else F.lit(0)
+    return frame.agg(F.sum(each.cast("long"))).first()[0] or 0
+
+
+def replayable(frame: DataFrame) -> DataFrame:
+    """A frame that gives the same rows in the same order whenever a task is repeated: itself if it
+    only reads files, else a table written from it."""
+    plan = frame._jdf.queryExecution().optimizedPlan()
+    narrow = all(leaf.nodeName() in ("LogicalRelation", "LocalRelation") or "Relation" in leaf.nodeName() for leaf in _leaves(frame))
+    kinds = ("Project", "Filter")
+    node = plan
+    while narrow and node.children().size() == 1:
+        narrow = node.nodeName() in kinds and node.deterministic()
+        node = node.children().apply(0)
+    return frame if narrow and node.children().size() == 0 else written(frame, "source")
 
 
 def parts_for(frame: DataFrame, each: int = 32 << 20, least: int = 32) -> int:
-    """Partitions so that each has about `each` bytes of the files that a frame reads."""
+    """Partitions so that each has about `each` bytes of what a frame reads."""
     return max(least, -(-input_bytes(frame) // each))
 
 

@@ -245,33 +245,134 @@ def test_held_out_texts_fit_better_than_the_base(spark, data):
     assert sum(r.score for r in held) > 0.95 * sum(r.base_score for r in held)
 
 
-def test_predictions_sum_to_one(spark):
-    """All words behind one context, and the unknown word, in one bucket."""
-    import pyarrow as pa
-
-    from lodestone.llm.words import words_of
-
-    texts = pa.array(["a b a c", "b a d", "a a b c d e"])
-    _, payloads = lm._block([(pa.array([0, 1, 4]), words_of(texts))], 1, {})
-    data = [(0, b) for _, b in payloads]
-    bucket = lm.Bucket(data)
-    model = lm._model(lm._add(bucket.totals({}, True), {**{k: 0 * v for k, v in bucket.totals({}, True).items() if k != "hot"}, "hot": {}}), None)
-    bucket.sweep(model, np.random.default_rng(1))
-    model["T2"], model["T1"] = np.bincount(bucket.g2, weights=bucket.t2, minlength=lm.CONTEXTS), np.bincount(bucket.g1, weights=bucket.t1, minlength=lm.CLASSES)
-    model["C1"], model["C0"], model["T0"] = model["T2"].reshape(lm.CLASSES, -1).sum(axis=1), model["T1"].sum(), float(bucket.t0.sum())
-    p0, p1, p2 = bucket.probabilities(model)
-    d0, d1, d2 = model["d"]
-    unknown = (lm.THETA[0] + d0 * model["T0"]) / (lm.THETA[0] + model["C0"]) / (model["V"] + 1)
-    assert abs(p0.sum() + unknown - 1) < 1e-9
-    g = int(bucket.g2[0])
-    cls = g // (lm.CONTEXTS // lm.CLASSES)
-    upper = {int(w): p for w, c, p in zip(bucket.up0, bucket.g1, p1, strict=True) if c == cls}
-    rest1 = (lm.THETA[1] + d1 * model["T1"][cls]) / (lm.THETA[1] + model["C1"][cls])
-    level1 = [upper.get(w, rest1 * p0[w]) for w in range(len(p0))] + [rest1 * unknown]
-    assert abs(sum(level1) - 1) < 1e-9
-    rest2 = (lm.THETA[2] + d2 * model["T2"][g]) / (lm.THETA[2] + model["C2"][g])
-    own = {int(bucket.up0[bucket.up1[i]]): p2[i] for i in range(len(p2)) if bucket.g2[i] == g}
-    assert abs(sum(own.get(w, rest2 * level1[w]) for w in range(len(p0))) + rest2 * level1[-1] - 1) < 1e-9
+def plain_model(train, held, rounds, samples, seed):
+    """A plain hierarchical Pitman-Yor model: tables with their sizes, one customer at a time
+    taken out and seated again; mean log10 per token of the held-out texts."""
+    r = random.Random(seed)
+    theta1, theta2 = lm.THETA
+    pairs = Counter()
+    for w in train:
+        pairs.update(zip([None, *w], [*w, None], strict=True))
+    tables = {p: [] for p in pairs}
+    root = defaultdict(list)
+    of_context, c_context, root_tables, root_customers = Counter(), Counter(), 0, 0
+    vocabulary = len({w for _, w in pairs})
+    ones = lambda counts: (sum(c == 1 for c in counts), sum(c == 2 for c in counts))
+    n1, n2 = ones(pairs.values())
+    d2 = min(0.95, max(0.05, n1 / (n1 + 2 * n2)))
+    m1, m2 = ones(Counter(w for _, w in pairs).values())
+    d1 = min(0.95, max(0.05, m1 / (m1 + 2 * m2)))
+
+    def p1(w):
+        return (sum(root[w]) - d1 * len(root[w]) + (theta1 + d1 * root_tables) / (vocabulary + 1)) / (theta1 + root_customers)
+
+    def p2(u, w):
+        own = tables.get((u, w), [])
+        return (sum(own) - d2 * len(own) + (theta2 + d2 * of_context[u]) * p1(w)) / (theta2 + c_context[u])
+
+    def seat(sizes, discount, opening):
+        weights = [s - discount for s in sizes] + [opening]
+        k = r.choices(range(len(weights)), weights)[0]
+        if k == len(sizes):
+            sizes.append(1)
+            return True
+        sizes[k] += 1
+        return False
+
+    def leave(sizes):
+        k = r.choices(range(len(sizes)), sizes)[0]
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            return True
+        return False
+
+    mean = Counter()
+    for turn in range(rounds):
+        for (u, w), n in pairs.items():
+            for _ in range(n):
+                if turn:
+                    c_context[u] -= 1
+                    if leave(tables[u, w]):
+                        of_context[u] -= 1
+                        root_customers -= 1
+                        root_tables -= leave(root[w])
+                if seat(tables[u, w], d2, (theta2 + d2 * of_context[u]) * p1(w)):
+                    of_context[u] += 1
+                    opened = seat(root[w], d1, (theta1 + d1 * root_tables) / (vocabulary + 1))
+                    root_customers, root_tables = root_customers + 1, root_tables + opened
+                c_context[u] += 1
+        if turn >= rounds - samples:
+            for i, w in enumerate(held):
+                for k, pair in enumerate(zip([None, *w], [*w, None], strict=True)):
+                    mean[i, k] += p2(*pair) / samples
+    sums = Counter()
+    for (i, _), p in mean.items():
+        sums[i] += math.log10(p)
+    return sums
+
+
+def zipf_texts(n, seed):
+    r = random.Random(seed)
+    names = [prose(90_000 + i, 1) + str(i) for i in range(400)]
+    follow = {a: r.choices(names, [1 / (k + 1) for k in range(400)], k=12) for a in names}
+    out = []
+    for _ in range(n):
+        w = [r.choice(names)]
+        while len(w) < r.randint(30, 80):
+            w.append(r.choice(follow[w[-1]]) if r.random() < 0.7 else r.choices(names, [1 / (k + 1) for k in range(400)])[0])
+        out.append(w)
+    return out
+
+
+def test_scores_agree_with_a_plain_sampler(spark):
+    texts = zipf_texts(200, 3)
+    train, held = [w for i, w in enumerate(texts) if not lm.held_out(i)], [i for i in range(200) if lm.held_out(i)]
+    plain = plain_model(train, [texts[i] for i in held], 12, 6, 1)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r for r in lm.score(docs, rounds=6, samples=4, buckets=3).collect()}
+    tokens = sum(len(texts[i]) + 1 for i in held)
+    ours, theirs = sum(found[i].score for i in held) / tokens, sum(plain.values()) / tokens
+    assert abs(ours - theirs) < 0.01 * abs(theirs)
+    assert all(abs(found[i].score - plain[k]) < 0.02 * abs(plain[k]) for k, i in enumerate(held))
+
+
+def test_scores_do_not_depend_on_the_layout(spark, tmp_path):
+    texts = zipf_texts(300, 4) + [["hot", "pair"] * 200 + [f"x{i}"] for i in range(60)]
+    texts += texts[:40]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    found = []
+    for parts, options in ((1, {}), (9, {}), (36, {"buckets": 17}), (3, {"buckets": 40, "block_tokens": 700})):
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(parts).write.parquet(f"{tmp_path}/{len(found)}")
+        out = lm.score(spark.read.parquet(f"{tmp_path}/{len(found)}"), **options).collect()
+        found.append({r.doc_id: r for r in out})
+    for other in found[1:]:
+        assert set(other) == set(found[0])
+        for i, r in other.items():
+            assert r[:5] == found[0][i][:5] and abs(r.score - found[0][i].score) < 1e-9 * abs(r.score) and abs(r.base_score - found[0][i].base_score) < 1e-9 * abs(r.base_score)
+
+
+def test_numbers_of_tables_follow_their_conditional():
+    """Against the exact distribution, below and beyond the number up to which that is used."""
+    for c, p, d, base in ((5, 0.3, 0.6, 2.0), (40, 0.2, 0.5, 4.0), (300, 0.01, 0.8, 50.0), (300, 0.02, 0.8, 4000.0)):
+        log_s = lm.stirling(d, c)
+        logs = np.array([log_s[c, t] + sum(math.log((base + d * j) * p) for j in range(t)) for t in range(1, c + 1)])
+        exact = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        n = 20_000
+        drawn = lm.tables(np.full(n, c), lm.mix(np.arange(n, dtype=np.uint64)), np.full(n, base), d, np.full(n, p), 1, 1)
+        mean, sd = (np.arange(1, c + 1) * exact).sum(), math.sqrt((np.arange(1, c + 1) ** 2 * exact).sum() - (np.arange(1, c + 1) * exact).sum() ** 2)
+        assert abs(drawn.mean() - mean) < (0.05 if c <= lm.SMALL else 0.25) * sd and abs(drawn.mean() - mean) < 0.05 * mean
+
+
+def test_predictions_sum_to_one():
+    m = {"N": 9, "V": 4, "C1": 7, "T1": 5, "d1": 0.5, "d2": 0.4}
+    c1, t1 = np.array([3, 2, 1, 1, 0]), np.array([2, 1, 1, 1, 0])
+    assert abs(lm.root_chance(m, c1, t1).sum() - 1) < 1e-12
+    c, t = np.array([4, 1, 0, 0, 0]), np.array([2, 1, 0, 0, 0])
+    bucket = lm.Bucket.__new__(lm.Bucket)
+    bucket.c, bucket.t, bucket.g, bucket.w = c, t, np.zeros(5, int), np.arange(5)
+    bucket.T, bucket.C, bucket.c1, bucket.t1 = np.array([3]), np.array([5]), c1, t1
+    assert abs(bucket.chances(m).sum() - 1) < 1e-12
 
 
 # recall of passages ----------------------------------------------------------------
