@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts_for, ready, release, replayable
+from .common import pack, parts_for, ready, release, replayable, unpack
 from .words import END, mix, slices, words_of
 
 #: Tokens and documents of a block, bytes of input for each bucket.
@@ -59,23 +59,6 @@ def held_out(key: int | None, folds: int = 7, fold: int = 2) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % folds == fold
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as small as their values allow, byte by byte, compressed."""
-    parts = []
-    for a in arrays:
-        if a.dtype.kind in "iu" and len(a):
-            least = next((k for k in ("u1", "u2", "u4") if a.min() >= 0 and a.max() <= np.iinfo(k).max), None)
-            a = a.astype(least) if least else a
-        parts.append((a.dtype.str, np.ascontiguousarray(a.view("u1").reshape(len(a), -1).T).tobytes() if len(a) else b""))
-    data = pickle.dumps(parts)
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
-
-
-def unpack(data: bytes) -> list[np.ndarray]:
-    parts = pickle.loads(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True))
-    return [np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() for kind, raw in parts]
-
-
 def uniform(key: np.ndarray, *salt: int) -> np.ndarray:
     """Numbers in (0, 1) that follow from key and salt."""
     for s in salt:
