@@ -46,6 +46,62 @@ def test_exact_search_with_ties_and_bad_rows(spark):
     assert neighbours.nearest(frame.limit(0), frame.limit(0)).collect() == []
 
 
+def test_ties_between_different_vectors(spark):
+    """Equal cosines of different vectors: the smaller ids, whatever the shards."""
+    r = random.Random(8)
+    base = [r.gauss(0, 1) for _ in range(8)]
+    rows = [(i, [x * 2.0 ** (i % 13 - 6) for x in base]) for i in range(300)]  # equal to the last bit, 13 vectors
+    rows += [(1000 + i, [float(j == i % 8) for j in range(8)]) for i in range(40)]
+    rows += [(2000 + i, [1.0, 1.0 if i % 2 else -1.0, *[0.0] * 6]) for i in range(10)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    for shard_rows in (10_000, 40):
+        found = defaultdict(list)
+        for a in sorted(neighbours.nearest(frame, frame.filter("vec_id % 50 = 0"), k=5, factor=1.0, shard_rows=shard_rows).collect(), key=lambda a: (a.query_id, a.rank)):
+            found[a.query_id].append((a.vec_id, a.score))
+        for q, answers in found.items():
+            s = neighbours.scores(np.repeat(x[ids == q], len(x), axis=0), x)
+            order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:5]
+            assert answers == [(int(ids[j]), float(s[j])) for j in order]
+        assert set(found) == {i for i, _ in rows if i % 50 == 0}
+
+
+def test_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [1.0, 1.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = neighbours.nearest(frame, frame.filter("vec_id = 0"), k=3, factor=1.0).orderBy("rank").collect()
+    assert [(a.rank, a.vec_id, a.score) for a in out] == [(1, 3, 1.0), (2, 4, 1.0), (3, 1, pytest.approx(1 / math.sqrt(1.01)))]
+
+
+def test_pruning_and_recall_of_a_large_shard():
+    """10,000 rows about 200 centres: with factor 1 the answers are exact and part of the rows is
+    passed over; with the query's factor few are compared."""
+    r = np.random.default_rng(3)
+    points = r.normal(size=(200, 64))[r.integers(200, size=10_000)] + 0.15 * r.normal(size=(10_000, 64))
+    tree = neighbours.VantageTree(points, np.arange(10_000))
+    asked = points[::50]
+    true = -np.sort(-(neighbours._unit(asked) @ tree.unit.T), axis=1)[:, :6]
+    for factor, least, most in ((1.0, 1.0, 0.6), (neighbours.FACTOR, 0.95, 0.1)):
+        _, best, compared = tree.search(asked, 6, factor)
+        assert (best >= true[:, 5:6] - 1e-9).mean() >= least and compared <= most * len(asked) * len(points)
+
+
+def test_shards_are_passed_over():
+    r = np.random.default_rng(4)
+    unit = neighbours._unit(r.normal(size=(20, 16))[r.integers(20, size=4000)] + 0.05 * r.normal(size=(4000, 16)))
+    router = neighbours.Router(unit[:1000], 16)
+    leaf = router.leaf(unit)
+    assert len(np.unique(leaf)) > 8
+    radius = neighbours._distance(-np.sort(-(unit[:50] @ unit.T), axis=1)[:, 5])
+    who, reached = router.reachable(unit[:50], radius, 1.0)
+    pairs = set(zip(who.tolist(), reached.tolist(), strict=True))
+    assert len(pairs) < 0.8 * 50 * 16
+    for i in range(50):
+        near = np.argsort(-(unit @ unit[i]), kind="stable")[:5]
+        assert {(i, int(leaf[j])) for j in near} <= pairs
+
+
 def test_recall_of_the_query(spark, data):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
     true = brute_nearest(rows, 5)
