@@ -67,6 +67,7 @@ class Codec:
         self._characters = dict(enumerate(byte_alphabet()))
         self._of_piece: dict[str, bytes] = {}
         self._of_part: dict[str, bytes] = {}
+        self._length: dict[str, int] = {}
         self._blobs: np.ndarray | None = None
 
     @cached_property
@@ -133,6 +134,29 @@ class Codec:
                     found[at] = self._of_part[parts[at]] = self._part(parts[at])
         return b"".join(found)
 
+    def count(self, text: str) -> int:
+        """How many ids the text has."""
+        if not text:
+            return 0
+        if self._added and self._added(text):
+            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        safe = text[0] != " " and text[-1] != " " and not _UNSAFE.search(text)
+        parts = text.split(" ") if safe else _SAFE_CUT.split(text)
+        found = list(map(self._length.get, parts))
+        if None in found:
+            if len(self._length) >= 2 * MEMO_ENTRIES:
+                self._length.clear()
+            for at, n in enumerate(found):
+                if n is None:
+                    found[at] = self._length[parts[at]] = self._count_part(" " + parts[at])
+        if parts[0]:  # no space before the first part
+            found[0] = self._count_part(parts[0])
+        return sum(found)
+
+    def _count_part(self, part: str) -> int:
+        pieces = (part,) if part[1:].isalpha() and part[0] in " abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" else self._pieces(part)
+        return sum(len(self._merge(p.encode().decode("latin-1").translate(self._characters))) for p in pieces)
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4")
 

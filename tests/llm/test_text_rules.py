@@ -1,10 +1,14 @@
+import math
+import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.llm import html, licenses, packing, quality
-from lodestone.llm.queries import QUERIES
+from lodestone.llm.bpe import codec
+from lodestone.llm.queries import QUERIES, vocabulary
 
 from .conftest import SCHEMA, prose
 
@@ -133,12 +137,66 @@ def test_packing(spark, edges, nothing):
     rows = packing.pack(frame, capacities=(256, 512, 1024), shards=2).collect()
     assert check_packed(rows, lengths, (256, 512, 1024)) > 0.97
     rows = packing.pack_documents(edges).collect()
-    assert {r.doc_id for r in rows} == {*range(13), None} and sum(r.n_tokens for r in rows if r.doc_id == 8) == 30_001
+    assert {r.doc_id for r in rows} == {*range(13), None}
+    coder = codec(*vocabulary("byte_bpe_50k.json"), added=True)
+    counts = sorted(len(coder.encode(t or "")) + 1 for (t,) in edges.select("text").collect())
+    found = {}
+    for r in rows:
+        if r.piece == 0:
+            found[r.doc_id, r.bin_id, r.bin_offset] = sum(x.n_tokens for x in rows if x.doc_id == 8) if r.doc_id == 8 else r.n_tokens
+    assert sorted(found.values()) == counts
     odd = spark.createDataFrame([(1, None), (2, -5), (3, 0)], "doc_id long, n_tokens long")
     assert sorted((r.doc_id, r.n_tokens) for r in packing.pack(odd).collect()) == [(1, 0), (2, 0), (3, 0)]
     assert packing.pack_documents(nothing).collect() == []
 
 
+def test_token_counts_are_the_encoders():
+    coder = codec(*vocabulary("byte_bpe_50k.json"), added=True)
+    for text in ["", "a", " a", "a b", "word, word. it's  two\n\nlines \t x", "É漢字 🙂 end ", "x" * 500, "<|endoftext|> y", " 12 34-5", "don't stop", "ſt ſt"]:
+        assert coder.count(text) == len(coder.encode(text)) == coder.count(text)
+
+
 def test_packing_tie_order():
-    bins, offsets, capacities = packing.best_fit([8, 5, 5, 3, 3], (4, 8), 1)
-    assert bins == [0, 1, 2, 2, 1] and offsets == [0, 0, 0, 5, 5] and capacities == [8, 8, 8]
+    bins, offsets, held = packing.best_fit([8, 5, 5, 3, 3], [8] * 9)
+    assert bins == [0, 1, 2, 2, 1] and offsets == [0, 0, 0, 5, 5] and held == [8, 8, 8]
+
+
+def cheapest(sizes, capacities, overhead, attention):
+    """Least cost of all ways to put the pieces into bins."""
+    price = lambda n: min(float(packing.cost(np.array([c]), overhead, attention)[0]) for c in capacities if c >= n)
+    best = [math.inf]
+
+    def place(i, held):
+        if sum(map(price, held)) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = sum(map(price, held))
+            return
+        for k, h in enumerate(held):
+            if h + sizes[i] <= max(capacities) and h not in held[:k]:
+                place(i + 1, [*held[:k], h + sizes[i], *held[k + 1 :]])
+        place(i + 1, [*held, sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_against_the_optimum():
+    r = random.Random(3)
+    ours = least = single = 0.0
+    for _ in range(60):
+        capacities, overhead, attention = sorted(r.sample(range(4, 40), 3)), r.choice([0, 1, 4]), r.choice([20, 100, 10_000])
+        sizes = sorted((r.randint(1, capacities[-1]) for _ in range(8)), reverse=True)
+        of = lambda final: float(packing.cost(np.array(final), overhead, attention).sum())  # noqa: E731, B023
+        ours += of(packing.pack_jointly(sizes, capacities, overhead, attention)[2])
+        bins, _, held = packing.best_fit(sizes, [capacities[-1]] * (capacities[-1] + 1))
+        single += of([min(c for c in capacities if c >= h) for h in held])
+        least += cheapest(sizes, capacities, overhead, attention)
+    assert least <= ours <= 1.03 * least and ours - least < 0.3 * (single - least)
+
+
+def test_choice_of_capacities_depends_on_the_cost():
+    sizes = sorted((random.Random(1).randint(50, 900) for _ in range(3000)), reverse=True)
+    cheap = packing.pack_jointly(sizes, packing.CAPACITIES, 16, 1e12)[2]
+    dear = packing.pack_jointly(sizes, packing.CAPACITIES, 16, 8192)[2]
+    assert np.mean(cheap) > 4096 and np.mean(dear) < 2048
