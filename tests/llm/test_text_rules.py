@@ -101,6 +101,27 @@ def test_main_text_of_pages(spark):
     assert html.extract(pages.limit(0)).collect() == []
 
 
+def test_density_chooses_the_region():
+    a, b, c = (prose(i, 60) for i in (11, 12, 13))
+    menu = "<div id=top><a href=x>Home</a> <a href=y>News</a></div>"
+    odd = f"{menu}<div class='page-with-sidebar'><div><h1>Real Title</h1><p>{a}</p><p>Short.</p><ul><li>one item</li><li>{b}</li></ul><p>{c}</p></div><div class=sidebar><p>{prose(14, 30)}</p></div></div>"
+    assert html.main_text(odd) == "\n".join(["Real Title", a, "Short.", "one item", b, c])
+    header = f"<body><header><h1>Site</h1></header><article><header><h1>Real Title</h1></header><div class='social-impact'><p>{a}</p><p>{b}</p></div><footer>by me</footer></article><footer>{c}</footer>"
+    assert html.main_text(header) == "\n".join(["Real Title", a, b])
+    teasers = f"<main><article><h2>Other</h2><p>Teaser.</p></article><article><h2>This</h2><p>{a}</p><p>{b}</p><p>{c}</p><section class=comments><p>{prose(15, 40)}</p></section></article></main>"
+    assert html.main_text(teasers) == "\n".join(["This", a, b, c])
+    assert html.main_text(f"<div class=comments><p>{a}</p><p>{b}</p></div>") == a + "\n" + b  # all there is
+    long = "<div>" + "".join(f"<p>{prose(100 + i, 30)}</p>" for i in range(2000)) + "</div>"
+    assert html.main_text(long).count("\n") == 1999
+
+
+def test_pages_without_marked_parts(spark, data):
+    """The pages of the table with their article elements turned into plain blocks give the same texts."""
+    for r in spark.read.parquet(f"{data}/pages.parquet").collect():
+        plain = r.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html.main_text(plain) == html.main_text(r.html)
+
+
 def test_pages_of_the_table(spark, data):
     from html import unescape
 
