@@ -12,9 +12,10 @@ texts that it keeps.
 Counts are pre-aggregated where the rows are read, first by (host, line, text), so neither
 a hot host nor a hot line gathers in a task.  Line and text identities are 64-bit hashes.
 
-Null texts count as empty, null hosts as one host; an empty text fails the base rule; rows
-repeated with any key get the same verdict; an empty table gives an empty table; other
-columns are passed over (`rules`) or kept as they are (`keep`, `apply`).
+Null texts count as empty, null hosts as one host; an empty text fails the base rule; texts of any
+length are read whole; rows repeated with any key get the same verdict, so there are no ties; an
+empty table gives an empty table; other columns are passed over (`rules`, whose own replace those
+of the same name) or kept as they are (`keep`, `apply`).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: White space between words, and the characters counted as symbols.
 BLANKS = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -48,6 +51,7 @@ def without_blanks(text: Column) -> Column:
 def repeated_words(found: Column) -> Column:
     """Words inside windows of three that occur twice or more: windows sorted by hash stand
     beside their equals; the union of the repeated ones' spans is summed in text order."""
+    # windows of equal hash need a sort only where there are any
     windows = F.when(
         F.size(found) >= 3,
         F.transform(
@@ -69,7 +73,11 @@ def repeated_words(found: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    return F.coalesce(let(F.array_sort(windows), union), F.lit(0).cast("long"))
+    def counted(made: Column) -> Column:
+        hashes = F.transform(made, lambda x: x["h"])
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(made), let(F.array_sort(made), union))
+
+    return F.coalesce(let(windows, counted), F.lit(0).cast("long"))
 
 
 def base(frame: DataFrame, text: str = "text") -> DataFrame:
@@ -98,15 +106,20 @@ def normal_line(line: Column) -> Column:
 
 
 def judged(frame: DataFrame, host: str, text: str, min_docs: int, max_share: float, max_docs: int | None) -> DataFrame:
-    """host, text_hash, line_hash, n (words) and boilerplate (null: none) of all lines."""
+    """host, text_hash, line_hash, n (words) and boilerplate (null: none) of all lines.  The texts are
+    cut into lines once; counts and joins read the narrow table of those."""
     t = F.coalesce(F.col(text), F.lit(""))
     texts = frame.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(t).alias("text_hash"), t.alias("t"))
-    lines = (
-        texts.select("host", "text_hash", F.explode(F.transform(F.split("t", "\n"), lambda x: F.struct(normal_line(x).alias("line"), F.size(words(x)).alias("n")))).alias("x"))
-        .filter(F.col("x.line") != "")
-        .select("host", "text_hash", F.xxhash64("x.line").alias("line_hash"), F.col("x.n").alias("n"))
-    )
-    hosts = texts.groupBy("host").agg(F.count_distinct("text_hash").alias("host_docs"))
+
+    def of_line(x: Column) -> Column:
+        return let(normal_line(x), lambda line: F.struct(F.when(line != "", F.xxhash64(line)).alias("line_hash"), F.size(words(x)).alias("n")))
+
+    found = F.filter(F.transform(F.split("t", "\n"), of_line), lambda x: x["line_hash"].isNotNull())
+    # a row without line stands for the text itself
+    itself = F.array(F.struct(F.lit(None).cast("long").alias("line_hash"), F.lit(0).alias("n")))
+    every = written(texts.select("host", "text_hash", F.inline(F.concat(itself, found))), "lines")
+    lines = every.filter("line_hash IS NOT NULL")
+    hosts = every.filter("line_hash IS NULL").groupBy("host").agg(F.count_distinct("text_hash").alias("host_docs"))
     share = max_share * F.col("host_docs")
     frequent = (
         lines.groupBy("host", "line_hash")
