@@ -73,9 +73,9 @@ def text_hash(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Lower-case words joined by hyphens, 60 characters at most."""
+    """Lower-case words joined by hyphens, cut at 60 characters (which may end in a hyphen then)."""
     cleaned = F.regexp_replace(F.lower(text_or_empty(text)), "[^a-z0-9]+", "-")
-    return F.regexp_replace(F.left(F.regexp_replace(cleaned, "^-+|-+$", ""), F.lit(60)), "-+$", "")
+    return F.left(F.regexp_replace(cleaned, "^-+|-+$", ""), F.lit(60))
 
 
 def repo_name(url: Column) -> Column:
@@ -143,9 +143,13 @@ def invalid_citations(answer: Column, count: Column) -> Column:
     return let(citations(answer), lambda c: (F.size(c) == 0) | F.exists(c, lambda n: n.isNull() | (n < 1) | (n > count)))
 
 
+#: Edges of words of letters and digits of any script.
+BEGIN, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
 def required_identifiers(question: Column) -> Column:
     """Words of a question that look like code: with an underscore, or a capital behind a small letter."""
-    found = F.regexp_extract_all(text_or_empty(question), F.lit(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    found = F.regexp_extract_all(text_or_empty(question), F.lit(BEGIN + "[A-Za-z_][A-Za-z0-9_]*" + END), F.lit(0))
     return F.filter(found, lambda t: t.contains("_") | t.rlike("[a-z][A-Z]"))
 
 
@@ -157,10 +161,10 @@ def missing_identifiers(question: Column, answer: Column) -> Column:
 #: Patterns of what an answer claims to exist in code.
 CLAIMS = [
     ("`([^`\\n]+)`", 1),
-    (r"\b([a-zA-Z0-9_]+)\(", 1),
-    (r"\b[a-z]+_[a-z0-9_]+\b", 0),
-    (r"\b[a-z]+[A-Z][a-zA-Z0-9]+\b", 0),
-    (r"\b[A-Z][a-z0-9]+[A-Z][a-zA-Z0-9]+\b", 0),
+    (BEGIN + r"([a-zA-Z0-9_]+)\(", 1),
+    (BEGIN + "[a-z]+_[a-z0-9_]+" + END, 0),
+    (BEGIN + "[a-z]+[A-Z][a-zA-Z0-9]+" + END, 0),
+    (BEGIN + "[A-Z][a-z0-9]+[A-Z][a-zA-Z0-9]+" + END, 0),
 ]
 
 

@@ -6,6 +6,7 @@ batches; whatever depends on a model's answer reads a stored table, not the mode
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import REFUSAL_ANSWER, clamp, cosine, invalid_citations, jaccard, limit_text, missing_identifiers, strip, text_or_empty, ungrounded_claims
+from ..session import stored
 
 #: Limits in characters, and what stands between rendered chunks.
 MAX_CONTEXT_CHARS, MAX_CHUNK_CHARS = 24_000, 8_000
@@ -22,7 +24,16 @@ TEMPERATURES = (0.0, 0.5, 0.9)
 THRESHOLD, MEDIUM_BELOW = 0.72, 0.15
 LEXICAL_WEIGHT, SEMANTIC_WEIGHT = 0.4, 0.6
 
-Generator = Callable[[list[str], list[str], float], list[str]]
+#: What a model is told before each question.
+SYSTEM_PROMPT = (
+    "You answer questions about a code base from numbered source snippets, and from nothing else. "
+    f'If the snippets do not hold the answer, reply exactly: "{REFUSAL_ANSWER}" '
+    "Name only files, functions, classes and behaviour that the snippets show; add no general knowledge and invent nothing. "
+    "Write at most six short bullets, each with the numbers of the snippets it rests on, like [1]. "
+    "Where the snippets answer in part, say which part they leave open."
+)
+
+Generator = Callable[..., list[str]]
 Similarity = Callable[[list[str]], list[float]]
 
 
@@ -62,10 +73,7 @@ def contexts(hits: DataFrame, chunks: DataFrame, max_context_chars: int | None =
 
 
 def user_message(context: Column, question: Column) -> Column:
-    return F.concat(
-        F.lit("Question:\n"), question, F.lit("\n\nSource snippets:\n"), context,
-        F.lit("\n\nAnswer strictly from the source snippets above. Use snippet citations like [1] in every bullet."),
-    )
+    return F.concat(F.lit("Question:\n"), question, F.lit("\n\nSource snippets:\n"), context, F.lit("\n\nEvery bullet of the answer cites the snippets above that it comes from."))
 
 
 def guarded(answer: Column, question: Column, n_chunks: Column) -> Column:
@@ -75,13 +83,25 @@ def guarded(answer: Column, question: Column, n_chunks: Column) -> Column:
     return F.when(F.coalesce(refused, F.lit(True)), F.lit(REFUSAL_ANSWER)).otherwise(clean)
 
 
-def generate(asked: DataFrame, generator: Generator, temperature: float = 0.0) -> DataFrame:
-    """asked (query_id, question, context, n_chunks, ...) with `answer`; rows without snippets never reach the generator."""
+def takes_system(generator: Generator) -> bool:
+    try:
+        return "system" in inspect.signature(generator).parameters
+    except (TypeError, ValueError):
+        return False
+
+
+def generate(asked: DataFrame, generator: Generator, temperature: float = 0.0, system: str = SYSTEM_PROMPT) -> DataFrame:
+    """asked (query_id, question, context, n_chunks, ...) with `answer`; rows without snippets never reach
+    the generator.  It is called with messages, questions and the temperature; the system prompt comes as
+    `system` if it has such a parameter, else at the head of each message."""
+    apart = takes_system(generator)
 
     @F.pandas_udf("string")
     def call(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for messages, questions in batches:
-            yield pd.Series(list(generator(messages.tolist(), questions.tolist(), temperature)), dtype=object)
+            told = messages.tolist() if apart else [f"{system}\n\n{m}" for m in messages]
+            answers = generator(told, questions.tolist(), temperature, **({"system": system} if apart else {}))
+            yield pd.Series(list(answers), dtype=object)
 
     call = call.asNondeterministic()
     can = F.coalesce(F.col("n_chunks"), F.lit(0)) > 0
@@ -95,7 +115,7 @@ def refined_question(question: Column, partial: Column) -> Column:
     return F.concat(question, F.lit("\n\nPartial answer:\n"), partial)
 
 
-def answer_questions(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], chunks: DataFrame, generator: Generator, mode: str = "iterative", store: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+def answer_questions(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], chunks: DataFrame, generator: Generator, mode: str = "iterative", store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """query_id, question, answer, mode, passes, partial_answer, contexts, grounded, ungrounded_claims.
 
     `retrieve` takes questions (query_id, question) and gives hits (query_id, position, doc_id).
@@ -145,8 +165,8 @@ def confidence(samples: DataFrame, pairs: DataFrame, threshold: float = THRESHOL
     out = firsts.join(means, group, "left").fillna(0.0, ["confidence", "lexical_similarity", "semantic_similarity"])
     refusal = F.col("answer") == REFUSAL_ANSWER
     out = out.withColumn("level", level(F.col("confidence"), threshold)).withColumn("should_refuse", refusal | (F.col("confidence") < threshold))
-    below = F.format_string(f"Low confidence: answer agreement %.2f is below the configured threshold {threshold:.2f}.", "confidence")
-    warning = F.when(F.col("should_refuse"), F.when(refusal, "Low confidence: the generator could not ground an answer in the retrieved context.").otherwise(below))
+    below = F.format_string(f"The sampled answers agree by %.2f only; {threshold:.2f} is asked for.", "confidence")
+    warning = F.when(F.col("should_refuse"), F.when(refusal, "No answer could be grounded in the snippets that were found.").otherwise(below))
     return out.withColumn("warning", warning)
 
 
@@ -157,7 +177,7 @@ def apply_confidence(answers: DataFrame, judged: DataFrame) -> DataFrame:
     return joined.withColumn("candidate_answer", F.when(refuse, F.col("answer"))).withColumn("answer", F.when(refuse, REFUSAL_ANSWER).otherwise(F.col("answer")))
 
 
-def sampled(asked: DataFrame, generator: Generator, temperatures: tuple[float, ...] = TEMPERATURES, store: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+def sampled(asked: DataFrame, generator: Generator, temperatures: tuple[float, ...] = TEMPERATURES, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """query_id, sample, answer: one answer for each temperature."""
     out = None
     for i, t in enumerate(temperatures):

@@ -114,7 +114,7 @@ def readme_sections(text: str) -> list[tuple[str, str, int, int, str, str]]:
     windows: list[list] = []  # title, first, last line
     headed = False
     for number, line in enumerate(lines, 1):
-        heading = re.match(r"#{1,6}\s+(.+?)\s*#*\s*$", line.strip())
+        heading = re.match(r"#{1,6}\s+(.+)", line.strip())
         if heading:
             headed = True
             windows.append([heading[1].strip(), number, number])
@@ -131,7 +131,7 @@ def readme_sections(text: str) -> list[tuple[str, str, int, int, str, str]]:
         if not body:
             continue
         part += 1
-        short = re.sub(r"[^a-z0-9]+", "-", title.lower()).strip("-")[:60].rstrip("-")
+        short = re.sub(r"[^a-z0-9]+", "-", title.lower()).strip("-")[:60]
         name = f"README:{short or f'part-{part}'}"
         out.append((name, name, start, end, title, body))
     return out

@@ -80,31 +80,55 @@ def score_from_distance(distance: Column) -> Column:
     return F.coalesce(1.0 - distance.try_cast("double"), F.lit(0.0))
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; those without length stay zero."""
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+
+
+def in_blocks(rows: DataFrame, asked: DataFrame, k: int, block: int, out_type: T.StructType, shard: int = 50_000) -> DataFrame:
+    """query_id, doc_id, score: each shard's k nearest to each query, for any number of queries."""
+    blocks, shards = -(-asked.count() // block), max(1, -(-rows.count() // shard))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = rows.select("doc_id", "v", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("s"), every(blocks, "b"))
+    right = asked.select("query_id", F.col("v").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b"), every(shards, "s"))
+
+    def nearest(points: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if points.num_rows and queries.num_rows:
+            matrix = lambda t, c: units(np.array(t[c].to_pylist(), dtype=np.float64))
+            scores = matrix(queries, "q") @ matrix(points, "v").T
+            ids, names = np.array(points["doc_id"].to_pylist(), dtype=object), queries["query_id"].to_pylist()
+            for name, s in zip(names, scores, strict=True):
+                top = np.lexsort((ids, -np.round(s, 9)))[:k]
+                for column, values in zip(out, ([name] * len(top), ids[top].tolist(), s[top].tolist()), strict=True):
+                    column += values
+        return pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(out, out_type.fields, strict=True)], names=out_type.fieldNames())
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(nearest, out_type)
+
+
 def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """query_id, doc_id, score, rank: exact nearest by cosine.
 
-    The queries, whose number is bounded by `block` at a time, go to every partition of the
-    vectors as one matrix; a partition puts out k rows for each query, so what is shuffled
-    grows with partitions, not with vectors.  Ties go to the smaller id.
+    Up to `block` queries go to every partition of the vectors as one matrix; a partition puts
+    out k rows for each query, so what is shuffled grows with partitions, not with vectors.
+    More queries are dealt to blocks, and each meets each shard of the vectors in a task of
+    one plan.  Ties go to the smaller id.
     """
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
     rows = vectors.select(F.col(key).alias("doc_id"), F.col(vector).alias("v")).filter(F.col("doc_id").isNotNull() & F.col("v").isNotNull())
     asked = queries.select(F.col(query_key).alias("query_id"), F.col(vector).alias("v")).filter(F.col("query_id").isNotNull() & F.col("v").isNotNull())
     out_type = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id")))
     collected = asked.limit(block + 1).collect()
     if len(collected) > block:
-        parts = -(-asked.count() // block)
-        numbered = queries.withColumn("__part", F.pmod(F.xxhash64(query_key), F.lit(parts)))
-        found = [knn_topk(vectors, numbered.filter(F.col("__part") == p), k, key, query_key, vector, 2 * block) for p in range(parts)]
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more)
-        return out
+        return in_blocks(rows, asked, k, block, out_type).withColumn("rank", place).filter(F.col("rank") <= k)
     ids = [r.query_id for r in collected]
-    matrix = np.array([r.v for r in collected], dtype=np.float64).reshape(len(ids), -1)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+    unit = units(np.array([r.v for r in collected], dtype=np.float64).reshape(len(ids), -1))
     shared = vectors.sparkSession.sparkContext.broadcast((ids, unit))  # at most `block` vectors
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +137,8 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "ve
         for batch in batches:
             if not batch.num_rows or not len(names):
                 continue
-            x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            scores = np.concatenate([best_s, q @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T], axis=1)
+            x = units(np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1))
+            scores = np.concatenate([best_s, q @ x.T], axis=1)
             points = np.concatenate([best_i, np.broadcast_to(np.array(batch.column(0).to_pylist(), dtype=object), (len(names), batch.num_rows))], axis=1)
             order = np.array([np.lexsort((p, -np.round(s, 9)))[:k] for s, p in zip(scores, points, strict=True)])
             best_s, best_i = np.take_along_axis(scores, order, 1), np.take_along_axis(points, order, 1)
@@ -127,7 +150,6 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "ve
     from pyspark.sql.pandas.types import to_arrow_type
 
     pa_type = [to_arrow_type(out_type[c].dataType) for c in ("query_id", "doc_id")]
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id")))
     return rows.mapInArrow(nearest, out_type).withColumn("rank", place).filter(F.col("rank") <= k)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import bleu1, context_hit, context_precision, context_recall, missing, rouge1, rouge_l, token_overlap
-from ..functions.text import clamp, is_refusal
+from ..functions.text import REFUSAL_ANSWER, clamp, is_refusal
 from ..schema import JUDGE_SCORES
 
 
@@ -24,18 +24,13 @@ class Condition:
     mode: str
 
 
-#: The four conditions, the questions that have no answer, the report's columns.
+#: The four conditions and the report's columns.
 CONDITIONS = (
     Condition("A", "Dense only, single-pass", "dense", "single-pass", "single"),
     Condition("B", "Hybrid, single-pass", "hybrid", "single-pass", "single"),
     Condition("C", "Dense only, iterative", "dense", "iterative (2-pass)", "iterative"),
     Condition("D", "Hybrid, iterative", "hybrid", "iterative (2-pass)", "iterative"),
 )
-ADVERSARIAL_QUERIES = (
-    "Which npm script deploys the React frontend to production?",
-    "Where is the Stripe webhook signature verified?",
-    "How does the Kubernetes operator rotate TLS certificates?",
-)
 REPORT_FIELDS = (
     "condition_id label retrieval retrieval_passes mode total_questions answerable_questions refusal_questions context_hit_rate "
     "context_recall context_precision answer_relevance_proxy refusal_accuracy adversarial_queries adversarial_refusal_rate "
@@ -43,6 +38,14 @@ REPORT_FIELDS = (
 ).split()
 
 
+#: Questions that no code base answers.
+ADVERSARIAL_QUERIES = (
+    "In which file is the moon's phase written to the printer?",
+    "What does the function that pays the staff's pensions return?",
+    "Which class steers the harbour crane at night?",
+)
+
+
 def conditions(spark: SparkSession) -> DataFrame:
     rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in (("condition_id", c.id), ("label", c.label), ("retrieval", c.retrieval), ("retrieval_passes", c.retrieval_passes), ("mode", c.mode))]) for c in CONDITIONS])
     return spark.range(1).select(F.inline(rows))
@@ -99,8 +102,26 @@ def refused_or_flagged(answer: Column, low_confidence: Column, grounded: Column)
     return is_refusal(answer) | F.coalesce(low_confidence, F.lit(False)) | ~F.coalesce(grounded, F.lit(True))
 
 
-def run_ablation(items: DataFrame, pipelines: Mapping[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """Records and summary by condition.  pipelines: for each condition id, questions (query_id, question)
+def oracle_answers(items: DataFrame) -> DataFrame:
+    """Each item's own truth as if it were an output (id, answer, contexts): scores of these must be perfect."""
+    answer = F.when(F.col("expected_refusal"), REFUSAL_ANSWER).otherwise(F.col("ground_truth_answer"))
+    return items.select("id", answer.alias("answer"), F.col("ground_truth_context").alias("contexts"))
+
+
+def external_means(scores: DataFrame, *by: str, prefix: str = "external_") -> DataFrame:
+    """Means of the numeric columns of an outside scorer's rows."""
+    numeric = [n for n, t in scores.dtypes if n not in by and t.split("(")[0] in ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")]
+    return scores.groupBy(*by).agg(*[mean(n).alias(prefix + n) for n in numeric])
+
+
+def report_fields(report: DataFrame) -> list[str]:
+    """The report's columns: the fixed ones, then whatever else there is by name."""
+    return [*REPORT_FIELDS, *sorted(c for c in report.columns if c not in REPORT_FIELDS)]
+
+
+def run_ablation(items: DataFrame, pipelines: Mapping[str, Callable[[DataFrame], DataFrame]], scorer: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records and summary by condition.  `scorer`: records to rows of condition_id and numbers, whose means
+    the report takes in.  pipelines: for each condition id, questions (query_id, question)
     to answers (query_id, answer, contexts, grounded, and, if judged, confidence and should_refuse)."""
     spark = items.sparkSession
     probes = adversarial_queries(items)
@@ -121,7 +142,9 @@ def run_ablation(items: DataFrame, pipelines: Mapping[str, Callable[[DataFrame],
     rates = attacks.groupBy("condition_id").agg(F.count("*").alias("adversarial_queries"), mean(flagged).alias("adversarial_refusal_rate"))
     trust = records.groupBy("condition_id").agg(mean("confidence").alias("avg_confidence"), mean("should_refuse").alias("low_confidence_rate"))
     report = conditions(spark).join(summary(records, "condition_id"), "condition_id").join(rates, "condition_id").join(trust, "condition_id")
-    return records, report.select(*REPORT_FIELDS).orderBy("condition_id")
+    if scorer is not None:
+        report = report.join(external_means(scorer(records), "condition_id"), "condition_id", "left")
+    return records, report.select(*report_fields(report)).orderBy("condition_id")
 
 
 def lexical_baselines(records: DataFrame, answer: str = "answer", truth: str = "ground_truth_answer") -> DataFrame:

@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_tokens, text_or_empty, tokenize
+from ..functions.text import let, query_tokens, text_or_empty, tokenize
 
 #: The usual constants of the scoring formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Distinct asked terms up to which they are broadcast.
+ASKED_TERMS = 50_000
 
 
 def chunk_document(name: str = "function_name", docstring: str = "docstring", source: str = "source", filepath: str = "filepath") -> Column:
@@ -28,10 +30,22 @@ class SparseIndex:
 
 
 def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, term, tf, dl: a document's length rides along with its terms, so no second pass over the texts is needed."""
-    tokens = docs.select(F.col(key).alias("doc_id"), tokenize(F.col(text)).alias("tokens"))
-    exploded = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """doc_id, term, tf, dl.  A document is a row, so its terms are counted there, as runs of its sorted tokens: nothing is shuffled."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        counted = let(begins, lambda b: F.transform(b, lambda i, n: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, n + 1), F.size(s)) - i).cast("long").alias("tf"))))
+        return F.when(F.size(s) > 0, counted)
+
+    tokens = docs.select(F.col(key).alias("doc_id"), F.sort_array(tokenize(F.col(text))).alias("tokens"))
+    return tokens.select("doc_id", F.size("tokens").alias("dl"), F.inline(let(F.col("tokens"), runs))).select("doc_id", "term", "tf", "dl")
+
+
+def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, df, total: documents of each term, and in the row without term all documents and their tokens; one pass."""
+    tokens = docs.select(tokenize(F.col(text)).alias("t"))
+    every = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("t"))
+    return tokens.select(F.size("t").alias("n"), F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("total"))
 
 
 def document_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -41,7 +55,11 @@ def document_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def inverse_frequencies(postings: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """term, df, idf; a term in more than half of the documents gets a share of the mean idf."""
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    return weighted(postings.groupBy("term").agg(F.count("*").alias("df")), stats, epsilon)
+
+
+def weighted(df: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """term, df, idf of the document frequencies."""
     one = stats.select("n_docs")  # one row
     raw = df.join(F.broadcast(one)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -49,9 +67,10 @@ def inverse_frequencies(postings: DataFrame, stats: DataFrame, epsilon: float =
 
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> SparseIndex:
-    postings = term_frequencies(docs, key, text)
-    stats = document_stats(docs, text)
-    return SparseIndex(postings, inverse_frequencies(postings, stats), stats)
+    """Postings by one pass over the texts, terms and statistics by another."""
+    counts = corpus_counts(docs, text)
+    stats = counts.filter("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_docs"), (F.sum("total") / F.sum("df")).alias("avg_len"))
+    return SparseIndex(term_frequencies(docs, key, text), weighted(counts.filter("term IS NOT NULL").select("term", "df"), stats), stats)
 
 
 def question_terms(queries: DataFrame, key: str = "query_id", text: str = "question") -> DataFrame:
@@ -61,9 +80,11 @@ def question_terms(queries: DataFrame, key: str = "query_id", text: str = "quest
 
 
 def bm25_scores(index: SparseIndex, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, doc_id, score: only postings of asked terms reach the shuffle."""
-    weighted = terms.join(index.terms.select("term", "idf"), "term")
-    hits = index.postings.join(weighted, "term").join(F.broadcast(index.stats))
+    """query_id, doc_id, score.  The asked terms are broadcast if they are few enough, so postings are
+    filtered where they are read and only hits reach the shuffle; else both sides are shuffled by term."""
+    known = terms.join(index.terms.select("term", "idf"), "term")
+    few = terms.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS
+    hits = index.postings.join(F.broadcast(known) if few else known, "term").join(F.broadcast(index.stats))  # stats: one row
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avg_len")))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))

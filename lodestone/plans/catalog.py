@@ -11,7 +11,7 @@ from ..functions import metrics as M
 from ..functions import text as X
 from ..operators import answering, chunking, dense, evaluation, fusion, sparse
 from ..session import importable
-from .store import report_rows, row_digest
+from .store import report_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,13 +178,6 @@ def linked_neighbors(spark: SparkSession, d: str) -> DataFrame:
     near = fusion.linked_neighbours(table(spark, d, "conversations"), 2, ("conv_id",), ("turn",), "turn")
     return near.select("conv_id", "turn", F.array_join(F.transform("linked", lambda x: x.cast("string")), ",").alias("linked"))
 
-
-@query("SELECT text_hash, doc_id FROM (SELECT sha256(text) AS text_hash, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS p FROM documents) WHERE p = 1")
-def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", X.text_hash(F.col("text")).alias("text_hash"))
-    return docs.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
-
-
 @query(
     """WITH hits AS (SELECT conv_id AS query_id, turn AS rank, turn // 2 AS doc_id, lead(turn // 2) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
 p AS (SELECT query_id, rank, 0 AS payload, doc_id FROM hits UNION ALL SELECT query_id, rank, 1, nxt FROM hits WHERE nxt IS NOT NULL),
@@ -225,13 +218,6 @@ SELECT doc_id, CAST(section AS BIGINT) AS section, min(pos) + 1 AS first_line, m
 def paragraph_sections(spark: SparkSession, d: str) -> DataFrame:
     return chunking.paragraph_sections(table(spark, d, "documents"))
 
-
-@query()
-def readme_sections(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit("/README.md")).alias("filepath"), F.col("text").alias("raw_content"))
-    return chunking.chunk_files(files, 40, 5).drop("source")
-
-
 def _page_path() -> F.Column:
     bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     return F.regexp_replace(bare, "/+$", "")
@@ -239,18 +225,6 @@ def _page_path() -> F.Column:
 
 _PATH = "regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/+$', '')"
 
-
-@query(
-    f"""WITH f AS (SELECT CASE WHEN page_id % 3 = 0 THEN {_PATH} || '.js' WHEN page_id % 3 = 1 THEN {_PATH} || '/README.md' ELSE {_PATH} END AS path, html FROM pages),
-r AS (SELECT CASE WHEN NOT regexp_matches(lower(path), '(/readme\\.md|\\.(py|js|ts|java))$') THEN 'unsupported_type' WHEN len({lines_sql("html")}) > 3 THEN 'too_many_lines' END AS reason FROM f)
-SELECT reason, count(*) AS files FROM r WHERE reason IS NOT NULL GROUP BY reason"""
-)
-def skip_reason_counts(spark: SparkSession, d: str) -> DataFrame:
-    path = F.when(F.col("page_id") % 3 == 0, F.concat(_page_path(), F.lit(".js"))).when(F.col("page_id") % 3 == 1, F.concat(_page_path(), F.lit("/README.md"))).otherwise(_page_path())
-    files = table(spark, d, "pages").select(path.alias("filepath"), F.col("html").alias("raw_content"))
-    return chunking.skip_counts(files.withColumn("skip_reason", chunking.skip_reason(F.col("filepath"), F.col("raw_content"), 3)))
-
-
 @query(
     f"""SELECT page_id, {_PATH} AS path FROM pages WHERE ({_PATH} LIKE 'm.%' OR {_PATH} = 'm' OR regexp_matches({_PATH}, '^[^/]+/(en|fr)/')) AND NOT regexp_matches({_PATH}, '^[^/]+/fr/')"""
 )
@@ -260,12 +234,6 @@ def path_prefix_filter(spark: SparkSession, d: str) -> DataFrame:
     mobile = rows.filter(F.col("path").startswith("m.") & ~F.col("path").rlike("^[^/]+/fr/") & ~chunking.under_prefix(F.col("below"), "en"))
     return kept.unionByName(mobile).select("page_id", "path")
 
-
-@query("SELECT item_id, sha256(CAST(item_id AS VARCHAR) || chr(0) || text || chr(0)) AS row_sha256 FROM benchmark")
-def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", row_digest(F.col("item_id"), F.col("text")).alias("row_sha256"))
-
-
 # answers -----------------------------------------------------------------------
 
 _TURNS = "SELECT a.conv_id, a.turn, a.text AS truth, b.text AS answer FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"
@@ -303,7 +271,13 @@ def bleu1(spark: SparkSession, d: str) -> DataFrame:
     return _turns(spark, d).select("conv_id", "turn", F.round(M.bleu1(F.col("answer"), F.col("truth")), 6).alias("bleu"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {words("answer")} AS a, {words("truth")} AS b FROM ({_TURNS})),
+dp AS (SELECT conv_id, turn, 0 AS i, list_transform(range(len(b) + 1), lambda j: 0) AS r FROM t UNION ALL
+  SELECT conv_id, turn, i + 1, list_transform(range(1, len(m) + 1), lambda j: list_max(m[1:j])) FROM
+    (SELECT t.conv_id, t.turn, i, list_prepend(0, list_transform(range(1, len(b) + 1), lambda j: greatest(r[j + 1], r[j] + CASE WHEN a[i + 1] = b[j] THEN 1 ELSE 0 END))) AS m FROM dp JOIN t ON t.conv_id = dp.conv_id AND t.turn = dp.turn AND i < len(a)))
+SELECT dp.conv_id, dp.turn, round(CASE WHEN r[-1] > 0 THEN 2.0 * r[-1] / (len(a) + len(b)) ELSE 0 END, 6) AS "rougeL_f1" FROM dp JOIN t ON t.conv_id = dp.conv_id AND t.turn = dp.turn AND i = len(a)"""
+)
 def rougeL(spark: SparkSession, d: str) -> DataFrame:  # noqa: N802
     return _turns(spark, d).select("conv_id", "turn", F.round(M.rouge_l(F.col("answer"), F.col("truth")), 6).alias("rougeL_f1"))
 
@@ -341,18 +315,24 @@ def prompt_budget(spark: SparkSession, d: str) -> DataFrame:
     return answering.within_budget(rows, 400, "conv_id", "turn", "block")
 
 
-_ASCII = "regexp_replace(html, '[^\\x00-\\x7F]', ' ', 'g')"
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
+def _identifiers_sql(x: str, pattern: str, begin: str = f"(?:^|{_EDGE})", end: str = f"(?:$|{_EDGE})") -> str:
+    """Matches of a pattern between the edges of words.  Each edge is doubled first, so that one match's end can be the next one's begin."""
+    return f"regexp_extract_all(regexp_replace({x}, '({_EDGE})', '\\1\\1', 'g'), '{begin}({pattern}){end}', 1)"
 
 
 def _claims_sql(x: str) -> str:
-    found = ", ".join(f"regexp_extract_all({x}, '{p}', {g})" for p, g in X.CLAIMS)
-    return f"list_sort(list_distinct(list_filter(list_transform(flatten([{found}]), lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g')), lambda c: length(c) > 2)))"
+    ticked = f"regexp_extract_all({x}, '`([^`\\n]+)`', 1)"
+    named = [_identifiers_sql(x, "[a-zA-Z0-9_]+", end=r"\("), *(_identifiers_sql(x, p) for p in ("[a-z]+_[a-z0-9_]+", "[a-z]+[A-Z][a-zA-Z0-9]+", "[A-Z][a-z0-9]+[A-Z][a-zA-Z0-9]+"))]
+    return f"list_sort(list_distinct(list_filter(list_transform(flatten([{', '.join([ticked, *named])}]), lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g')), lambda c: length(c) > 2)))"
 
 
-@query(f"SELECT page_id, array_to_string({_claims_sql('a')}, '|') AS claims, len(list_filter({_claims_sql('a')}, lambda c: NOT contains(url, c))) AS ungrounded FROM (SELECT page_id, url, {_ASCII} AS a FROM pages)")
+@query(f"SELECT page_id, array_to_string({_claims_sql('html')}, '|') AS claims, len(list_filter({_claims_sql('html')}, lambda c: NOT contains(url, c))) AS ungrounded FROM pages")
 def grounding_claims(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "pages").withColumn("a", F.regexp_replace("html", r"[^\x00-\x7F]", " "))
-    return rows.select("page_id", F.array_join(X.claims(F.col("a")), "|").alias("claims"), F.size(X.ungrounded_claims(F.col("a"), F.col("url"))).cast("long").alias("ungrounded"))
+    rows = table(spark, d, "pages")
+    return rows.select("page_id", F.array_join(X.claims(F.col("html")), "|").alias("claims"), F.size(X.ungrounded_claims(F.col("html"), F.col("url"))).cast("long").alias("ungrounded"))
 
 
 @query(
@@ -365,11 +345,10 @@ def citation_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT page_id, array_to_string(list_filter(regexp_extract_all({_ASCII}, '\\b[A-Za-z_][A-Za-z0-9_]*\\b'), lambda t: contains(t, '_') OR regexp_matches(t, '[a-z][A-Z]')), ' ') AS required FROM pages"""
+    f"""SELECT page_id, array_to_string(list_filter({_identifiers_sql('html', '[A-Za-z_][A-Za-z0-9_]*')}, lambda t: contains(t, '_') OR regexp_matches(t, '[a-z][A-Z]')), ' ') AS required FROM pages"""
 )
 def required_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "pages").withColumn("a", F.regexp_replace("html", r"[^\x00-\x7F]", " "))
-    return rows.select("page_id", F.array_join(X.required_identifiers(F.col("a")), " ").alias("required"))
+    return table(spark, d, "pages").select("page_id", F.array_join(X.required_identifiers(F.col("html")), " ").alias("required"))
 
 
 @query(
@@ -444,7 +423,7 @@ def run_log_jsonl(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id, turn, rtrim(substr(ltrim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-') AS slug,
+    """SELECT conv_id, turn, substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS slug,
 CASE WHEN length(text) <= 50 THEN text ELSE regexp_replace(substr(text, 1, 35), '\\s+$', '') || chr(10) || '...[truncated]' END AS short FROM conversations"""
 )
 def slugs_and_limits(spark: SparkSession, d: str) -> DataFrame:

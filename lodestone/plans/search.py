@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import answering, dense, fusion, sparse
+from ..operators.clients import semantic_by
 from ..session import importable
 from .store import load_sparse
 
@@ -48,12 +49,19 @@ class Engine:
 
         return retrieve
 
-    def answer(self, queries: DataFrame, generator: answering.Generator, mode: str = "iterative", retrieval: str = "hybrid", k: int = 7, judge: bool = False) -> DataFrame:
-        """Answers; with `judge`, agreement of sampled answers decides whether they stand."""
+    def answer(self, queries: DataFrame, generator: answering.Generator, mode: str = "iterative", retrieval: str = "hybrid", k: int = 7, judge: bool = False,
+               semantic: Callable[[Column, Column], Column] | None = None, estimator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """Answers; with `judge`, agreement of sampled answers decides whether they stand.  Their meaning is
+        compared by `semantic`, by default by the cosine of the engine's own vectors; `estimator`
+        (questions with their context to query_id, confidence, should_refuse) takes the place of all that."""
         retrieve = self.retriever(retrieval, k)
         out = answering.answer_questions(queries, retrieve, self.chunks, generator, mode)
         if not judge:
             return out
         found = answering.contexts(retrieve(queries), self.chunks)
-        samples = answering.sampled(queries.select("query_id", "question").join(found, "query_id", "left"), generator)
-        return answering.apply_confidence(out, answering.confidence(samples, answering.agreement_pairs(samples)))
+        asked = queries.select("query_id", "question").join(found, "query_id", "left")
+        if estimator is not None:
+            return answering.apply_confidence(out, estimator(asked))
+        samples = answering.sampled(asked, generator)
+        similar = semantic or semantic_by(self.embedder or dense.hashing_embedder())
+        return answering.apply_confidence(out, answering.confidence(samples, answering.agreement_pairs(samples, semantic=similar)))

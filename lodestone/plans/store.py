@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import time
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, dense, sparse
+from ..operators import chunking, dense, evaluation, sparse
+from ..operators.records import chunk_summary
+from ..session import stored
 from ..sources.repository import read_repository
 
-VERSION = 1
+VERSION = 2
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -36,15 +39,18 @@ def row_digest(*columns: Column) -> Column:
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
+def fingerprint_of(digests: DataFrame, digest: str = "d") -> DataFrame:
+    """One row, `fingerprint`: a digest of the multiset of the rows' digests.  Their parts are added up, so
+    nothing is gathered and no order is needed: each digest holds its row's place already."""
+    part = lambda i: F.sum(F.conv(F.substring(digest, 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    sums = digests.agg(F.count("*").cast("string").alias("n"), *[F.coalesce(part(i), F.lit("0")).alias(f"s{i}") for i in range(4)])
+    return sums.select(F.sha2(F.concat_ws(":", "n", "s0", "s1", "s2", "s3").cast("binary"), 256).alias("fingerprint"))
+
+
 def fingerprint(chunks: DataFrame) -> str:
-    """A digest of all chunks in corpus order.  Chunks are digested where they are; their digests
-    are gathered in 4,096 groups by the order's prefix sums, so no task holds the corpus."""
+    """A digest of all chunks with their places."""
     columns = ["id", "filepath", "function_name", "start_line", "end_line", "docstring", "source", "language"]
-    digests = chunks.select("filepath", "start_line", "end_line", "function_name", row_digest(*map(F.col, columns)).alias("d"))
-    groups = digests.groupBy(F.pmod(F.xxhash64("filepath"), F.lit(4096)).alias("g")).agg(F.sort_array(F.collect_list(F.struct("filepath", "start_line", "end_line", "function_name", "d"))).alias("l"))
-    each = groups.select("g", F.sha2(F.array_join(F.transform("l", lambda x: x["d"]), "").cast("binary"), 256).alias("d"))
-    out = each.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "").cast("binary"), 256).alias("f"))
-    return out.first().f
+    return fingerprint_of(chunks.select(row_digest(*map(F.col, columns)).alias("d"))).first().fingerprint
 
 
 def build_index(
@@ -56,6 +62,13 @@ def build_index(
     files = read_repository(spark, repository, all_folders=True)
     text = files.select("filepath", F.when(chunking.is_text(F.col("content")), F.decode("content", "UTF-8")).alias("raw_content"))
     found = chunking.filter_paths(chunking.chunk_files(text, max_chunk_lines, overlap), include, exclude, exclude_tests)
+    options = {"repository": repository, "include": list(include), "exclude": list(exclude), "exclude_tests": exclude_tests, "max_chunk_lines": max_chunk_lines, "chunk_overlap_lines": overlap}
+    return write_index(found, path, embedder, model, options)
+
+
+def write_index(found: DataFrame, path: str, embedder: dense.Embedder | None = None, model: str = "hashing-64", options: dict | None = None) -> dict:
+    """The tables of an index of chunks, and its manifest."""
+    spark = found.sparkSession
     found.write.mode("overwrite").parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks")
     count = chunks.count()
@@ -72,11 +85,7 @@ def build_index(
     stored = spark.read.parquet(f"{path}/postings")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
     sparse.inverse_frequencies(stored, spark.read.parquet(f"{path}/stats")).write.mode("overwrite").parquet(f"{path}/terms")
-    manifest = {
-        "version": VERSION, "built_at": datetime.now(UTC).isoformat(), "repository": repository, "model_name": model, "chunk_count": count,
-        "fingerprint": fingerprint(chunks), "include": list(include), "exclude": list(exclude), "exclude_tests": exclude_tests,
-        "max_chunk_lines": max_chunk_lines, "chunk_overlap_lines": overlap,
-    }
+    manifest = {"version": VERSION, "built_at": datetime.now(UTC).isoformat(), "model_name": model, "chunk_count": count, "fingerprint": fingerprint(chunks), **(options or {})}
     write_text(spark, f"{path}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True))
     return manifest
 
@@ -109,14 +118,76 @@ def append_jsonl(rows: DataFrame, path: str | None) -> None:
         rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(path)
 
 
+def timestamp() -> Column:
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def elapsed_ms(since: float) -> float:
+    """Milliseconds since a reading of time.perf_counter, with three places."""
+    return round((time.perf_counter() - since) * 1000, 3)
+
+
 def log_records(answers: DataFrame) -> DataFrame:
     """What is logged of answers, with the time."""
-    return answers.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), *answers.columns)
+    return answers.select(timestamp().alias("timestamp"), *answers.columns)
+
+
+def run_records(answers: DataFrame, passes: DataFrame, top_k: int, latency_ms: Column | None = None) -> DataFrame:
+    """The run log's records of answers (query_id, question, answer, mode, partial_answer) and their passes
+    (query_id, pass, query, chunks, retrieval_ms, generation_ms): both passes' traces, chunks by five fields."""
+    trace = F.struct("query", chunk_summary(F.col("chunks")).alias("retrieved_chunks"), "retrieval_ms", "generation_ms")
+    each = passes.groupBy("query_id").agg(*[F.max_by(trace, F.when(F.col("pass") == n, 1)).alias(f"pass_{n}") for n in (1, 2)])
+    joined = answers.join(each, "query_id", "left")
+    return joined.select(
+        timestamp().alias("timestamp"), "mode", F.col("question").alias("query"), F.lit(top_k).alias("top_k"), "pass_1", "pass_2", "partial_answer", "answer",
+        (F.lit(None).cast("double") if latency_ms is None else latency_ms).alias("latency_ms"),
+    )
+
+
+def confidence_records(judged: DataFrame, samples: DataFrame, pairs: DataFrame, threshold: float, temperatures: tuple[float, ...]) -> DataFrame:
+    """The confidence log's records: each question's verdict with its sampled answers and their pairs' scores."""
+    raw = samples.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sample", "answer"))), lambda x: x["answer"]).alias("raw_answers"))
+    scored = pairs.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("left", "right", "lexical", "semantic", "combined"))).alias("pair_scores"))
+    whole = judged.join(raw, "query_id", "left").join(scored, "query_id", "left")
+    return whole.select(timestamp().alias("timestamp"), F.lit(threshold).alias("threshold"), F.array(*map(F.lit, temperatures)).alias("temperatures"), *whole.columns)
+
+
+def write_ablation(records: DataFrame, report: DataFrame, path: str) -> None:
+    """An ablation's records and report as JSON lines below `path`."""
+    records.write.mode("overwrite").json(f"{path}/records")
+    report.write.mode("overwrite").json(f"{path}/report")
+
+
+def read_ablation(spark: SparkSession, path: str, items: DataFrame) -> DataFrame:
+    """Records to judge (condition_id, id, question, answer, expected_refusal, ground_truth_answer): from tables
+    that `write_ablation` wrote, or from one JSON document of conditions with their records."""
+    if exists(spark, f"{path}/records"):
+        rows = spark.read.json(f"{path}/records")
+    else:
+        document = spark.read.option("multiLine", True).json(path)
+        if "conditions" not in document.columns:
+            raise ValueError("the document has no list of conditions")
+        each = document.select(F.explode("conditions").alias("c")).filter("c.metrics.records IS NOT NULL")
+        rows = each.select(F.col("c.condition.id").alias("condition_id"), F.explode("c.metrics.records").alias("r")).select("condition_id", "r.*")
+    own = items.select("id", F.col("question").alias("__q"), "ground_truth_answer", F.col("expected_refusal").alias("__e"))
+    rows = rows.drop("ground_truth_answer").join(own, "id")
+    asked = F.coalesce("question", "__q") if "question" in rows.columns else F.col("__q")
+    refuse = F.coalesce("expected_refusal", "__e") if "expected_refusal" in rows.columns else F.col("__e")
+    return rows.select("condition_id", "id", asked.alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), refuse.alias("expected_refusal"), "ground_truth_answer")
+
+
+def judge_ablation(spark: SparkSession, path: str, items: DataFrame, judge_fn: evaluation.Judge, out: str) -> DataFrame:
+    """Judge a stored ablation: records as JSON lines and the summary as CSV below `out`; the summary is returned."""
+    judged = stored(evaluation.lexical_baselines(evaluation.judge(read_ablation(spark, path, items), judge_fn)))
+    judged.write.mode("overwrite").json(f"{out}/records")
+    summary = evaluation.judge_summary(judged, "condition_id").orderBy("condition_id")
+    write_report(summary, f"{out}/summary")
+    return summary
 
 
 def report_rows(report: DataFrame) -> DataFrame:
     """A report as strings: floats with six places, nulls empty."""
-    shape = lambda n, t: F.format_string("%.6f", n) if t in ("double", "float") else F.col(n).cast("string")
+    shape = lambda n, t: F.when(F.col(n).isNotNull(), F.format_string("%.6f", n)) if t in ("double", "float") else F.col(n).cast("string")
     return report.select(*[F.coalesce(shape(n, t), F.lit("")).alias(n) for n, t in report.dtypes])
 
 

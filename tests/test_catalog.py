@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lodestone.plans import catalog
+from lodestone.plans import catalog, records_catalog  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ROOT = Path(__file__).resolve().parents[1]
