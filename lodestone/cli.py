@@ -1,20 +1,21 @@
-"""Command line: ingest, chunk, build, search."""
+"""Command line: ingest, chunk, build, search, answer, evaluate, ablation, judge."""
 
 from __future__ import annotations
 
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chunking
+from .operators import chunking, clients, evaluation
+from .operators.records import metric_text
+from .plans import store
 from .plans.search import Engine
-from .plans.store import build_index, load_or_build, write_raw_files
-from .sources.repository import read_repository
+from .sources.repository import read_eval_set, read_repository
 
 
-def main(argv: list[str] | None = None) -> int:
+def parsed(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="lodestone")
     commands = parser.add_subparsers(dest="command", required=True)
     for name in ("ingest", "chunk", "build"):
@@ -26,23 +27,111 @@ def main(argv: list[str] | None = None) -> int:
         one.add_argument("--exclude", action="append", default=[])
         one.add_argument("--exclude-tests", action="store_true")
         one.add_argument("--reuse", action="store_true")
-    find = commands.add_parser("search")
-    find.add_argument("index")
-    find.add_argument("question", nargs="+")
-    find.add_argument("--retrieval", default="hybrid", choices=["dense", "bm25", "hybrid"])
-    find.add_argument("--top-k", type=int, default=5)
-    args = parser.parse_args(argv)
+    for name in ("search", "answer", "evaluate", "ablation"):
+        one = commands.add_parser(name)
+        one.add_argument("index")
+        one.add_argument("--top-k", type=int, default=5 if name == "search" else 7)
+        if name in ("search", "answer"):
+            one.add_argument("question", nargs="+")
+        else:
+            one.add_argument("test_set")
+            one.add_argument("--out")
+            one.add_argument("--oracle", action="store_true", help="score the truth itself")
+        if name != "ablation":
+            one.add_argument("--retrieval", default="hybrid", choices=["dense", "bm25", "hybrid"])
+        if name != "search":
+            one.add_argument("--mode", default="iterative", choices=["single", "iterative"])
+            one.add_argument("--confidence", action="store_true")
+            one.add_argument("--log")
+            _model(one)
+    judge = commands.add_parser("judge")
+    judge.add_argument("ablation")
+    judge.add_argument("test_set")
+    judge.add_argument("--out", required=True)
+    _model(judge)
+    return parser.parse_args(argv)
+
+
+def _model(parser: argparse.ArgumentParser) -> None:
+    parser.add_argument("--base-url", default="http://localhost:11434/v1")
+    parser.add_argument("--model", default="local")
+    parser.add_argument("--api-key", default="")
+
+
+def judge_by(client) -> evaluation.Judge:
+    """A judge that asks a model for numbers as JSON."""
+
+    def judge(row: dict) -> dict:
+        told = (
+            "Score the answer against the expected one. Reply with a JSON object of numbers from 0 to 1: answer_correctness, faithfulness, refusal_quality.\n"
+            f"Question: {row['question']}\nExpected: {row['ground_truth_answer']}\nTo be refused: {row['expected_refusal']}\nAnswer: {row['answer']}"
+        )
+        text = client([told], [row["question"]], 0.0)[0]
+        return json.loads(text[text.index("{") : text.rindex("}") + 1])
+
+    return judge
+
+
+def show(frame: DataFrame) -> None:
+    for line in frame.toJSON().toLocalIterator():
+        print(line)
+
+
+def print_summary(report: DataFrame) -> None:
+    """A line for each condition."""
+    for r in report.select("condition_id", "label", *[metric_text(F.col(c)).alias(c) for c in ("context_hit_rate", "answer_relevance_proxy", "adversarial_refusal_rate")]).collect():  # four rows
+        print(f"{r.condition_id} {r.label}: context hits {r.context_hit_rate}, answers {r.answer_relevance_proxy}, refusals {r.adversarial_refusal_rate}")
+
+
+def main(argv: list[str] | None = None, client=None) -> int:
+    """Run a command; `client` takes the place of the chat service."""
+    args = parsed(argv)
     spark = SparkSession.builder.getOrCreate()
+    if hasattr(args, "base_url"):
+        client = client or clients.ChatClient(args.base_url, args.model, args.api_key)
+    if args.command in ("ingest", "chunk", "build"):
+        return repository_command(spark, args)
+    if args.command == "judge":
+        show(store.judge_ablation(spark, args.ablation, read_eval_set(spark, args.test_set), judge_by(client), args.out))
+        return 0
+    engine = Engine(spark, args.index)
+    asked = lambda texts: spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(texts)], "query_id string, question string")
     if args.command == "search":
-        engine = Engine(spark, args.index)
-        queries = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(args.question)], "query_id string, question string")
         search = {"dense": engine.query_dense, "bm25": engine.query_bm25, "hybrid": engine.hybrid}[args.retrieval]
-        named = search(queries, args.top_k).join(engine.chunks.select(F.col("id").alias("doc_id"), "filepath", "function_name", "start_line", "end_line"), "doc_id")
-        for line in named.orderBy("query_id", "rank").toJSON().collect():
-            print(line)
+        places = engine.chunks.select(F.col("id").alias("doc_id"), "filepath", "function_name", "start_line", "end_line")
+        show(search(asked(args.question), args.top_k).join(places, "doc_id").orderBy("query_id", "rank"))
+        return 0
+    if args.command == "answer":
+        out = engine.answer(asked(args.question), client, args.mode, args.retrieval, args.top_k, args.confidence)
+        store.append_jsonl(store.log_records(out), args.log)
+        show(out.orderBy("query_id"))
         return 0
+    items = read_eval_set(spark, args.test_set)
+    if args.command == "evaluate":
+        if args.oracle:
+            outputs = evaluation.oracle_answers(items)
+        else:
+            outputs = engine.answer(items.select(F.col("id").alias("query_id"), "question"), client, args.mode, args.retrieval, args.top_k, args.confidence).drop("question").withColumnRenamed("query_id", "id")
+        records = evaluation.score_items(items, outputs)
+        if args.out:
+            records.write.mode("overwrite").json(args.out)
+        show(evaluation.summary(records))
+        return 0
+    pipelines = {
+        c.id: lambda queries, c=c: engine.answer(queries, client, c.mode, c.retrieval, args.top_k, args.confidence) for c in evaluation.CONDITIONS
+    }
+    records, report = evaluation.run_ablation(items, pipelines)
+    if args.out:
+        store.write_ablation(records, report, args.out)
+        store.write_report(report, f"{args.out}/summary")
+        report = spark.read.schema(report.schema).json(f"{args.out}/report").orderBy("condition_id")
+    print_summary(report)
+    return 0
+
+
+def repository_command(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.command == "build":
-        run = load_or_build if args.reuse else build_index
+        run = store.load_or_build if args.reuse else store.build_index
         manifest = run(spark, args.repository, args.out or "index", include=tuple(args.include), exclude=tuple(args.exclude), exclude_tests=args.exclude_tests, **({"max_chunk_lines": args.max_lines} if args.max_lines else {}))
         print(json.dumps(manifest, sort_keys=True))
         return 0
@@ -50,15 +139,14 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "ingest":
         kept = files.filter("skip_reason IS NULL")
         if args.out:
-            write_raw_files(kept, args.out)
+            store.write_raw_files(kept, args.out)
         print(json.dumps({"files": kept.count(), "skipped": {r.reason: r.files for r in chunking.skip_counts(files).collect()}}, sort_keys=True))
     else:
         chunks = chunking.filter_paths(chunking.chunk_files(files, args.max_lines), tuple(args.include), tuple(args.exclude), args.exclude_tests)
         if args.out:
             chunks.write.mode("overwrite").json(args.out)
         else:
-            for line in chunks.orderBy(*chunking.corpus_order()).toJSON().collect():
-                print(line)
+            show(chunks.orderBy(*chunking.corpus_order()))
     return 0
 
 

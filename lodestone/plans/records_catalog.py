@@ -416,6 +416,10 @@ def oracle_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.select("total_questions", "context_hit_rate", "context_recall", "context_precision", "answer_relevance_proxy", "refusal_accuracy")
 
 
+#: By which rule the pipelines of the four conditions answer.
+QUERIES_OF_RULES = (3, 4, 5, 6)
+
+
 def _pipeline(n: int):
     """A pipeline that answers by a rule: every n-th item is refused, others get their truth's first word."""
 
@@ -432,7 +436,7 @@ def _pipeline(n: int):
 @query()
 def ablation_report(spark: SparkSession, d: str) -> DataFrame:
     """The report over the four conditions, with pipelines that follow rules; tests hold it against plain Python."""
-    pipelines = {c.id: _pipeline(n) for c, n in zip(evaluation.CONDITIONS, (3, 4, 5, 6), strict=True)}
+    pipelines = {c.id: _pipeline(n) for c, n in zip(evaluation.CONDITIONS, QUERIES_OF_RULES, strict=True)}
     scorer = lambda rows: rows.select("condition_id", F.length("answer").alias("length"))
     _, report = evaluation.run_ablation(_items(spark, d), pipelines, scorer)
     return report.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in report.dtypes])

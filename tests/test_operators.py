@@ -206,7 +206,7 @@ def test_guards_and_confidence(spark):
     pairs = answering.agreement_pairs(samples)
     found = {r.query_id: r for r in answering.confidence(samples, pairs).collect()}
     assert found["same"].confidence == 1.0 and found["same"].level == "high" and not found["same"].should_refuse
-    assert found["apart"].confidence == 0.0 and found["apart"].should_refuse and "0.00 is below" in found["apart"].warning
+    assert found["apart"].confidence == 0.0 and found["apart"].should_refuse and "agree by 0.00" in found["apart"].warning
     assert found["one"].confidence == 0.0 and found["near"].level == "medium" and pairs.filter("query_id = 'apart'").count() == 3
 
 
