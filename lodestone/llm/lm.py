@@ -59,6 +59,15 @@ def held_out(key: int | None, folds: int = 7, fold: int = 2) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % folds == fold
 
 
+def steps(rising: np.ndarray) -> np.ndarray:
+    """Differences of rising numbers, which pack smaller than these."""
+    return np.diff(rising, prepend=rising.dtype.type(0)).astype(rising.dtype)
+
+
+def summed(differences: np.ndarray) -> np.ndarray:
+    return np.cumsum(differences.astype(np.uint64), dtype=np.uint64)
+
+
 def uniform(key: np.ndarray, *salt: int) -> np.ndarray:
     """Numbers in (0, 1) that follow from key and salt."""
     for s in salt:
@@ -188,7 +197,7 @@ class Block:
             context, word = self.context[at], self.word[at]
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
             used = np.unique(np.concatenate([context[first], word]))
-            yield int(b), pack(self.name[used], np.searchsorted(used, context[first]), np.diff(np.append(first, len(word))), np.searchsorted(used, word), self.trained[at])
+            yield int(b), pack(steps(self.name[used]), steps(np.searchsorted(used, context[first])), np.diff(np.append(first, len(word))), np.searchsorted(used, word), self.trained[at])
 
 
 class Bucket:
@@ -200,8 +209,8 @@ class Bucket:
         base = 0
         for block, data in payloads:
             name, context, run, word, count = unpack(data)
-            names.append(name)
-            contexts.append(np.repeat(context.astype(np.int64) + base, run))
+            names.append(summed(name))
+            contexts.append(np.repeat(summed(context).astype(np.int64) + base, run))
             words.append(word.astype(np.int64) + base)
             counts.append(count.astype(np.int64))
             self.blocks.append((block, len(word)))
@@ -228,7 +237,8 @@ class Bucket:
         return (np.bincount(self.w, weights=values, minlength=len(self.word)).astype(np.int64), np.bincount(self.g, weights=values, minlength=len(self.context)).astype(np.int64))
 
     def messages(self, turn: int) -> Iterator[tuple[int, bytes]]:
-        """What the owners need: in the first turn keys, customers and tables of all words; later the tables of those that may change."""
+        """What the owners need: in the first turn keys, customers and tables of all words; later the tables of those that
+        may change, those with a pair of more than one customer somewhere, as both sides know."""
         t_word, t_context = self.sums(self.t)
         c_word, c_context = self.sums(self.c)
         alone = np.array([(self.c == 1).sum(), (self.c == 2).sum()])
@@ -237,9 +247,9 @@ class Bucket:
             g = np.flatnonzero(self.split)[self.order[1][slice(*self.slices[1][owner : owner + 2])]]
             if turn:
                 w = w[self.moving[w]]
-                columns = [self.word[w], t_word[w], self.context[g], t_context[g]]
+                columns = [t_word[w], t_context[g]]  # in the order of the first turn's keys
             else:
-                columns = [self.word[w], t_word[w], self.context[g], t_context[g], c_word[w], c_context[g], alone]
+                columns = [steps(self.word[w]), t_word[w], steps(self.context[g]), t_context[g], c_word[w], c_context[g], alone]
                 alone = np.zeros(2, np.int64)
             if len(w) or len(g) or not turn and columns[-1].any():
                 yield owner, pack(*columns)
@@ -284,25 +294,32 @@ class Owner:
         self.seed = seed
         parts = [unpack(data) for _, data in first]
         self.buckets = [b for b, _ in first]
-        self.word, self.at_word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        self.context, self.at_context = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        self.word, self.at_word = np.unique(np.concatenate([summed(p[0]) for p in parts]), return_inverse=True)
+        self.context, self.at_context = np.unique(np.concatenate([summed(p[2]) for p in parts]), return_inverse=True)
         self.sizes = [(len(p[0]), len(p[2])) for p in parts]
         add = lambda at, k, n: np.bincount(at, weights=np.concatenate([p[k] for p in parts]), minlength=n).astype(np.int64)
         self.c1, self.c = add(self.at_word, 1, len(self.word)), add(self.at_word, 4, len(self.word))
         self.T, self.C = add(self.at_context, 3, len(self.context)), add(self.at_context, 5, len(self.context))
         self.alone = sum(p[6].astype(np.int64) for p in parts)
+        self.moving = self.c > self.c1
         self.t1 = np.minimum(self.c1, 1)
 
+    def places(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each bucket with its words and contexts among the owner's."""
+        a = b = 0
+        for bucket, (n, k) in zip(self.buckets, self.sizes, strict=True):
+            yield bucket, self.at_word[a : a + n], self.at_context[b : b + k]
+            a, b = a + n, b + k
+
     def later(self, messages: list[tuple[int, bytes]], m: dict, turn: int) -> None:
-        moved, tables_of = np.zeros(len(self.word), bool), np.zeros(len(self.word), np.int64)
+        found, tables_of = dict(messages), np.zeros(len(self.word), np.int64)
         self.T = np.zeros(len(self.context), np.int64)
-        for _, data in messages:
-            word, t, context, total = unpack(data)
-            at = np.searchsorted(self.word, word)
-            moved[at] = True
-            tables_of[at] += t.astype(np.int64)
-            self.T[np.searchsorted(self.context, context)] += total.astype(np.int64)
-        self.c1 = np.where(moved, tables_of, self.c1)
+        for bucket, w, g in self.places():
+            if bucket in found:
+                t, total = unpack(found[bucket])
+                tables_of[w[self.moving[w]]] += t.astype(np.int64)
+                self.T[g] += total.astype(np.int64)
+        self.c1 = np.where(self.moving, tables_of, self.c1)
         many = np.flatnonzero(self.c1 > 1)
         old = np.minimum(self.t1[many], self.c1[many])
         self.t1 = np.minimum(self.c1, 1)
@@ -313,10 +330,7 @@ class Owner:
         return np.array([self.c.sum(), (self.c > 0).sum(), self.c1.sum(), self.t1.sum(), (self.c1 == 1).sum(), (self.c1 == 2).sum(), *self.alone], dtype=np.int64)
 
     def answers(self, turn: int) -> Iterator[tuple[int, bytes]]:
-        a = b = 0
-        for bucket, (n, k) in zip(self.buckets, self.sizes, strict=True):
-            w, g = self.at_word[a : a + n], self.at_context[b : b + k]
-            a, b = a + n, b + k
+        for bucket, w, g in self.places():
             more = () if turn else (self.c[w], self.C[g])
             yield bucket, pack(self.c1[w], self.t1[w], self.T[g], *more)
 
