@@ -10,23 +10,32 @@ from lodestone.llm import near_dedup, packing, passages, quality
 from lodestone.llm.common import scratch
 
 
+# What holds for all stages but the last: rows keep all their columns, also those of other names than a
+# stage knows; n_chars follows a changed text.  Null texts count as empty; texts of any length are read
+# whole; an empty table gives an empty one with the same columns.
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; the others lose their host's boilerplate lines."""
+    """Documents that the rules reject go, empty ones among them; the others lose their host's boilerplate
+    lines.  Null hosts are one host.  Repeated rows get the same verdict and stay; there are no ties."""
     return quality.apply(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays, the one with the smallest key, then hash of the text.  Repeated rows
+    are copies; rows that share a key are told apart by their texts; rows without key stay."""
     return near_dedup.keep(docs, size=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat across documents stay in one of them."""
+    """Passages that repeat across documents stay in one of them, that with the smallest hash of key and text;
+    identical rows are one document.  Documents of which no word is left go."""
     return passages.cut(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' places in training sequences."""
+    """The documents' places in training sequences, by their token ids.  Empty texts have their end token;
+    repeated and null keys are packed row by row; pieces of one size go by key."""
     return packing.pack_documents(docs)
 
 
@@ -37,7 +46,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL cannot express the stages; the tests hold run() against a brute-force version.
+#: SQL cannot express chaining and packing; tests/llm/test_pipeline.py holds the stages and run() against a plain
+#: version on a small fixture (test_run_against_a_plain_version).
 ORACLE_SQL = None
 
 
