@@ -21,6 +21,9 @@ from .common import release
 #: Entries of each table of known strings; a table is emptied when full.
 MEMO_ENTRIES = 350_000
 
+#: The space in the byte alphabet.
+SPACE = "\u0120"
+
 #: Spaces beside other white space, where a text cannot be cut, and the safe cuts.
 _UNSAFE = re.compile(r" (?:(?<=\s )|(?=\s))")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -95,23 +98,26 @@ class Codec:
 
         return regex.compile(self._pattern).findall
 
+    def _ids(self, spelled: str) -> bytes:
+        """Ids of one match of the pattern, spelled in the byte alphabet."""
+        tokens = [token.id for token in self._merge(spelled)]
+        return struct.pack(f"<{len(tokens)}I", *tokens)
+
     def _piece(self, piece: str) -> bytes:
         """Ids of one match of the pattern."""
         ids = self._of_piece.get(piece)
         if ids is None:
             if len(self._of_piece) >= MEMO_ENTRIES:
                 self._of_piece.clear()
-            spelled = piece.encode().decode("latin-1").translate(self._characters)
-            tokens = [token.id for token in self._merge(spelled)]
-            ids = self._of_piece[piece] = struct.pack(f"<{len(tokens)}I", *tokens)
+            ids = self._of_piece[piece] = self._ids(piece.encode().decode("latin-1").translate(self._characters))
         return ids
 
     def _part(self, part: str) -> bytes:
-        """Ids of a space and the part behind it."""
+        """Ids of a space and the part behind it.  A word is one match, and kept as a part alone."""
         if part.isalpha():
-            return self._piece(" " + part)
+            return self._ids(SPACE + (part if part.isascii() else part.encode().decode("latin-1").translate(self._characters)))
         if part[-1:] in (".", ",") and part[:-1].isalpha():
-            return self._piece(" " + part[:-1]) + self._piece(part[-1])
+            return (self._of_part.get(part[:-1]) or self._part(part[:-1])) + self._piece(part[-1])
         return b"".join(map(self._piece, self._pieces(" " + part)))
 
     def encode_bytes(self, text: str) -> bytes:
