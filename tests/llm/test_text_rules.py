@@ -83,6 +83,27 @@ def test_license_forms(spark, edges, nothing):
     assert licenses.scan(edges).count() == edges.count() and licenses.scan(nothing).collect() == []
 
 
+def test_more_license_forms(spark):
+    texts = {
+        "MIT": "MIT License\n\nCopyright The Foo Authors\nAll rights reserved.\n\n" + licenses._MIT.replace("\n", " "),
+        "BSD-3-Clause": "Copyright (c) 2001, 2002 Somebody. All rights reserved.\n" + licenses._CONDITIONS.format(licenses._ENDORSE).replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS"),
+        "Unlicense": licenses._UNLICENSE.format("<http://unlicense.org/>").upper(),
+        "Zlib": "(C) 1999 A and B\n" + licenses._ZLIB.replace("-", "\u2010"),
+    }
+    rows = licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()
+    assert all(r.license_id == r.doc_id for r in rows)
+    assert len({d for _, d in licenses.DIGESTS}) == len(licenses.DIGESTS) >= 13
+    own = licenses.scan(spark.createDataFrame([(1, "Our own terms"), (2, "our, own terms.")], "doc_id int, text string"), known=[("own", "OUR OWN TERMS")]).collect()
+    assert [r.license_id for r in own] == ["own", "own"]
+
+
+def test_rules_overwrite_their_own_columns_only(spark, edges):
+    out = quality.rules(edges)
+    expected = sorted(str(base_counts(r.text)) for r in edges.collect())
+    assert sorted(str((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in out.collect()) == expected
+    assert {"host", "hash", "kept", "shard"} <= set(out.columns) and out.count() == edges.count()
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>Menu</a></ul></nav>
 <div class="cookie-notice"><p>We use cookies on this page, please agree to them all.</p></div>
 <article><h1>Title &amp; more</h1><p>First  para\ngraph<br>goes on.<p>Second &lt;one&gt;.</p><aside>Aside text</aside><script>var t="</p>";</script>
