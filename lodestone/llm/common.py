@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import pickle
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import importable
+from ..session import checkpoint_folder, importable
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -21,11 +20,8 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a local one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(folder)
+    """The cluster's shared folder, spark.checkpoint.dir; a local one only where none is set and all is one machine, as in tests."""
+    folder = checkpoint_folder(spark)
     if "://" not in folder:  # a path on the cluster's default file system
         at = spark._jvm.org.apache.hadoop.fs.Path(folder)
         folder = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().replace("file:/", "file:///", 1)
