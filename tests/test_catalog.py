@@ -40,3 +40,14 @@ def test_library_stands_without_the_training_data_operators():
     code = "import sys; sys.modules['lodestone.llm'] = None\nimport pkgutil, importlib, lodestone\n[importlib.import_module(m.name) for m in pkgutil.walk_packages(lodestone.__path__, 'lodestone.') if '.llm' not in m.name]"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
     assert not [p for p in (ROOT / "lodestone").rglob("*.py") if "llm" not in p.parts and "llm" in p.read_text()]
+
+
+@pytest.mark.parametrize("kept", [["corpus_pipeline.py"], []])
+def test_entry_stands_without_the_training_data_folders(tmp_path, kept):
+    import shutil
+
+    for name in ["__spark_entry__.py", *kept]:
+        shutil.copy(ROOT / name, tmp_path / name)
+    shutil.copytree(ROOT / "lodestone", tmp_path / "lodestone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op') or n == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
