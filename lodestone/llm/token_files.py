@@ -72,7 +72,7 @@ def write(frame: DataFrame, folder: str, vocabulary: str, pattern: str, end_id:
     shard, n_docs, n_tokens, base (ids in all shards before it)."""
     spark = ready(frame.sparkSession)
     source = frame.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    parts = parts_for(source, shard_bytes, 18)
+    parts = parts_for(source, shard_bytes, 6)
     ordered = source.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
