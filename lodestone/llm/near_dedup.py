@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, written
+from .common import ready, release, written
 from .components import components
 from .words import Words, mix, shingles, slices, words_of
 
@@ -117,6 +117,8 @@ def sketches(frame: DataFrame, size: int, bands: int, rows: int, key: str, text:
                     ids, marks, sets, held = [], [], [], 0
             if ids:
                 yield out(ids, marks, sets)
+            del ids, marks, sets
+            release()
 
     return source.mapInArrow(work, "id long, text_hash long, n_shingles long, node long, bands array<long>")
 
