@@ -414,31 +414,38 @@ def score(
                 held.setdefault(kind, []).append((who, data))
         return {kind: sorted(found) for kind, found in held.items()}
 
-    def seated(rows: Iterator, models: list[dict], turns: int) -> Iterator[Bucket]:
-        """The bucket after each turn up to `turns`."""
+    def seated(rows: Iterator, turns: range) -> Iterator[Bucket]:
+        """The bucket as it was after each of the turns, with the owners' answers."""
         held = gathered(rows, "pairs")
         if "pairs" in held:
             bucket = Bucket(held.pop("pairs"), splits, buckets, seed)
-            for turn in range(turns + 1):
+            if turns:
+                bucket.answered(0, held.pop("answer0", []))
+            for turn in turns:
                 if turn:
-                    bucket.sweep(models[turn - 1], turn)
-                if f"answer{turn}" in held:
-                    bucket.answered(turn, held.pop(f"answer{turn}"))
+                    bucket.t[bucket.c > 1] = unpack(held.pop(f"state{turn}")[0][1])[0]
+                    bucket.answered(turn, held.pop(f"answer{turn}", []))
                 yield bucket
 
     def sent(rows: Iterator, models: list[dict], turn: int) -> Iterator[tuple[int, tuple]]:
         me = TaskContext.get().partitionId()
-        bucket = None
-        for bucket in seated(rows, models, turn):  # the last is wanted
-            pass
-        if bucket is not None:
+        if not turn:
+            held = gathered(rows, "pairs")
+            found = [Bucket(held.pop("pairs"), splits, buckets, seed)] if "pairs" in held else []
+        else:
+            found = list(seated(rows, range(turn - 1, turn)))
+        for bucket in found:
+            if turn:
+                bucket.sweep(models[turn - 1], turn)
+                yield me, (f"state{turn}", me, pack(bucket.t[bucket.c > 1]))  # comes back with the answers
             yield from ((owner, (f"sums{turn}", me, data)) for owner, data in bucket.messages(turn))
-            del bucket
+        if found:
+            del bucket, found
             release()
 
     def owned(rows: Iterator, models: list[dict], turn: int) -> Owner | None:
-        held = gathered(rows)
-        if not held:
+        held = gathered(row for row in rows if not row[1][0].startswith("state"))
+        if "sums0" not in held:
             return None
         owner = Owner(held["sums0"], seed)
         for n in range(1, turn + 1):
@@ -458,9 +465,10 @@ def score(
                 yield owner.scalars()
 
         def answer(rows: Iterator, known: list[dict] = known, turn: int = turn) -> Iterator[tuple[int, tuple]]:
-            owner = owned(rows, known, turn)
+            me, rows = TaskContext.get().partitionId(), list(rows)
+            yield from ((me, (kind, who, data)) for _, (kind, who, data) in rows if kind == f"state{turn}")
+            owner = owned(iter(rows), known, turn)
             if owner is not None:
-                me = TaskContext.get().partitionId()
                 yield from ((bucket, (f"answer{turn}", me, data)) for bucket, data in owner.answers(turn))
 
         found = model_of(sums.mapPartitions(add).treeAggregate(np.zeros(8, np.int64), np.add, np.add, depth=2))
@@ -469,9 +477,8 @@ def score(
 
     def valued(rows: Iterator) -> Iterator[tuple[int, tuple]]:
         me, mean, bucket = TaskContext.get().partitionId(), 0.0, None
-        for turn, bucket in enumerate(seated(rows, models, rounds)):
-            if turn > rounds - samples:
-                mean = mean + bucket.chances(models[turn])
+        for turn, bucket in zip(last := range(rounds - samples + 1, rounds + 1), seated(rows, last), strict=False):
+            mean = mean + bucket.chances(models[turn])
         if bucket is None:
             return
         values, counts, at = np.log10(mean / samples).astype("<f4"), bucket.count[bucket.w], 0
