@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, importance, licenses, lm, near_dedup, neighbours, packing, passages, quality, token_files, tokenize
+from . import html, importance, licenses, lm, mixture, near_dedup, neighbours, packing, passages, quality, token_files, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixture.pack_mixture(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")[0])
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_mixture_packing": op12_mixture_packing,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
