@@ -140,6 +140,17 @@ class Codec:
                     found[at] = self._of_part[parts[at]] = self._part(parts[at])
         return b"".join(found)
 
+    def encode_once(self, text: str) -> bytes:
+        """The ids of a text of which no added token counts, without looking into the tables of known strings."""
+        return b"".join(self._ids(p.encode().decode("latin-1").translate(self._characters)) for p in self._pieces(text))
+
+    def token_bytes(self) -> list[bytes]:
+        """What each id stands for."""
+        if self._blobs is None:
+            self._table()
+        raw = self._blobs.tobytes()
+        return [raw[a : a + n] for a, n in zip(self._starts.tolist(), self._sizes.tolist(), strict=True)]
+
     def count(self, text: str) -> int:
         """How many ids the text has."""
         if not text:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, importance, licenses, lm, mixture, near_dedup, neighbours, packing, passages, quality, token_files, tokenize
+from . import alignment, html, importance, licenses, lm, mixture, near_dedup, neighbours, packing, passages, quality, token_files, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), *vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")[0])[0]
+
+
 def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixture.pack_mixture(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")[0])
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_token_alignment": op11_token_alignment,
     "op12_mixture_packing": op12_mixture_packing,
     "op13_importance_resampling": op13_importance_resampling,
 }
