@@ -57,7 +57,7 @@ def encoded(frame: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
             for part in slices(batch):
-                ids = pa.array([coder.encode_bytes(t or "") + end for t in part.column("text").to_pylist()], pa.binary())
+                ids = pa.array([x + end for x in coder.encode_texts(part.column("text").to_pylist())], pa.binary())
                 n = pa.array(binary_sizes(ids) // len(end), pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], n, ids], schema.fieldNames())
 

@@ -1,8 +1,9 @@
 """Encoding with vocabularies of the tokenizers library that split at white space, word by word.
 
 Such a vocabulary drops white space and cuts texts into letters, digits and other signs, so
-what stands between two spaces can be encoded apart.  Words are encoded once by the library
-and kept in a bounded table, since they repeat.
+what stands between two spaces can be encoded apart.  The words of a slice of texts that are
+not known yet go to the library together, and are kept in a bounded table, since words repeat: of
+its two generations the older goes when the younger is full.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import re
 import struct
 from functools import cached_property, lru_cache
 
+import numpy as np
+
 from .bpe import byte_alphabet
 from .common import release
 
@@ -21,37 +24,29 @@ LONGEST = 64
 #: behind them: two matches of the splitting pattern (an apostrophe could begin a third).
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
+#: What often stands behind a word.
+_USUAL = ("", ".", ",")
 
-class Recent(dict):
-    """A bounded table: two generations, of which the older goes when the younger is full; what is asked for stays."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self._most, self._old = most, {}
 
-    def known(self, key):
-        """The value, also of the older generation; None if there is none."""
-        value = self.get(key)
-        if value is None:
-            value = self._old.get(key)
-            if value is not None:
-                self.keep(key, value)
-        return value
-
-    def keep(self, key, value) -> None:
-        if len(self) >= self._most:
-            self._old = dict(self)
-            self.clear()
-        self[key] = value
+def _one_byte(text: str) -> bool:
+    """Whether all characters lie below U+0100, where lower case is one character for each, and normal."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordCodec:
     """Encoder of one `.json` vocabulary; ids are little-endian, of as few bytes as hold them all."""
 
-    def __init__(self, path: str):
-        self._path = path
-        self._of = Recent()
-        self._signs: dict[str, bytes] = {"": b""}
+    def __init__(self, path: str, most: int = 300_000):
+        self._path, self._most = path, most
+        self._of: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._signs: dict[str, bytes] = {}
         self._characters = dict(enumerate(byte_alphabet()))
 
     @cached_property
@@ -83,44 +78,98 @@ class WordCodec:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     @cached_property
-    def _merge(self):
-        return self.tokenizer.model.tokenize
-
-    def _word(self, word: str) -> bytes:
-        """Ids of what stands between two spaces."""
-        plain = _PLAIN(word)
-        if plain is None:
-            return self._ids(word)
-        letters, signs = plain.groups()
-        tail = self._signs.get(signs)
-        if tail is None:
-            tail = self._ids(signs)
-            if len(self._signs) < 10_000:
-                self._signs[signs] = tail
-        if not letters:
-            return tail
-        spelled = letters.lower() if letters.isascii() else letters.lower().encode().decode("latin-1").translate(self._characters)
-        return self._packed([t.id for t in self._merge(spelled)]) + tail
-
-    def _kept(self, word: str) -> bytes:
-        ids = self._of.known(word)
+    def _letters(self):
+        """The model alone, for words in the byte alphabet with spaces between them; and which ids end a word."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        bare = Tokenizer(self.tokenizer.model)
+        bare.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
+        return bare, ends
+
+    def _sign(self, signs: str) -> bytes:
+        ids = self._signs.get(signs)
         if ids is None:
-            ids = self._word(word)
-            if len(word) <= LONGEST:
-                self._of.keep(word, ids)
+            if len(self._signs) > 10_000:
+                self._signs.clear()
+            ids = self._signs[signs] = self._ids(signs) if signs else b""
         return ids
 
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters, by one call of the library."""
+        bare, ends = self._letters
+        spelled = " ".join([w.lower() if w.isascii() else w.lower().encode().decode("latin-1").translate(self._characters) for w in words])
+        ids = np.array(bare.encode_batch_fast([spelled])[0].ids)
+        raw, size = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+        stops = ((np.flatnonzero(ends[ids]) + 1) * size).tolist()
+        if len(stops) != len(words):
+            raise ValueError("the vocabulary doesn't mark the ends of words")
+        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that the younger generation doesn't hold, which most of them join; a word with odd signs behind it hardly comes again."""
+        if len(self._of) >= self._most:
+            self._older, self._of = self._of, {}
+        of, older = self._of, self._older
+        own, new, later = {}, {}, []
+        for word in words:
+            ids = older.get(word)
+            if ids is None:
+                if word.isalpha() and word.isascii():
+                    new[word] = None
+                    continue
+                stem, signs = word[:-1], word[-1:]
+                if signs not in _USUAL or not (stem.isalpha() and stem.isascii()):
+                    plain = _PLAIN(word)
+                    if plain is None:
+                        own[word] = self._ids(word)
+                        continue
+                    stem, signs = plain.groups()
+                ids = of.get(stem) or older.get(stem)
+                if ids is None and stem:
+                    new[stem] = None
+                    later.append((word, stem, signs))
+                    continue
+                ids = (ids or b"") + self._sign(signs)
+                if signs not in _USUAL:
+                    own[word] = ids
+                    continue
+            own[word] = of[word] = ids
+        if new:
+            for stem, ids in zip(new, self._merged(list(new)), strict=True):
+                own[stem] = ids
+                if len(stem) <= LONGEST:
+                    of[stem] = ids
+        for word, stem, signs in later:
+            own[word] = own[stem] + self._sign(signs)
+            if signs in _USUAL and len(word) <= LONGEST:
+                of[word] = own[word]
+        return own
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts; of a null text none."""
+        whole, split = {}, []
+        for i, text in enumerate(texts):
+            if text and any(x in text for x in self._openings):
+                whole[i], text = self._ids(text), None
+            elif text and _one_byte(text):
+                text = text.lower()
+            split.append(text.replace("\n", " ").split(" ") if text else [])
+        found = [list(map(self._of.get, parts)) for parts in split]
+        missing = {p for parts, ids in zip(split, found, strict=True) if None in ids for p, x in zip(parts, ids, strict=True) if x is None}
+        own = self._learn(missing) if missing else {}
+        for parts, ids in zip(split, found, strict=True):
+            if None in ids:
+                for at, x in enumerate(ids):
+                    if x is None:
+                        ids[at] = own[parts[at]]
+        return [whole[i] if i in whole else b"".join(ids) for i, ids in enumerate(found)]
+
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a whole text."""
-        if any(x in text for x in self._openings):
-            return self._ids(text)
-        parts = text.replace("\n", " ").split(" ")
-        found = list(map(self._of.get, parts))
-        if None in found:
-            for at, ids in enumerate(found):
-                if ids is None:
-                    found[at] = self._kept(parts[at])
-        return b"".join(found)
+        return self.encode_texts([text])[0]
 
 
 @lru_cache(maxsize=2)
