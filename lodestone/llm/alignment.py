@@ -4,8 +4,8 @@ Both encode a space and the text.  Tokens end at the running sums of their bytes
 of each ends, the text is cut into groups, and two tokens are linked if their bytes overlap.
 A link's count is the number of documents that hold its pair of ids linked anywhere.
 
-A text is aligned in parts, cut where a single space stands between other characters: no token of
-either vocabulary goes across such a cut, so groups and links lie within parts.  The parts of a
+A text is aligned in parts, cut where a single space or line end stands between other characters: no
+token of either vocabulary goes across such a cut, so groups and links lie within parts.  The parts of a
 slice of texts that are not known yet are aligned together as flat arrays; known parts come
 from a bounded table.  A document keeps its distinct pairs and how often it has each, packed.
 Tasks count their documents' pairs, and sums over salted pairs are summed again, so neither a
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import codec
+from .bpe import SPACE, codec
 from .common import pack, ready, release, replayable, unpack, written
 from .words import slices
 
@@ -46,14 +46,23 @@ SALTS, HELD_PAIRS = 16, 1_000_000
 #: Parts (and bytes of their groups) in a generation of the table of known parts; longest part that is looked up again.
 KNOWN_PARTS, KNOWN_BYTES, LONGEST = 200_000, 48 << 20, 64
 
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-_UNSAFE = re.compile(r" (?:(?<=\s )|(?=\s))")
+_SAFE_CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
+_SOLID = re.compile(r"\n?[^\s\u2581]+").fullmatch
+_UNSAFE = re.compile(r"\s\s")
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def parts_of(text: str) -> list[str]:
-    safe = text[0] != " " and text[-1] != " " and not _UNSAFE.search(text)
-    return text.split(" ") if safe else _SAFE_CUT.split(text)
+    """Parts of a space and the text.  A part stands for itself if it begins with a space or a line end, else for a
+    space and itself.  Cuts are single spaces, and the places before single line ends, between other characters."""
+    if text[0].isspace() or text[-1].isspace() or _UNSAFE.search(text):
+        first, *others = _SAFE_CUT.split(text)
+        return [" " + first if first[0].isspace() else first, *others]
+    return text.replace("\n", " \n").split(" ")
+
+
+def spelled_out(part: str) -> str:
+    return part if part[0] in " \n" else " " + part
 
 
 class Known:
@@ -132,23 +141,74 @@ class Aligner:
     def _digits(self) -> list[str]:
         return [str(i) for i in range(max(len(self.a_bytes), self.width))]
 
+    @cached_property
+    def _bare(self):
+        """A's merges alone, for matches of its pattern in the byte alphabet with line ends between them."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        bare = Tokenizer(self.a.tokenizer.model)
+        bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        return bare
+
+    def _matches(self, part: str) -> list[str]:
+        if part.isascii():
+            if part.isalpha():
+                return [SPACE + part]
+            if part[-1] in ".," and part[:-1].isalpha():
+                return [SPACE + part[:-1], part[-1]]
+        return self.a.spelled_matches(spelled_out(part))
+
+    def _same(self, a: np.ndarray, b: np.ndarray, raw: bytes) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
+
+    def _flat(self, parts: list[str]) -> tuple[np.ndarray, ...] | None:
+        """Ids of A and B of all parts, one after another, and where the parts end; None if a token goes across parts or a tokenizer
+        doesn't give the bytes back."""
+        raw = [spelled_out(p).encode() for p in parts]
+        stops = np.cumsum([len(r) for r in raw])
+        a = np.array(self._bare.encode_batch_fast(["\n".join([m for p in parts for m in self._matches(p)])])[0].ids, np.int64)
+        whole = b"".join(raw)
+        b = self._b_ids(whole.decode())
+        for ids, sizes in ((a, self._sizes[0]), (b, self._sizes[1])):
+            ends = np.cumsum(sizes[ids])
+            at = np.searchsorted(ends, stops)
+            if not len(ends) or at[-1] >= len(ends) or not np.array_equal(ends[at], stops):
+                return None
+        return (a, b, stops) if self._same(a, b, whole) else None
+
+    def _b_ids(self, raw: str) -> np.ndarray:
+        """B's ids of a text that begins with a space, which B adds itself, or with a line end, for which its space goes again."""
+        return np.array(self.b.encode(raw[1:]) if raw[0] == " " else self.b.encode(raw)[1:], np.int64)
+
+    def _single(self, part: str) -> tuple[np.ndarray, ...] | None:
+        """The same of one part of any kind."""
+        raw = spelled_out(part)
+        a, b = np.frombuffer(self.a.encode_once(raw), "<u4").astype(np.int64), self._b_ids(raw)
+        return (a, b, np.array([len(raw.encode())])) if self._same(a, b, raw.encode()) else None
+
     def align(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Groups, counts and pairs of parts, each with a space before it."""
-        a_ids = [np.frombuffer(self.a.encode_once(" " + p), "<u4") for p in parts]
-        b_ids = self.b.encode(parts, num_threads=1)
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        good = []
-        for i, p in enumerate(parts):
-            raw = b" " + p.encode()
-            if b"".join([a_bytes[t] for t in a_ids[i].tolist()]) == raw == b"".join([b_bytes[t] for t in b_ids[i]]):
-                good.append(i)
-        counts = np.full((len(parts), 4), -1, np.int64)
-        groups = [""] * len(parts)
-        if not good:
-            return groups, counts, np.zeros(0, np.int64)
-        a = np.concatenate([a_ids[i] for i in good]).astype(np.int64)
-        b = np.array([t for i in good for t in b_ids[i]], np.int64)
-        n_a, n_b = (np.array([len(x[i]) for i in good]) for x in (a_ids, b_ids))
+        """Groups, counts and pairs of parts."""
+        solid = [p for p in parts if _SOLID(p)]
+        flat = self._flat(solid) if solid else None
+        if flat is not None and len(solid) == len(parts):
+            return self._grouped(*flat)
+        known: dict[str, tuple] = {}
+        if flat is not None:
+            groups, counts, pairs = self._grouped(*flat)
+            known = dict(zip(solid, zip(groups, counts, np.split(pairs, np.cumsum(counts[:-1, 3])), strict=True), strict=True))
+        for part in parts:
+            if part not in known:
+                one = self._single(part)
+                if one is None:
+                    known[part] = ("", np.full(4, -1, np.int64), np.zeros(0, np.int64))
+                else:
+                    groups, counts, pairs = self._grouped(*one)
+                    known[part] = (groups[0], counts[0], pairs)
+        out = [known[p] for p in parts]
+        return [x[0] for x in out], np.stack([x[1] for x in out]), np.concatenate([x[2] for x in out])
+
+    def _grouped(self, a: np.ndarray, b: np.ndarray, stops: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Groups, counts and pairs of parts that end at the bytes `stops`, from their ids, one after another."""
         ends_a, ends_b = np.cumsum(self._sizes[0][a]), np.cumsum(self._sizes[1][b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         label_a, label_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)  # group of each token
@@ -157,20 +217,18 @@ class Aligner:
         n = np.searchsorted(ends_b, ends_a, "left") - first + 1
         left = np.repeat(np.arange(len(a)), n)
         right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        part_a = np.repeat(np.arange(len(good)), n_a)
-        last = np.cumsum(n_a) - 1  # each part's last token ends in its last group
-        until = label_a[last] + 1
-        links = np.bincount(part_a[left], minlength=len(good))
-        counts[good] = np.stack([n_a, n_b, np.diff(until, prepend=0), links], axis=1)
+        until = [np.searchsorted(x, stops, "right") for x in (ends_a, ends_b, cuts)]
+        linked = np.cumsum(n)[until[0] - 1]
+        counts = np.stack([np.diff(x, prepend=0) for x in (*until, linked)], axis=1)
         digits = self._digits
         sides = []
         for ids, label in ((a.tolist(), label_a), (b.tolist(), label_b)):
             at = np.searchsorted(label, np.arange(len(cuts) + 1)).tolist()
             names = [digits[t] for t in ids]
             sides.append([names[x] if y == x + 1 else ",".join(names[x:y]) for x, y in zip(at, at[1:], strict=False)])
-        spelled = ["|".join(g) for g in zip(*sides, strict=True)]
-        for i, x, y in zip(good, [0, *until.tolist()], until.tolist(), strict=False):
-            groups[i] = ";".join(spelled[x:y])
+        spelled = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
+        edges = [0, *until[2].tolist()]
+        groups = [spelled[x] if y == x + 1 else ";".join(spelled[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
         return groups, counts, a[left] * self.width + b[right]
 
     def numbers(self, parts: list[str]) -> np.ndarray:
@@ -203,12 +261,12 @@ class Aligner:
         good = (bounds[1:] > bounds[:-1]) & (bad[bounds[1:]] == bad[bounds[:-1]])
         pairs, owner = self.known.pairs_of(at) if len(at) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         doc = np.searchsorted(bounds, owner, "right") - 1
-        order = np.lexsort((pairs, doc))
-        pairs, doc = pairs[order], doc[order]
-        head = np.flatnonzero((np.diff(pairs, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-        often = np.diff(np.append(head, len(pairs)))
-        pairs, doc = pairs[head], doc[head]
-        edges = np.searchsorted(doc, np.arange(len(texts) + 1))
+        most = self.width * len(self.a_bytes)
+        keyed = np.sort(doc * most + pairs)  # a slice has few documents
+        head = np.flatnonzero(np.diff(keyed, prepend=-1))
+        often = np.diff(np.append(head, len(keyed)))
+        edges = np.searchsorted(keyed[head], np.arange(len(texts) + 1) * most)
+        pairs = keyed[head] % most
         for i in range(len(texts)):
             if good[i]:
                 text = ";".join(map(self.known.groups.__getitem__, at[bounds[i] : bounds[i + 1]].tolist()))

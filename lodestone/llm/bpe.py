@@ -140,9 +140,13 @@ class Codec:
                     found[at] = self._of_part[parts[at]] = self._part(parts[at])
         return b"".join(found)
 
+    def spelled_matches(self, text: str) -> list[str]:
+        """The matches of the pattern, spelled in the byte alphabet."""
+        return [p.encode().decode("latin-1").translate(self._characters) for p in self._pieces(text)]
+
     def encode_once(self, text: str) -> bytes:
         """The ids of a text of which no added token counts, without looking into the tables of known strings."""
-        return b"".join(self._ids(p.encode().decode("latin-1").translate(self._characters)) for p in self._pieces(text))
+        return b"".join(map(self._ids, self.spelled_matches(text)))
 
     def token_bytes(self) -> list[bytes]:
         """What each id stands for."""

@@ -86,7 +86,10 @@ def order(rows):
 def test_parts_of_strange_texts_agree_with_whole_texts(libraries):
     """The groups of parts, put together, are those of the libraries' tokens of the whole text."""
     own = alignment.Aligner(*A, B)
-    texts = [*strange(1500), "x▁y", "no break" + "漢" * 300]
+    r = random.Random(4)
+    solid = ["".join(r.choice([*"aAb.,'é漢🙂12_-&", "ing", "un", "</s>"]) for _ in range(r.randint(1, 12))) for _ in range(400)]
+    lines = ["".join(r.choice(solid) + r.choice([" ", " ", "\n"]) for _ in range(12)).strip() for _ in range(300)]
+    texts = [*strange(1500), "x▁y", "no break" + "漢" * 300, *lines, "\nbegins with a line end\nand goes on", " \nx"]
     expected, *_ = plain(list(enumerate(texts)), libraries)
     for at in range(0, len(texts), 50):
         for found, wanted in zip(own.texts(texts[at : at + 50]), expected[at : at + 50], strict=True):
