@@ -42,7 +42,7 @@ def _one_byte(text: str) -> bool:
 class WordCodec:
     """Encoder of one `.json` vocabulary; ids are little-endian, of as few bytes as hold them all."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 450_000):
         self._path, self._most = path, most
         self._of: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
@@ -158,13 +158,11 @@ class WordCodec:
                 text = text.lower()
             split.append(text.replace("\n", " ").split(" ") if text else [])
         found = [list(map(self._of.get, parts)) for parts in split]
-        missing = {p for parts, ids in zip(split, found, strict=True) if None in ids for p, x in zip(parts, ids, strict=True) if x is None}
-        own = self._learn(missing) if missing else {}
-        for parts, ids in zip(split, found, strict=True):
-            if None in ids:
-                for at, x in enumerate(ids):
-                    if x is None:
-                        ids[at] = own[parts[at]]
+        gaps = [[at for at, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        own = self._learn({parts[at] for parts, places in zip(split, gaps, strict=True) for at in places}) if any(gaps) else {}
+        for parts, ids, places in zip(split, found, gaps, strict=True):
+            for at in places:
+                ids[at] = own[parts[at]]
         return [whole[i] if i in whole else b"".join(ids) for i, ids in enumerate(found)]
 
     def encode_bytes(self, text: str) -> bytes:
