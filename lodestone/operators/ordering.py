@@ -67,6 +67,9 @@ def ordered_digest(frame: DataFrame, digest: str, *order: Column, partitions: in
     parts = ordered.select(F.spark_partition_id().alias("at"), "__digest").mapInArrow(fold, schema)
     each = parts.agg(F.sort_array(F.collect_list(F.struct("at", "n", *[f"{x}{i}" for i in lanes for x in "hp"]))).alias("a"))  # a row for each partition
     decimal = lambda c: c.cast("decimal(38,0)")
-    folded = [F.aggregate("a", decimal(F.lit(0)), lambda h, x, i=i: decimal((h * x[f"p{i}"] + x[f"h{i}"]) % F.lit(PRIME))) for i in lanes]
+
+    def folded(i: int) -> Column:
+        return F.aggregate("a", decimal(F.lit(0)), lambda h, x: decimal((h * x[f"p{i}"] + x[f"h{i}"]) % F.lit(PRIME)))
+
     count = F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    return each.select(F.sha2(F.concat_ws(":", count.cast("string"), *[f.cast("string") for f in folded]).cast("binary"), 256).alias("fingerprint"))
+    return each.select(F.sha2(F.concat_ws(":", count.cast("string"), *[folded(i).cast("string") for i in lanes]).cast("binary"), 256).alias("fingerprint"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import answering, chunking, dense, evaluation, records, sparse
+from ..operators import answering, chunking, dense, evaluation, ordering, records, sparse
 from ..session import checkpoint_folder
+from ..streaming import refresh
 from . import store
 from .catalog import _PAIRS, _samples, lines_sql, query, table, tok
 
@@ -130,19 +131,21 @@ def indexed_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_CHUNKS} SELECT id, row_number() OVER (ORDER BY filepath, start_line, end_line, function_name, id) AS place FROM c")
 def corpus_places(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+    rows = _chunks(spark, d).select("id", "filepath", "start_line", "end_line", "function_name")
+    return ordering.positions(rows, *chunking.corpus_order(), F.asc("id"), name="place").select("id", "place")
 
-    return _chunks(spark, d).select("id", F.row_number().over(Window.orderBy(*chunking.corpus_order(), "id")).alias("place"))
+
+_LANES = ", ".join(f"list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(ds, lambda d: CAST(CAST('0x' || substr(d, {15 * i + 1}, 15) AS BIGINT) AS HUGEINT))), lambda h, d: (h * {b} + d) % {ordering.PRIME}) AS h{i}" for i, b in enumerate(ordering.BASES))
 
 
 @query(
-    f"""WITH {_CHUNKS}, r AS (SELECT sha256(array_to_string(list_transform([id, filepath, function_name, CAST(start_line AS VARCHAR), CAST(end_line AS VARCHAR), docstring, source, language], lambda x: coalesce(x, '') || chr(0)), '')) AS d FROM c),
-s AS (SELECT count(*) AS n, {", ".join(f"sum(CAST(CAST('0x' || substr(d, {15 * i + 1}, 15) AS BIGINT) AS HUGEINT)) AS s{i}" for i in range(4))} FROM r)
-SELECT sha256(concat_ws(':', CAST(n AS VARCHAR), {", ".join(f"CAST(s{i} AS VARCHAR)" for i in range(4))})) AS fingerprint FROM s"""
+    f"""WITH {_CHUNKS}, r AS (SELECT *, sha256(array_to_string(list_transform([id, filepath, function_name, CAST(start_line AS VARCHAR), CAST(end_line AS VARCHAR), docstring, source, language], lambda x: coalesce(x, '') || chr(0)), '')) AS d FROM c),
+s AS (SELECT count(*) AS n, list(d ORDER BY filepath, start_line, end_line, function_name, id, d) AS ds FROM r), l AS (SELECT n, {_LANES} FROM s)
+SELECT sha256(concat_ws(':', CAST(n AS VARCHAR), {", ".join(f"CAST(h{i} AS VARCHAR)" for i in range(len(ordering.BASES)))})) AS fingerprint FROM l"""
 )
 def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["id", "filepath", "function_name", "start_line", "end_line", "docstring", "source", "language"]
-    return store.fingerprint_of(_chunks(spark, d).select(store.row_digest(*map(F.col, columns)).alias("d")))
+    """A digest of all chunks in the corpus's order, put together from those of its parts."""
+    return store.fingerprint_of(_chunks(spark, d))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id FROM documents WHERE doc_id % 3 <> 0")
@@ -198,6 +201,55 @@ def index_tables(spark: SparkSession, d: str) -> DataFrame:
     return store.load_sparse(spark, path).terms.select("term", "df", F.round("idf", 6).alias("idf"), F.lit(manifest["chunk_count"]).cast("long").alias("chunk_count"))
 
 
+def _merged_sql(corpus: str) -> str:
+    """Terms with their weights of a corpus (text), as an index has them."""
+    return f"""d AS (SELECT {tok("text")} AS toks FROM {corpus}), n AS (SELECT count(*) AS n FROM d),
+t AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM d) GROUP BY term), r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM t, n)
+SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM r) ELSE r END, 6) AS idf, (SELECT n FROM n) AS chunk_count FROM r"""
+
+
+_ITEM = "'benchmark item_' || CAST(item_id AS VARCHAR) || ' ' || {} || ' benchmark.md'"
+
+
+@query(
+    f"""WITH now AS (SELECT {_ITEM.format("text")} AS text FROM benchmark WHERE item_id % 3 <> 0 AND item_id % 5 <> 1
+UNION ALL SELECT {_ITEM.format("'changed ' || text")} FROM benchmark WHERE item_id % 3 = 0
+UNION ALL SELECT 'benchmark new_' || CAST(item_id AS VARCHAR) || ' ' || text || ' benchmark.md' FROM benchmark WHERE item_id % 7 = 2), {_merged_sql("now")}"""
+)
+def updated_index_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of an index after an update: a third of its chunks changed, some gone, some new, the others left alone."""
+    items = table(spark, d, "benchmark")
+
+    def chunks(rows: DataFrame, text: F.Column, prefix: str = "item_") -> DataFrame:
+        name = F.concat(F.lit(prefix), F.col("item_id").cast("string"))
+        return rows.select(
+            name.alias("id"), F.lit("benchmark.md").alias("filepath"), F.concat(F.lit("benchmark "), name).alias("function_name"), F.lit(1).alias("start_line"),
+            F.lit(2).alias("end_line"), F.lit("").alias("docstring"), text.alias("source"), F.lit("text").alias("language"),
+        )
+
+    path = _folder(spark, "index")
+    store.write_index(chunks(items, F.col("text")), path)
+    changed, left = items.filter("item_id % 3 = 0"), items.filter("item_id % 3 <> 0 AND item_id % 5 <> 1")
+    now = chunks(changed, F.concat(F.lit("changed "), "text")).unionByName(chunks(left, F.col("text"))).unionByName(chunks(items.filter("item_id % 7 = 2"), F.col("text"), "new_"))
+    manifest, added, gone = store.replace_chunks(spark, path, chunks(items, F.col("text")), now)
+    index = store.load_sparse(spark, path)
+    whole = [spark.read.parquet(f"{path}/{n}").count() for n in ("chunks", "vectors", "counted")]
+    if {*whole} != {manifest["chunk_count"]} or manifest["fingerprint"] != store.fingerprint(now) or added - gone != manifest["chunk_count"] - items.count():
+        raise AssertionError("the index isn't whole")
+    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"), F.lit(manifest["chunk_count"]).cast("long").alias("chunk_count"))
+
+
+@query(f"WITH {_merged_sql('documents')}")
+def refreshed_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The terms of an index that grew by three batches, of which one came twice and one brought known documents again."""
+    docs, path = table(spark, d, "documents"), _folder(spark, "refresh")
+    deal = F.pmod(F.col("doc_id"), F.lit(3))
+    for number, parts in ((0, [0]), (1, [1]), (1, [1]), (2, [1, 2])):
+        refresh.add_batch(docs.filter(deal.isin(parts)), number, path)
+    index = refresh.live_index(spark, path)
+    return index.terms.select("term", "df", F.round("idf", 6).alias("idf")).join(F.broadcast(index.stats.select(F.col("n_docs").cast("long").alias("chunk_count"))))
+
+
 @query("SELECT source || '/' || CAST(doc_id AS VARCHAR) AS filepath, sha256(text) AS content FROM documents")
 def raw_files(spark: SparkSession, d: str) -> DataFrame:
     """Raw files written as JSON lines and read again."""

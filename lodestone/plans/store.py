@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, dense, evaluation, sparse
+from ..operators.ordering import ordered_digest
 from ..operators.records import chunk_summary
 from ..session import stored
 from ..sources.repository import read_repository
 
-VERSION = 2
+VERSION = 3
+CHUNK_COLUMNS = ["id", "filepath", "function_name", "start_line", "end_line", "docstring", "source", "language"]
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -34,23 +38,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new))
+    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+        raise OSError(f"{old} could not be moved to {new}")
+
+
 def row_digest(*columns: Column) -> Column:
     parts = [x for c in columns for x in (F.coalesce(c.cast("string"), F.lit("")), F.char(F.lit(0)))]
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
-def fingerprint_of(digests: DataFrame, digest: str = "d") -> DataFrame:
-    """One row, `fingerprint`: a digest of the multiset of the rows' digests.  Their parts are added up, so
-    nothing is gathered and no order is needed: each digest holds its row's place already."""
-    part = lambda i: F.sum(F.conv(F.substring(digest, 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-    sums = digests.agg(F.count("*").cast("string").alias("n"), *[F.coalesce(part(i), F.lit("0")).alias(f"s{i}") for i in range(4)])
-    return sums.select(F.sha2(F.concat_ws(":", "n", "s0", "s1", "s2", "s3").cast("binary"), 256).alias("fingerprint"))
+def fingerprint_of(chunks: DataFrame) -> DataFrame:
+    """One row, `fingerprint`: a digest of all chunks in the corpus's order."""
+    rows = chunks.select("id", "filepath", "start_line", "end_line", "function_name", row_digest(*map(F.col, CHUNK_COLUMNS)).alias("digest"))
+    return ordered_digest(rows, "digest", *chunking.corpus_order(), F.asc("id"), F.asc("digest"))
 
 
 def fingerprint(chunks: DataFrame) -> str:
-    """A digest of all chunks with their places."""
-    columns = ["id", "filepath", "function_name", "start_line", "end_line", "docstring", "source", "language"]
-    return fingerprint_of(chunks.select(row_digest(*map(F.col, columns)).alias("d"))).first().fingerprint
+    return fingerprint_of(chunks).first().fingerprint
 
 
 def build_index(
@@ -59,11 +70,22 @@ def build_index(
 ) -> dict:
     """Chunks, vectors and postings of a repository as tables below `path`, and a manifest, which is returned.
     Vectors of unchanged chunks come from the cache of earlier builds."""
+    options = {"repository": repository, "include": list(include), "exclude": list(exclude), "exclude_tests": exclude_tests, "max_chunk_lines": max_chunk_lines, "chunk_overlap_lines": overlap}
     files = read_repository(spark, repository, all_folders=True)
+    manifest = write_index(chunks_of(files, options), path, embedder, model, options)
+    file_digests(files).write.mode("overwrite").parquet(f"{path}/files")
+    return manifest
+
+
+def chunks_of(files: DataFrame, options: dict) -> DataFrame:
+    """The chunks of repository files (filepath, content) under an index's options."""
     text = files.select("filepath", F.when(chunking.is_text(F.col("content")), F.decode("content", "UTF-8")).alias("raw_content"))
-    found = chunking.filter_paths(chunking.chunk_files(text, max_chunk_lines, overlap), include, exclude, exclude_tests)
-    options = {"repository": repository, "include": list(include), "exclude": list(exclude), "exclude_tests": exclude_tests, "max_chunk_lines": max_chunk_lines, "chunk_overlap_lines": overlap}
-    return write_index(found, path, embedder, model, options)
+    found = chunking.chunk_files(text, options["max_chunk_lines"], options["chunk_overlap_lines"])
+    return chunking.filter_paths(found, tuple(options["include"]), tuple(options["exclude"]), options["exclude_tests"])
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    return files.select("filepath", F.sha2("content", 256).alias("sha256"))
 
 
 def write_index(found: DataFrame, path: str, embedder: dense.Embedder | None = None, model: str = "hashing-64", options: dict | None = None) -> dict:
@@ -80,35 +102,110 @@ def write_index(found: DataFrame, path: str, embedder: dense.Embedder | None = N
     new = spark.read.parquet(f"{path}/vectors").join(fresh.select("chunk_id").distinct(), "chunk_id", "left_semi") if cache is not None else spark.read.parquet(f"{path}/vectors")
     new.select("model_name", "chunk_id", "text_sha256", "embedding").write.mode("append").parquet(f"{path}/embedding_cache")
     docs = chunks.select(F.col("id").alias("doc_id"), sparse.chunk_document().alias("text"))
-    index = sparse.build(docs)
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    sparse.inverse_frequencies(stored, spark.read.parquet(f"{path}/stats")).write.mode("overwrite").parquet(f"{path}/terms")
+    sparse.counted_documents(docs).write.mode("overwrite").parquet(f"{path}/counted")
+    write_terms(spark, sparse.corpus_counts(spark.read.parquet(f"{path}/counted")), path)
     manifest = {"version": VERSION, "built_at": datetime.now(UTC).isoformat(), "model_name": model, "chunk_count": count, "fingerprint": fingerprint(chunks), **(options or {})}
     write_text(spark, f"{path}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True))
     return manifest
 
 
+def write_terms(spark: SparkSession, counts: DataFrame, path: str) -> None:
+    """Corpus counts, and the terms and statistics that follow from them."""
+    counts.write.mode("overwrite").parquet(f"{path}/counts")
+    index = sparse.from_counts(spark.read.parquet(f"{path}/counted"), spark.read.parquet(f"{path}/counts"))
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+
+
 def load_sparse(spark: SparkSession, path: str) -> sparse.SparseIndex:
     if not exists(spark, f"{path}/manifest.json"):
         raise FileNotFoundError(f"{path} holds no index; build one first")
     if read_json(spark, f"{path}/manifest.json")["version"] != VERSION:
         raise ValueError("the index was written by another version")
-    return sparse.SparseIndex(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "stats")))
+    return sparse.SparseIndex(*(spark.read.parquet(f"{path}/{n}") for n in ("counted", "terms", "stats")))
+
+
+@dataclass(frozen=True)
+class Change:
+    """What an update did."""
+
+    files: int
+    added: int
+    gone: int
+
+
+def update_index(spark: SparkSession, path: str, embedder: dense.Embedder | None = None) -> tuple[dict, Change]:
+    """Bring an index up to its repository's present files; its manifest, and what changed.
+
+    Files are compared by digest, and only those that differ are cut into chunks.
+    """
+    manifest = read_json(spark, f"{path}/manifest.json")
+    files = read_repository(spark, manifest["repository"], all_folders=True)
+    now = stored(file_digests(files))
+    both = spark.read.parquet(f"{path}/files").withColumnRenamed("sha256", "old").join(now.withColumnRenamed("sha256", "new"), "filepath", "full")
+    differ = stored(both.filter(~F.col("old").eqNullSafe(F.col("new"))).select("filepath"))
+    changed = differ.count()
+    if not changed:
+        return manifest, Change(0, 0, 0)
+    stale = spark.read.parquet(f"{path}/chunks").join(differ, "filepath", "left_semi")
+    fresh = chunks_of(files.join(differ, "filepath", "left_semi"), manifest)
+    manifest, added, gone = replace_chunks(spark, path, stale, fresh, embedder, now)
+    return manifest, Change(changed, added, gone)
+
+
+def replace_chunks(spark: SparkSession, path: str, stale: DataFrame, fresh: DataFrame, embedder: dense.Embedder | None = None, files: DataFrame | None = None) -> tuple[dict, int, int]:
+    """Put `fresh` chunks in the place of the `stale` ones of an index; its manifest, and how many came and went.
+
+    Chunks that are among both stay as they are; only others are tokenised and embedded.  Chunks that are gone
+    leave all tables, and the terms follow from the old corpus counts, those of the gone chunks taken out and those of the
+    added ones put in.  The new tables are written beside the old ones; while they are put in their place there is no
+    manifest, so an index that was left half-way is built anew.
+    """
+    manifest = read_json(spark, f"{path}/manifest.json")
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    marked = lambda frame: frame.select(*CHUNK_COLUMNS, row_digest(*map(F.col, CHUNK_COLUMNS)).alias("mark"))
+    fresh, stale = stored(marked(fresh)), marked(stale)
+    gone = stored(stale.join(fresh, ["id", "mark"], "left_anti").select("id", "mark"))
+    new = stored(fresh.join(stale, ["id", "mark"], "left_anti").select(*CHUNK_COLUMNS))
+    lost = gone.select(F.col("id").alias("doc_id"))
+    stage = f"{path}/.update-{uuid.uuid4().hex}"
+    marked(read("chunks")).join(gone, ["id", "mark"], "left_anti").select(*CHUNK_COLUMNS).unionByName(new).write.parquet(f"{stage}/chunks")
+    chunks = spark.read.parquet(f"{stage}/chunks")
+    count = chunks.count()
+    if not count:
+        remove_path(spark, stage)
+        raise ValueError("no chunks to index")
+    unseen = stored(dense.embed_missing(new, read("embedding_cache"), manifest["model_name"], embedder)[1])  # embedded once
+    vectors, _ = dense.embed_missing(new, read("embedding_cache").unionByName(unseen), manifest["model_name"], embedder)
+    read("vectors").join(lost.withColumnRenamed("doc_id", "chunk_id"), "chunk_id", "left_anti").unionByName(vectors).write.parquet(f"{stage}/vectors")
+    sparse.counted_documents(new.select(F.col("id").alias("doc_id"), sparse.chunk_document().alias("text"))).write.parquet(f"{stage}/added")
+    counted = spark.read.parquet(f"{stage}/added")
+    read("counted").join(lost, "doc_id", "left_anti").unionByName(counted).write.parquet(f"{stage}/counted")
+    leaving = sparse.corpus_counts(read("counted").join(lost, "doc_id", "left_semi"))
+    write_terms(spark, sparse.merged_counts(read("counts"), sparse.negated(leaving), sparse.corpus_counts(counted)), stage)
+    names = ["chunks", "vectors", "counted", "counts", "stats", "terms"]
+    if files is not None:
+        files.write.parquet(f"{stage}/files")
+        names.append("files")
+    manifest |= {"built_at": datetime.now(UTC).isoformat(), "chunk_count": count, "fingerprint": fingerprint(chunks)}
+    remove_path(spark, f"{path}/manifest.json")
+    for name in names:
+        remove_path(spark, f"{path}/{name}")
+        move(spark, f"{stage}/{name}", f"{path}/{name}")
+    unseen.select("model_name", "chunk_id", "text_sha256", "embedding").write.mode("append").parquet(f"{path}/embedding_cache")
+    remove_path(spark, stage)
+    write_text(spark, f"{path}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True))
+    return manifest, new.count(), gone.count()
 
 
 def load_or_build(spark: SparkSession, repository: str, path: str, **options) -> dict:
-    """The manifest of an index that fits the repository's present chunks; built anew if it doesn't."""
+    """The manifest of an index that fits the repository's present chunks: the stored one, brought up to the files that
+    changed; built anew if there is none of this version, repository and options."""
     if exists(spark, f"{path}/manifest.json"):
         manifest = read_json(spark, f"{path}/manifest.json")
-        files = read_repository(spark, repository, all_folders=True)
-        text = files.select("filepath", F.when(chunking.is_text(F.col("content")), F.decode("content", "UTF-8")).alias("raw_content"))
-        chunks = chunking.filter_paths(
-            chunking.chunk_files(text, manifest["max_chunk_lines"], manifest["chunk_overlap_lines"]), tuple(manifest["include"]), tuple(manifest["exclude"]), manifest["exclude_tests"]
-        )
-        if manifest["version"] == VERSION and manifest["fingerprint"] == fingerprint(chunks):
-            return manifest
+        asked = {{"overlap": "chunk_overlap_lines", "model": "model_name"}.get(k, k): list(v) if isinstance(v, tuple) else v for k, v in options.items() if k != "embedder"}
+        if manifest["version"] == VERSION and manifest["repository"] == repository and all(manifest.get(k) == v for k, v in asked.items()):
+            return update_index(spark, path, options.get("embedder"))[0]
     return build_index(spark, repository, path, **options)
 
 

@@ -241,7 +241,7 @@ def test_evaluation_and_ablation(spark, tmp_path):
 
 
 def test_logs_and_streams(spark, tmp_path):
-    from lodestone.streaming.refresh import log_stream, refresh_postings
+    from lodestone.streaming.refresh import log_stream
 
     rows = spark.createDataFrame([("1", "a", True), ("2", None, False)], "query_id string, answer string, grounded boolean")
     store.append_jsonl(rows, str(tmp_path / "log"))
@@ -250,12 +250,6 @@ def test_logs_and_streams(spark, tmp_path):
     query = log_stream(spark, str(tmp_path / "log")).writeStream.format("memory").queryName("logged").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("logged").count() == 4
-    docs = spark.createDataFrame([(1, "a b a"), (2, "c")], "doc_id long, text string")
-    for _ in range(2):
-        docs.write.mode("append").parquet(str(tmp_path / "docs"))
-        refresh_postings(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs")), str(tmp_path / "index"), str(tmp_path / "state")).awaitTermination()
-    found = {(r.doc_id, r.term): r.tf for r in spark.read.parquet(str(tmp_path / "index/postings")).collect()}
-    assert found == {(1, "a"): 2, (1, "b"): 1, (2, "c"): 1} and spark.read.parquet(str(tmp_path / "index/postings")).count() == 3
 
 
 def test_clone_refuses_foreign_folders(tmp_path):
