@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id
+from .recovery import definitions
 
 #: File kinds and folders.
 LICENSE_NAMES = "copying copying.md copying.txt license license.md license.txt notice notice.md notice.txt".split()
@@ -73,12 +74,13 @@ def skip_counts(ingested: DataFrame) -> DataFrame:
 
 
 def python_symbols(source: str) -> list[tuple[str, str, int, int, str, str]]:
-    """name, name for the id, first and last line, docstring and text of a file's module parts and definitions."""
+    """name, name for the id, first and last line, docstring and text of a file's module parts and definitions; of a file that
+    doesn't parse, the definitions around what is broken, without docstrings."""
+    lines = source.splitlines()
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return []
-    lines = source.splitlines()
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return [(name, name, start, end, "", "\n".join(lines[start - 1 : end])) for name, start, end in definitions(source)]
     found: list[tuple[str, str, int, int, str, str]] = []
 
     def add(name: str, start: int, end: int, doc: str) -> None:

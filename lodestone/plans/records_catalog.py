@@ -45,19 +45,34 @@ def _spelled(text: str) -> str:
 
 
 _PY_PATH = "CASE WHEN doc_id % 7 = 0 THEN 'node_modules/' ELSE 'src/' END || 'm' || CAST(doc_id AS VARCHAR) || '.py'"
+#: What breaks a file: a header at its top, or a function in its middle; and how many lines come before the first and the other symbols.
+_MIDDLE = "def broken_{i}(x:\n    return [x, {\n\n\n"
+_BROKEN = {0: ("def (\n" + _PY, 1, 1), 1: (_PY.replace("class", _MIDDLE + "class"), 0, 4)}
+
+
+def _rows_sql(text: str, parts: list, where: str) -> str:
+    lines = text.splitlines()
+    return " UNION ALL ".join(
+        f"SELECT {_PY_PATH} AS filepath, {_spelled(name)} AS function_name, {a} AS start_line, {b} AS end_line, {_spelled(doc)} AS docstring, {_spelled(chr(10).join(lines[a - 1 : b]))} AS source FROM labels WHERE {where} AND doc_id % 7 <> 0"
+        for name, a, b, doc in parts
+    )
+
+
 _PY_ROWS = " UNION ALL ".join(
-    f"SELECT {_PY_PATH} AS filepath, {_spelled(name)} AS function_name, {a} AS start_line, {b} AS end_line, {_spelled(doc)} AS docstring, {_spelled(chr(10).join(_PY.splitlines()[a - 1 : b]))} AS source FROM labels WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0"
-    for name, a, b, doc in _PARTS
+    [_rows_sql(_PY, _PARTS, "doc_id % 5 > 1")]
+    + [_rows_sql(text, [(n, a + (up if n.startswith("top") else down), b + (up if n.startswith("top") else down), "") for n, a, b, _ in _PARTS[1:]], f"doc_id % 5 = {k}") for k, (text, up, down) in _BROKEN.items()]
 )
 
 
 @query(f"SELECT substr(sha1(concat_ws(':', filepath, function_name, CAST(start_line AS VARCHAR), CAST(end_line AS VARCHAR))), 1, 16) AS id, filepath, function_name, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, docstring, source FROM ({_PY_ROWS})")
 def python_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols of a generated file for each label; some don't parse, some lie in an ignored folder."""
+    """Symbols of a generated file for each label; two in five don't parse, some lie in an ignored folder."""
     i = F.col("doc_id").cast("string")
     path = F.concat(F.when(F.col("doc_id") % 7 == 0, "node_modules/").otherwise("src/"), F.lit("m"), i, F.lit(".py"))
-    whole = F.concat(F.when(F.col("doc_id") % 5 == 0, "def (\n").otherwise(""), F.replace(F.lit(_PY), F.lit("{i}"), i))
-    return chunking.chunk_files(table(spark, d, "labels").select(path.alias("filepath"), whole.alias("raw_content"))).drop("language")
+    text = F.lit(_PY)
+    for k, (broken, *_) in _BROKEN.items():
+        text = F.when(F.col("doc_id") % 5 == k, F.lit(broken)).otherwise(text)
+    return chunking.chunk_files(table(spark, d, "labels").select(path.alias("filepath"), F.replace(text, F.lit("{i}"), i).alias("raw_content"))).drop("language")
 
 
 _README = "CASE WHEN doc_id % 2 = 0 THEN '# C# ' || source || chr(10) || replace(text, '. ', '.' || chr(10) || '## ') ELSE text END"
