@@ -1,4 +1,4 @@
-"""Dense retrieval: embedding texts, the embedding cache, exact and approximate nearest neighbours."""
+"""Dense retrieval: embedding texts, the embedding cache, exact nearest neighbours."""
 
 from __future__ import annotations
 
@@ -151,19 +151,3 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "ve
 
     pa_type = [to_arrow_type(out_type[c].dataType) for c in ("query_id", "doc_id")]
     return rows.mapInArrow(nearest, out_type).withColumn("rank", place).filter(F.col("rank") <= k)
-
-
-def lsh_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", bucket_length: float = 0.5, tables: int = 8) -> DataFrame:
-    """Approximate nearest by random projections of unit vectors (Euclidean order is cosine order there)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    def prepared(rows: DataFrame, name: str, to: str) -> DataFrame:
-        raw = rows.select(F.col(name).alias(to), array_to_vector(F.col(vector)).alias("raw"))
-        return Normalizer(inputCol="raw", outputCol="unit", p=2.0).transform(raw).select(to, "unit")
-
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=42).fit(prepared(vectors, key, "doc_id"))
-    pairs = model.approxSimilarityJoin(prepared(queries, query_key, "query_id"), prepared(vectors, key, "doc_id"), 1.5, "distance")
-    found = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.doc_id").alias("doc_id"), (1 - F.col("distance") ** 2 / 2).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id")))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k)

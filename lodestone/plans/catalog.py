@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as X
-from ..operators import answering, chunking, dense, evaluation, fusion, sparse
+from ..operators import answering, chunking, dense, evaluation, fusion, graph, sparse
 from ..session import importable
 from .store import report_rows
 
@@ -141,6 +141,14 @@ def dense_knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return _knn(spark, d, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {knn_sql(ASKED_VECTORS)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM knn WHERE rank <= 10")
+def graph_knn_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest rows by walks over a proximity graph; on these tables they find what the exact search finds."""
+    rows = table(spark, d, "embeddings")
+    found = graph.graph_topk(graph.build_graph(rows), rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(
     f"""WITH {knn_sql(ASKED_VECTORS)}, hits AS (SELECT query_id, CAST(CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS DOUBLE) AS hit FROM knn
   JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id WHERE rank <= 11 AND query_id <> doc_id)

@@ -7,17 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import answering, dense, fusion, sparse
+from ..operators import answering, dense, fusion, graph, sparse
 from ..operators.clients import semantic_by
 from ..session import importable
-from .store import load_sparse
+from .store import exists, load_sparse
 
 
 class Engine:
-    """Retrieval and answering over the tables of one index."""
+    """Retrieval and answering over the tables of one index; with `approximate`, dense search walks its proximity graph (`store.write_graph`)."""
 
-    def __init__(self, spark: SparkSession, path: str, embedder: dense.Embedder | None = None, window: int = 1):
+    def __init__(self, spark: SparkSession, path: str, embedder: dense.Embedder | None = None, window: int = 1, approximate: bool = False):
         self.spark, self.embedder, self.window = importable(spark), embedder, window
+        if approximate and not exists(spark, f"{path}/graph"):
+            raise FileNotFoundError(f"{path} holds no graph; write one first")
+        self.graph = spark.read.parquet(f"{path}/graph") if approximate else None
         self.index = load_sparse(spark, path)
         self.chunks = spark.read.parquet(f"{path}/chunks")
         self.vectors = spark.read.parquet(f"{path}/vectors")
@@ -25,13 +28,18 @@ class Engine:
     def query_bm25(self, queries: DataFrame, k: int = 10) -> DataFrame:
         return sparse.bm25_topk(self.index, queries, k)
 
-    def query_dense(self, queries: DataFrame, k: int = 5) -> DataFrame:
+    def nearest(self, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, doc_id, score, rank by the vectors alone."""
         asked = dense.embed(queries.filter(F.trim("question") != ""), "question", self.embedder)
-        found = dense.knn_topk(self.vectors, asked, k, key="chunk_id")
-        return fusion.attach_linked(found, self.chunks, self.window)
+        if self.graph is not None:
+            return graph.graph_topk(self.graph, asked, k).drop("compared")
+        return dense.knn_topk(self.vectors, asked, k, key="chunk_id")
+
+    def query_dense(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        return fusion.attach_linked(self.nearest(queries, k), self.chunks, self.window)
 
     def hybrid(self, queries: DataFrame, k: int = 5) -> DataFrame:
-        hits = fusion.hybrid_search(lambda n: self.query_dense(queries, n), lambda n: self.query_bm25(queries, n), k)
+        hits = fusion.hybrid_search(lambda n: self.nearest(queries, n), lambda n: self.query_bm25(queries, n), k)
         return fusion.attach_linked(hits, self.chunks, self.window)
 
     def retriever(self, kind: str = "hybrid", k: int = 7) -> Callable[[DataFrame], DataFrame]:

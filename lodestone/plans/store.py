@@ -11,7 +11,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, dense, evaluation, sparse
+from ..operators import chunking, dense, evaluation, graph, sparse
 from ..operators.ordering import ordered_digest
 from ..operators.records import chunk_summary
 from ..session import stored
@@ -91,6 +91,7 @@ def file_digests(files: DataFrame) -> DataFrame:
 def write_index(found: DataFrame, path: str, embedder: dense.Embedder | None = None, model: str = "hashing-64", options: dict | None = None) -> dict:
     """The tables of an index of chunks, and its manifest."""
     spark = found.sparkSession
+    remove_path(spark, f"{path}/graph")
     found.write.mode("overwrite").parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks")
     count = chunks.count()
@@ -125,6 +126,11 @@ def load_sparse(spark: SparkSession, path: str) -> sparse.SparseIndex:
     return sparse.SparseIndex(*(spark.read.parquet(f"{path}/{n}") for n in ("counted", "terms", "stats")))
 
 
+def write_graph(spark: SparkSession, path: str) -> None:
+    """The proximity graph of an index's vectors, for approximate search."""
+    graph.build_graph(spark.read.parquet(f"{path}/vectors"), "chunk_id").write.mode("overwrite").parquet(f"{path}/graph")
+
+
 @dataclass(frozen=True)
 class Change:
     """What an update did."""
@@ -189,6 +195,7 @@ def replace_chunks(spark: SparkSession, path: str, stale: DataFrame, fresh: Data
         names.append("files")
     manifest |= {"built_at": datetime.now(UTC).isoformat(), "chunk_count": count, "fingerprint": fingerprint(chunks)}
     remove_path(spark, f"{path}/manifest.json")
+    remove_path(spark, f"{path}/graph")  # of vectors that are no more; write_graph makes it anew
     for name in names:
         remove_path(spark, f"{path}/{name}")
         move(spark, f"{stage}/{name}", f"{path}/{name}")

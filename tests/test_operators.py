@@ -154,8 +154,6 @@ def test_dense_search_blocks_agree(spark):
     many = sorted(map(tuple, dense.knn_topk(rows, queries, 3, block=6).select("query_id", "doc_id", "rank").collect()))
     assert one == many and len(one) == 60 and all(q == d for q, d, r in one if r == 1)
     assert dense.knn_topk(rows, queries, 0).collect() == []
-    approximate = dense.lsh_topk(rows.filter("vec_id < 60"), queries, 1).collect()
-    assert sum(r.query_id == r.doc_id for r in approximate) == 20
 
 
 def test_prompt_budget(spark):
