@@ -127,7 +127,8 @@ def walk(points: np.ndarray, links: np.ndarray, queries: np.ndarray, k: int, bea
             np.concatenate([walked[active], ~fresh], axis=1),
         )
         ids[active], scores[active], walked[active] = joined
-    return ids[:, :k], scores[:, :k], compared
+    order = np.lexsort((ids, -np.round(scores, 9)), axis=1)[:, :k]  # equal scores go by place, that is by key
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1), compared
 
 
 def build_graph(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, degree: int = DEGREE) -> DataFrame:

@@ -48,7 +48,7 @@ def test_recall_over_several_shards_and_blocks(spark):
     assert len(found) == 1500 and len({(r.query_id, r.doc_id) for r in found} & exact) / 1500 >= 0.95
     assert {r.rank for r in found} == set(range(1, 11)) and np.mean([r.compared for r in found]) < 0.7 * 3000
     again = graph.graph_topk(graph.build_graph(rows.repartition(2), shard_rows=700), asked.repartition(3), 10, beam=64, block=1000).collect()
-    assert {tuple(r) for r in again} == {tuple(r) for r in found}
+    assert {(r.query_id, r.doc_id, r.rank) for r in again} == {(r.query_id, r.doc_id, r.rank) for r in found}
 
 
 def test_ties_copies_and_vectors_without_direction(spark):
