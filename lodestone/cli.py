@@ -117,10 +117,7 @@ def main(argv: list[str] | None = None, client=None) -> int:
             records.write.mode("overwrite").json(args.out)
         show(evaluation.summary(records))
         return 0
-    pipelines = {
-        c.id: lambda queries, c=c: engine.answer(queries, client, c.mode, c.retrieval, args.top_k, args.confidence) for c in evaluation.CONDITIONS
-    }
-    records, report = evaluation.run_ablation(items, pipelines)
+    records, report = evaluation.run_conditions(items, lambda queries: engine.answer_conditions(queries, client, args.top_k, args.confidence))
     if args.out:
         store.write_ablation(records, report, args.out)
         store.write_report(report, f"{args.out}/summary")

@@ -7,7 +7,8 @@ batches; whatever depends on a model's answer reads a stored table, not the mode
 from __future__ import annotations
 
 import inspect
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -122,24 +123,53 @@ def answer_questions(queries: DataFrame, retrieve: Callable[[DataFrame], DataFra
     In iterative mode the questions answered in the first pass go through a second one."""
     if mode not in ("single", "iterative"):
         raise ValueError(f"unknown mode {mode}")
+    return passes(queries, retrieve, chunks, generator, (mode,), store)[mode]
+
+
+def passes(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], chunks: DataFrame, generator: Generator, modes: tuple[str, ...], store: Callable[[DataFrame], DataFrame] = stored) -> dict[str, DataFrame]:
+    """The answers of each mode; all modes share the first pass."""
 
     def one_pass(asked: DataFrame, searched: DataFrame) -> DataFrame:
         found = contexts(retrieve(searched), chunks)
         return store(generate(asked.join(found, "query_id", "left"), generator))
 
+    def checked(final: DataFrame, mode: str) -> DataFrame:
+        claims = ungrounded_claims(F.col("answer"), F.col("allowed"))
+        final = final.withColumn("ungrounded_claims", claims).withColumn("grounded", F.size("ungrounded_claims") == 0).withColumn("mode", F.lit(mode))
+        return final.select("query_id", "question", "answer", "mode", "passes", "partial_answer", "contexts", "n_chunks", "grounded", "ungrounded_claims")
+
     base = queries.select("query_id", "question")
     first = one_pass(base, base)
-    if mode == "single":
-        final = first.withColumns({"passes": F.lit(1), "partial_answer": F.lit(None).cast("string")})
-    else:
+    out = {"single": checked(first.withColumns({"passes": F.lit(1), "partial_answer": F.lit(None).cast("string")}), "single")}
+    if "iterative" in modes:
         again = first.filter(F.col("answer") != REFUSAL_ANSWER).select("query_id", "question", F.col("answer").alias("partial_answer"))
         searched = again.select("query_id", refined_question(F.col("question"), F.col("partial_answer")).alias("question"))
         second = one_pass(again, searched).withColumn("passes", F.lit(2))
         skipped = first.filter(F.col("answer") == REFUSAL_ANSWER).withColumns({"passes": F.lit(1), "partial_answer": F.col("answer")})
-        final = second.unionByName(skipped, allowMissingColumns=True)
-    claims = ungrounded_claims(F.col("answer"), F.col("allowed"))
-    checked = final.withColumn("ungrounded_claims", claims).withColumn("grounded", F.size("ungrounded_claims") == 0).withColumn("mode", F.lit(mode))
-    return checked.select("query_id", "question", "answer", "mode", "passes", "partial_answer", "contexts", "n_chunks", "grounded", "ungrounded_claims")
+        out["iterative"] = checked(second.unionByName(skipped, allowMissingColumns=True), "iterative")
+    return out
+
+
+def answer_conditions(queries: DataFrame, retrieve: Mapping[str, Callable[[DataFrame], DataFrame]], chunks: DataFrame, generator: Generator, conditions: DataFrame, store: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
+    """The answers of all conditions (condition_id, retrieval, mode: a few rows) in one frame, with condition_id.
+
+    Questions are asked once for each kind of retrieval, with the kind in their id; conditions that differ in the mode alone
+    share retrieval and first pass, and second passes of all kinds go through one plan."""
+    named = lambda kind, c: F.concat(F.lit(f"{kind}/"), c)
+    kinds = list(retrieve)
+
+    def all_kinds(asked: DataFrame) -> DataFrame:
+        hits = []
+        for kind in kinds:
+            own = asked.filter(F.col("query_id").startswith(f"{kind}/")).withColumn("query_id", F.substring("query_id", len(kind) + 2, 1 << 30))
+            hits.append(retrieve[kind](own).select("query_id", "position", "doc_id").withColumn("query_id", named(kind, F.col("query_id"))))
+        return reduce(lambda a, b: a.unionByName(b), hits)
+
+    asked = queries.select(F.explode(F.array(*[named(kind, F.col("query_id").cast("string")) for kind in kinds])).alias("query_id"), "question")
+    both = passes(asked, all_kinds, chunks, generator, ("single", "iterative"), store)
+    answers = both["single"].unionByName(both["iterative"])
+    answers = answers.withColumns({"retrieval": F.substring_index("query_id", "/", 1), "query_id": F.expr("substring(query_id, instr(query_id, '/') + 1)")})
+    return answers.join(F.broadcast(conditions.select("condition_id", "retrieval", "mode")), ["retrieval", "mode"]).drop("retrieval")
 
 
 def agreement_pairs(samples: DataFrame, group: str = "query_id", order: str = "sample", answer: str = "answer", semantic: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -170,9 +200,9 @@ def confidence(samples: DataFrame, pairs: DataFrame, threshold: float = THRESHOL
     return out.withColumn("warning", warning)
 
 
-def apply_confidence(answers: DataFrame, judged: DataFrame) -> DataFrame:
+def apply_confidence(answers: DataFrame, judged: DataFrame, on: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Answers with their confidence; where it is too low, the refusal stands in for the answer, which is kept as candidate_answer."""
-    joined = answers.join(judged.drop("answer"), "query_id", "left")
+    joined = answers.join(judged.drop("answer"), list(on), "left")
     refuse = F.coalesce("should_refuse", F.lit(False))
     return joined.withColumn("candidate_answer", F.when(refuse, F.col("answer"))).withColumn("answer", F.when(refuse, REFUSAL_ANSWER).otherwise(F.col("answer")))
 

@@ -38,6 +38,9 @@ REPORT_FIELDS = (
 ).split()
 
 
+#: What an ablation's query ids begin with.
+ITEM, PROBE = "item:", "probe:"
+
 #: Questions that no code base answers.
 ADVERSARIAL_QUERIES = (
     "In which file is the moon's phase written to the printer?",
@@ -52,8 +55,10 @@ def conditions(spark: SparkSession) -> DataFrame:
 
 
 def score_items(items: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Items (id, question, ...) with their outputs (id, answer, contexts) and the scores of each; an item without output raises."""
-    lost = items.join(outputs, "id", "left_anti").count()
+    """Items (id, question, ...) with their outputs (id, answer, contexts) and the scores of each; an item without output raises.
+    With a condition_id in the outputs every item has one for each condition."""
+    wanted = items.crossJoin(F.broadcast(conditions(items.sparkSession).select("condition_id"))) if "condition_id" in outputs.columns else items  # four rows
+    lost = wanted.join(outputs, [c for c in ("id", "condition_id") if c in wanted.columns], "left_anti").count()
     if lost:
         raise ValueError(f"{lost} items have no output")
     expected, actual = F.col("ground_truth_context"), F.coalesce("contexts", F.array().cast("array<struct<filepath:string,function_name:string>>"))
@@ -119,34 +124,44 @@ def report_fields(report: DataFrame) -> list[str]:
     return [*REPORT_FIELDS, *sorted(c for c in report.columns if c not in REPORT_FIELDS)]
 
 
-def run_ablation(items: DataFrame, pipelines: Mapping[str, Callable[[DataFrame], DataFrame]], scorer: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Records and summary by condition.  `scorer`: records to rows of condition_id and numbers, whose means
-    the report takes in.  pipelines: for each condition id, questions (query_id, question)
-    to answers (query_id, answer, contexts, grounded, and, if judged, confidence and should_refuse)."""
-    spark = items.sparkSession
-    probes = adversarial_queries(items)
-    records, attacks = [], []
-    for condition in CONDITIONS:
-        run = pipelines[condition.id]
-        out = run(items.select(F.col("id").alias("query_id"), "question")).drop("question").withColumnRenamed("query_id", "id")
-        records.append(score_items(items, out).withColumn("condition_id", F.lit(condition.id)))
-        attacks.append(run(probes).withColumn("condition_id", F.lit(condition.id)))
-    union = lambda frames: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    records, attacks = union(records), union(attacks)
-    for frame in ("records", "attacks"):
-        held = records if frame == "records" else attacks
-        for name, kind in (("confidence", "double"), ("should_refuse", "boolean")):
-            held = held if name in held.columns else held.withColumn(name, F.lit(None).cast(kind))
-        records, attacks = (held, attacks) if frame == "records" else (records, held)
+def probes_of(items: DataFrame) -> DataFrame:
+    """query_id, question of what an ablation asks: the items, and the questions that are to be refused."""
+    own = items.select(F.concat(F.lit(ITEM), "id").alias("query_id"), "question")
+    return own.unionByName(adversarial_queries(items).select(F.concat(F.lit(PROBE), "query_id").alias("query_id"), "question"))
+
+
+def ablation_report(items: DataFrame, outputs: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records and summary by condition, from the outputs of all conditions in one frame: condition_id, query_id (of
+    `probes_of`), answer, contexts, grounded, and, if judged, confidence and should_refuse."""
+    for name, kind in (("confidence", "double"), ("should_refuse", "boolean")):
+        outputs = outputs if name in outputs.columns else outputs.withColumn(name, F.lit(None).cast(kind))
+    outputs = outputs.drop("question")
+    named = lambda prefix: outputs.filter(F.col("query_id").startswith(prefix)).withColumn("query_id", F.substring("query_id", len(prefix) + 1, 1 << 30))
+    records = score_items(items, named(ITEM).withColumnRenamed("query_id", "id"))
+    attacks = named(PROBE)
     flagged = refused_or_flagged(F.col("answer"), F.col("should_refuse"), F.col("grounded"))
     rates = attacks.groupBy("condition_id").agg(F.count("*").alias("adversarial_queries"), mean(flagged).alias("adversarial_refusal_rate"))
     trust = records.groupBy("condition_id").agg(mean("confidence").alias("avg_confidence"), mean("should_refuse").alias("low_confidence_rate"))
-    report = conditions(spark).join(summary(records, "condition_id"), "condition_id").join(rates, "condition_id").join(trust, "condition_id")
+    report = conditions(items.sparkSession).join(summary(records, "condition_id"), "condition_id").join(rates, "condition_id").join(trust, "condition_id")
     if scorer is not None:
         report = report.join(external_means(scorer(records), "condition_id"), "condition_id", "left")
     return records, report.select(*report_fields(report)).orderBy("condition_id")
 
 
+def run_conditions(items: DataFrame, answer: Callable[[DataFrame], DataFrame], scorer: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """An ablation as one plan: `answer` gets all questions (query_id, question) once and gives the outputs of all conditions
+    with their condition_id (`answering.answer_conditions` shares retrieval and first passes between them)."""
+    return ablation_report(items, answer(probes_of(items)), scorer)
+
+
+def run_ablation(items: DataFrame, pipelines: Mapping[str, Callable[[DataFrame], DataFrame]], scorer: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same with a pipeline of its own for each condition id: questions (query_id, question) to answers (query_id,
+    answer, contexts, grounded, and, if judged, confidence and should_refuse)."""
+    asked = probes_of(items)
+    outputs = [pipelines[c.id](asked).withColumn("condition_id", F.lit(c.id)) for c in CONDITIONS]
+    return ablation_report(items, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), outputs), scorer)
+
+
 def lexical_baselines(records: DataFrame, answer: str = "answer", truth: str = "ground_truth_answer") -> DataFrame:
     """Records with rouge1_f1, rougeL_f1 and bleu; null for questions to be refused."""
     a, t, asked = F.col(answer), F.col(truth), ~F.col("expected_refusal")

@@ -483,29 +483,42 @@ def oracle_summary(spark: SparkSession, d: str) -> DataFrame:
     return out.select("total_questions", "context_hit_rate", "context_recall", "context_precision", "answer_relevance_proxy", "refusal_accuracy")
 
 
-#: By which rule the pipelines of the four conditions answer.
-QUERIES_OF_RULES = (3, 4, 5, 6)
-
-
-def _pipeline(n: int):
-    """A pipeline that answers by a rule: every n-th item is refused, others get their truth's first word."""
+#: By which rule each condition answers.
+RULES = {"A": 3, "B": 4, "C": 5, "D": 6}
+
+
+def _answers_by_rule(asked: DataFrame) -> DataFrame:
+    """The outputs of all conditions: by the condition's rule a question is refused, or answered with its truth's first word."""
+    n = F.element_at(F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair]), F.col("condition_id"))
+    number = F.coalesce(F.substring_index("query_id", ":", -1).try_cast("long"), F.lit(0))
+    at = (3 * F.length("question") + number) % n
+    ref = F.struct(F.concat(F.lit("f"), (number % 7).cast("string")).alias("filepath"), F.lit("g").alias("function_name"))
+    rows = asked.crossJoin(F.broadcast(evaluation.conditions(asked.sparkSession).select("condition_id")))  # four rows
+    return rows.select(
+        "condition_id", "query_id", F.when(at == 0, _REFUSAL).otherwise("truth [1]").alias("answer"), F.array(ref).alias("contexts"), (at != 1).alias("grounded"), (at / n).alias("confidence"), (at < 2).alias("should_refuse")
+    )
 
-    def run(asked: DataFrame) -> DataFrame:
-        at = F.crc32(F.concat(F.lit(str(n)), F.col("query_id"))) % n
-        ref = F.struct(F.concat(F.lit("f"), (F.crc32("query_id") % 10).cast("string")).alias("filepath"), F.lit("g").alias("function_name"))
-        return asked.select(
-            "query_id", "question", F.when(at == 0, _REFUSAL).otherwise("truth [1]").alias("answer"), F.array(ref).alias("contexts"), (at != 1).alias("grounded"), (at / F.lit(n)).alias("confidence"), (at < 2).alias("should_refuse")
-        )
 
-    return run
+_CONDITION_ROWS = ", ".join(f"('{c.id}', '{c.label}', '{c.retrieval}', '{c.retrieval_passes}', '{c.mode}', {RULES[c.id]})" for c in evaluation.CONDITIONS)
 
 
-@query()
+@query(
+    f"""WITH {_ITEM_SQL}, c(condition_id, label, retrieval, retrieval_passes, mode, n) AS (VALUES {_CONDITION_ROWS}),
+r AS (SELECT *, (3 * length('q' || CAST(doc_id % 25 AS VARCHAR)) + doc_id) % n AS v, CASE WHEN doc_id % 10 = doc_id % 7 THEN 1.0 ELSE 0.0 END AS hit FROM i, c),
+q AS (SELECT 'q' || CAST(doc_id % 25 AS VARCHAR) AS question FROM i WHERE refuse UNION SELECT unnest([{_TRIES}])),
+a AS (SELECT condition_id, count(*) AS adversarial_queries, round(avg(CASE WHEN v < 2 THEN 1.0 ELSE 0.0 END), 6) AS adversarial_refusal_rate FROM (SELECT condition_id, 3 * length(question) % n AS v FROM q, c) GROUP BY condition_id)
+SELECT condition_id, first(label) AS label, first(retrieval) AS retrieval, first(retrieval_passes) AS retrieval_passes, first(mode) AS mode, count(*) AS total_questions,
+  count(*) FILTER (NOT refuse) AS answerable_questions, count(*) FILTER (refuse) AS refusal_questions, round(avg(hit) FILTER (NOT refuse), 6) AS context_hit_rate,
+  round(avg(hit) FILTER (NOT refuse), 6) AS context_recall, round(avg(hit) FILTER (NOT refuse), 6) AS context_precision,
+  round(avg(CASE WHEN v = 0 THEN 0.0 ELSE 1.0 END) FILTER (NOT refuse), 6) AS answer_relevance_proxy, round(avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END) FILTER (refuse), 6) AS refusal_accuracy,
+  first(adversarial_queries) AS adversarial_queries, first(adversarial_refusal_rate) AS adversarial_refusal_rate, round(avg(v / CAST(n AS DOUBLE)), 6) AS avg_confidence,
+  round(avg(CASE WHEN v < 2 THEN 1.0 ELSE 0.0 END), 6) AS low_confidence_rate, round(avg(CASE WHEN v = 0 THEN {len(_REFUSAL)}.0 ELSE 9.0 END), 6) AS external_length
+FROM r JOIN a USING (condition_id) GROUP BY condition_id"""
+)
 def ablation_report(spark: SparkSession, d: str) -> DataFrame:
-    """The report over the four conditions, with pipelines that follow rules; tests hold it against plain Python."""
-    pipelines = {c.id: _pipeline(n) for c, n in zip(evaluation.CONDITIONS, QUERIES_OF_RULES, strict=True)}
+    """The report over the four conditions, answered in one plan by rules."""
     scorer = lambda rows: rows.select("condition_id", F.length("answer").alias("length"))
-    _, report = evaluation.run_ablation(_items(spark, d), pipelines, scorer)
+    _, report = evaluation.run_conditions(_items(spark, d), _answers_by_rule, scorer)
     return report.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in report.dtypes])
 
 

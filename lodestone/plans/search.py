@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import answering, dense, fusion, graph, sparse
+from ..operators import answering, dense, evaluation, fusion, graph, sparse
 from ..operators.clients import semantic_by
 from ..session import importable
 from .store import exists, load_sparse
@@ -66,10 +67,26 @@ class Engine:
         out = answering.answer_questions(queries, retrieve, self.chunks, generator, mode)
         if not judge:
             return out
-        found = answering.contexts(retrieve(queries), self.chunks)
-        asked = queries.select("query_id", "question").join(found, "query_id", "left")
+        return answering.apply_confidence(out, self.judged(queries, retrieve, generator, semantic, estimator))
+
+    def judged(self, queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], generator: answering.Generator,
+               semantic: Callable[[Column, Column], Column] | None = None, estimator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The questions' confidence."""
+        asked = queries.select("query_id", "question").join(answering.contexts(retrieve(queries), self.chunks), "query_id", "left")
         if estimator is not None:
-            return answering.apply_confidence(out, estimator(asked))
+            return estimator(asked)
         samples = answering.sampled(asked, generator)
         similar = semantic or semantic_by(self.embedder or dense.hashing_embedder())
-        return answering.apply_confidence(out, answering.confidence(samples, answering.agreement_pairs(samples, semantic=similar)))
+        return answering.confidence(samples, answering.agreement_pairs(samples, semantic=similar))
+
+    def answer_conditions(self, queries: DataFrame, generator: answering.Generator, k: int = 7, judge: bool = False) -> DataFrame:
+        """The answers of an ablation's conditions in one frame, with condition_id: a question is retrieved and first answered
+        once for each kind of retrieval, and its confidence goes with that kind."""
+        conditions = evaluation.conditions(self.spark)
+        retrieve = {kind: self.retriever(kind, k) for kind in dict.fromkeys(c.retrieval for c in evaluation.CONDITIONS)}
+        out = answering.answer_conditions(queries, retrieve, self.chunks, generator, conditions)
+        if not judge:
+            return out
+        kinds = [self.judged(queries, run, generator).withColumn("retrieval", F.lit(kind)) for kind, run in retrieve.items()]
+        each = reduce(lambda a, b: a.unionByName(b), kinds).join(F.broadcast(conditions.select("condition_id", "retrieval")), "retrieval").drop("retrieval")
+        return answering.apply_confidence(out, each, ("query_id", "condition_id"))

@@ -1,6 +1,5 @@
 import json
 import urllib.error
-import zlib
 
 import numpy as np
 import pytest
@@ -9,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone import cli
 from lodestone.operators import answering, clients, dense, evaluation, records
 from lodestone.plans import store
-from lodestone.plans.records_catalog import QUERIES_OF_RULES, _items, ablation_report
+from lodestone.plans.records_catalog import RULES, _items, ablation_report
 
 
 def test_chat_client_speaks_the_usual_form():
@@ -110,11 +109,12 @@ def test_ablation_report_against_plain_python(spark, data):
     items = [r.asDict(True) for r in _items(spark, data).collect()]
     report = {r.condition_id: r for r in ablation_report(spark, data).collect()}
     probes = {i["question"] for i in items if i["expected_refusal"]} | set(evaluation.ADVERSARIAL_QUERIES)
-    for condition, n in zip(evaluation.CONDITIONS, QUERIES_OF_RULES, strict=True):
-        at = {i["id"]: zlib.crc32(f"{n}{i['id']}".encode()) % n for i in items}
+    for condition in evaluation.CONDITIONS:
+        n = RULES[condition.id]
+        at = {i["id"]: (3 * len(i["question"]) + int(i["id"])) % n for i in items}
         refused = {k: v == 0 for k, v in at.items()}
         asked = [i for i in items if not i["expected_refusal"]]
-        hit = [f"f{zlib.crc32(i['id'].encode()) % 10}" == i["ground_truth_context"][0]["filepath"] for i in asked]
+        hit = [f"f{int(i['id']) % 7}" == i["ground_truth_context"][0]["filepath"] for i in asked]
         row = report[condition.id]
         mean = lambda xs: round(sum(xs) / len(xs), 6) if xs else None
         assert row.total_questions == len(items) and row.answerable_questions == len(asked) and row.adversarial_queries == len(probes)
@@ -123,6 +123,39 @@ def test_ablation_report_against_plain_python(spark, data):
         assert row.external_length == mean([len(answering.REFUSAL_ANSWER) if refused[i["id"]] else len("truth [1]") for i in items])
 
 
+def test_conditions_in_one_plan_equal_a_pipeline_each(spark, tmp_path):
+    """Shared retrieval and first passes change no answer, and a question is retrieved once for each kind and pass."""
+    from pyspark.sql import functions as F
+
+    from lodestone.plans.search import Engine
+
+    chunks = spark.createDataFrame(
+        [(f"c{i}", f"f{i % 9}.py", f"name_{i}", i, i + 2, "", f"def name_{i}(): return 'word{i} other{i % 7}'", "python") for i in range(40)],
+        "id string, filepath string, function_name string, start_line int, end_line int, docstring string, source string, language string",
+    )
+    store.write_index(chunks, str(tmp_path / "index"))
+    engine = Engine(spark, str(tmp_path / "index"))
+    rows = [(str(i), f"where is word{i} or name_{i}?", f"name_{i} returns word{i}", [(f"f{i % 9}.py", f"name_{i}")], i % 4 == 0) for i in range(8)]
+    items = spark.createDataFrame(rows, "id string, question string, ground_truth_answer string, ground_truth_context array<struct<filepath string, function_name string>>, expected_refusal boolean")
+    calls = spark.sparkContext.accumulator(0)
+
+    def generator(messages, questions, temperature=0.0, system=""):
+        calls.add(len(messages))
+        return [f"name_{q.split('name_')[1].split('?')[0]} [1]" if "name_" in q and int(q.split("word")[1][0]) % 3 else "" for q in questions]
+
+    one_records, one = evaluation.run_conditions(items, lambda q: engine.answer_conditions(q, generator, 3, judge=True))
+    one = one.collect()
+    shared, calls.value = calls.value, 0
+    pipelines = {c.id: lambda q, c=c: engine.answer(q, generator, c.mode, c.retrieval, 3, judge=True) for c in evaluation.CONDITIONS}
+    each_records, each = evaluation.run_ablation(items, pipelines)
+    assert one == each.collect() and len(one) == 4
+    assert calls.value > 1.5 * shared
+    key = ["condition_id", "id", "answer", "mode", "passes", "confidence", "context_recall"]
+    assert sorted(map(str, one_records.select(key).collect())) == sorted(map(str, each_records.select(key).collect()))
+    with pytest.raises(ValueError):
+        evaluation.run_conditions(items, lambda q: engine.answer_conditions(q, generator, 3).filter(F.col("condition_id") != "B"))
+
+
 def test_commands(spark, tmp_path, capsys):
     repo = tmp_path / "repo"
     repo.mkdir()
