@@ -88,13 +88,17 @@ def parts_for(frame: DataFrame, each: int = 32 << 20, least: int = 32) -> int:
 
 def release() -> None:
     """Give freed memory of a Python worker back to the machine; idle workers are kept for a while."""
-    import ctypes
     import gc
 
-    import pyarrow
-
     gc.collect()
-    pyarrow.default_memory_pool().release_unused()
+    trim()
+
+
+def trim() -> None:
+    """The same without a look for cycles, for the end of a task whose arrays are freed as they go."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
