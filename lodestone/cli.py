@@ -1,4 +1,4 @@
-"""Command line: ingest, chunk, build, search, answer, evaluate, ablation, judge."""
+"""Command line: ingest, chunk, build, dense, sparse, search, answer, generate, evaluate, ablation, judge."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import chunking, clients, evaluation
-from .operators.records import metric_text
+from .operators import answering, chunking, clients, dense, evaluation, sparse
+from .operators.ordering import positions
+from .operators.records import fixture_chunks, metric_text
 from .plans import store
 from .plans.search import Engine
+from .session import stored
 from .sources.repository import read_eval_set, read_repository
 
 
@@ -27,6 +29,23 @@ def parsed(argv: list[str] | None) -> argparse.Namespace:
         one.add_argument("--exclude", action="append", default=[])
         one.add_argument("--exclude-tests", action="store_true")
         one.add_argument("--reuse", action="store_true")
+    for name in ("dense", "sparse"):
+        one = commands.add_parser(name, help="index a repository for one kind of search, and try it")
+        one.add_argument("repository")
+        one.add_argument("--out", default="index")
+        one.add_argument("--query")
+        one.add_argument("--top-k", type=int, default=5)
+        one.add_argument("--max-lines", type=int, default=220)
+        one.add_argument("--include", action="append", default=[])
+        one.add_argument("--exclude", action="append", default=[])
+        one.add_argument("--exclude-tests", action="store_true")
+        one.add_argument("--force-rebuild", action="store_true")
+    generate = commands.add_parser("generate", help="answer a question from a few built-in snippets or those of a file")
+    generate.add_argument("question")
+    generate.add_argument("--chunks", help="JSON lines of chunks; without them the built-in ones")
+    generate.add_argument("--temperature", type=float, default=0.0)
+    generate.add_argument("--json", action="store_true")
+    _model(generate)
     for name in ("search", "answer", "evaluate", "ablation"):
         one = commands.add_parser(name)
         one.add_argument("index")
@@ -91,6 +110,10 @@ def main(argv: list[str] | None = None, client=None) -> int:
         client = client or clients.ChatClient(args.base_url, args.model, args.api_key)
     if args.command in ("ingest", "chunk", "build"):
         return repository_command(spark, args)
+    if args.command in ("dense", "sparse"):
+        return index_command(spark, args)
+    if args.command == "generate":
+        return generate_command(spark, args, client)
     if args.command == "judge":
         show(store.judge_ablation(spark, args.ablation, read_eval_set(spark, args.test_set), judge_by(client), args.out))
         return 0
@@ -126,6 +149,45 @@ def main(argv: list[str] | None = None, client=None) -> int:
     return 0
 
 
+def index_command(spark: SparkSession, args: argparse.Namespace) -> int:
+    """One kind of index of a repository's chunks; its hits for a question, with their places."""
+    options = {"include": args.include, "exclude": args.exclude, "exclude_tests": args.exclude_tests, "max_chunk_lines": args.max_lines, "chunk_overlap_lines": 20}
+    folder = f"{args.out}/{args.command}"
+    chunks = stored(store.chunks_of(read_repository(spark, args.repository, all_folders=True), options))
+    fingerprint = store.fingerprint(chunks)
+    known = store.read_json(spark, f"{folder}/manifest.json") if store.exists(spark, f"{folder}/manifest.json") else {}
+    fits = not args.force_rebuild and (known.get("version"), known.get("fingerprint")) == (store.VERSION, fingerprint)
+    if not fits:
+        store.remove_path(spark, f"{folder}/manifest.json")
+        if args.command == "dense":
+            store.write_vectors(chunks, folder, anew=args.force_rebuild)
+        else:
+            store.write_counted(chunks, folder)
+        store.write_text(spark, f"{folder}/manifest.json", json.dumps({"version": store.VERSION, "fingerprint": fingerprint, "chunk_count": chunks.count()}))
+    print(json.dumps({"chunks": chunks.count(), "rebuilt": not fits}, sort_keys=True))
+    if args.query and args.query.strip():
+        asked = spark.createDataFrame([("q", args.query)], "query_id string, question string")
+        if args.command == "dense":
+            hits = dense.knn_topk(spark.read.parquet(f"{folder}/vectors"), dense.embed(asked, "question"), args.top_k, key="chunk_id")
+        else:
+            hits = sparse.bm25_topk(store.load_sparse(spark, folder), asked, args.top_k)
+        places = chunks.select(F.col("id").alias("doc_id"), "filepath", "function_name", "start_line", "end_line")
+        show(hits.join(places, "doc_id").drop("query_id").orderBy("rank"))
+    return 0
+
+
+def generate_command(spark: SparkSession, args: argparse.Namespace, client) -> int:
+    """One answer from given chunks, in their order."""
+    built_in = fixture_chunks(spark)
+    chunks = spark.read.schema(built_in.schema).json(args.chunks) if args.chunks else built_in
+    ordered = positions(chunks.select("id", "filepath", "start_line", "end_line", "function_name"), *chunking.corpus_order(), F.asc("id"))
+    hits = ordered.select(F.lit("q").alias("query_id"), "position", F.col("id").alias("doc_id"))
+    asked = spark.createDataFrame([("q", args.question)], "query_id string, question string").join(answering.contexts(hits, chunks), "query_id", "left")
+    answer = stored(answering.generate(asked, client, args.temperature)).first().answer
+    print(json.dumps({"query": args.question, "answer": answer}) if args.json else answer)
+    return 0
+
+
 def repository_command(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.command == "build":
         run = store.load_or_build if args.reuse else store.build_index

@@ -97,17 +97,29 @@ def write_index(found: DataFrame, path: str, embedder: dense.Embedder | None = N
     count = chunks.count()
     if not count:
         raise ValueError("no chunks to index")
-    cache = spark.read.parquet(f"{path}/embedding_cache") if exists(spark, f"{path}/embedding_cache") else None
+    write_vectors(chunks, path, embedder, model)
+    write_counted(chunks, path)
+    manifest = {"version": VERSION, "built_at": datetime.now(UTC).isoformat(), "model_name": model, "chunk_count": count, "fingerprint": fingerprint(chunks), **(options or {})}
+    write_text(spark, f"{path}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True))
+    return manifest
+
+
+def write_vectors(chunks: DataFrame, path: str, embedder: dense.Embedder | None = None, model: str = "hashing-64", anew: bool = False) -> None:
+    """The chunks' vectors: those that the cache below `path` knows come from there (not if `anew`), the others join it."""
+    spark = chunks.sparkSession
+    cache = spark.read.parquet(f"{path}/embedding_cache") if not anew and exists(spark, f"{path}/embedding_cache") else None
     vectors, fresh = dense.embed_missing(chunks, cache, model, embedder)
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
-    new = spark.read.parquet(f"{path}/vectors").join(fresh.select("chunk_id").distinct(), "chunk_id", "left_semi") if cache is not None else spark.read.parquet(f"{path}/vectors")
-    new.select("model_name", "chunk_id", "text_sha256", "embedding").write.mode("append").parquet(f"{path}/embedding_cache")
+    made = spark.read.parquet(f"{path}/vectors")
+    new = made.join(fresh.select("chunk_id").distinct(), "chunk_id", "left_semi") if cache is not None else made
+    new.select("model_name", "chunk_id", "text_sha256", "embedding").write.mode("overwrite" if anew else "append").parquet(f"{path}/embedding_cache")
+
+
+def write_counted(chunks: DataFrame, path: str) -> None:
+    """The chunks' counted terms, and the terms and statistics of them all."""
     docs = chunks.select(F.col("id").alias("doc_id"), sparse.chunk_document().alias("text"))
     sparse.counted_documents(docs).write.mode("overwrite").parquet(f"{path}/counted")
-    write_terms(spark, sparse.corpus_counts(spark.read.parquet(f"{path}/counted")), path)
-    manifest = {"version": VERSION, "built_at": datetime.now(UTC).isoformat(), "model_name": model, "chunk_count": count, "fingerprint": fingerprint(chunks), **(options or {})}
-    write_text(spark, f"{path}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True))
-    return manifest
+    write_terms(chunks.sparkSession, sparse.corpus_counts(chunks.sparkSession.read.parquet(f"{path}/counted")), path)
 
 
 def write_terms(spark: SparkSession, counts: DataFrame, path: str) -> None:

@@ -5,14 +5,15 @@ from __future__ import annotations
 import os
 import subprocess
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import EVAL_ITEM
-from ..session import importable
+from ..session import importable, stored
 
 #: Folders that are never entered.
 IGNORED_DIRS = frozenset(
@@ -20,58 +21,76 @@ IGNORED_DIRS = frozenset(
 )
 
 
-class FileGroup(InputPartition):
-    def __init__(self, root: str, paths: list[str]):
-        self.root, self.paths = root, paths
+#: Folders that a task lists, files that a task reads, bytes of content that it hands on at once.
+FOLDERS_EACH, FILES_EACH, BATCH_BYTES = 64, 256, 32 << 20
 
 
-class RepositoryReader(DataSourceReader):
-    """A partition for every `group` files, in the order of their paths."""
+def opened(root: str):
+    """The file system of a path or URI, and the root's path there."""
+    from pyarrow import fs
 
-    def __init__(self, options: dict):
-        self.root = options.get("path", "")
-        self.group = int(options.get("filesPerPartition", "256"))
-        self.all_dirs = options.get("allFolders", "false").lower() == "true"
+    return fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
 
-    def partitions(self) -> list[FileGroup]:
-        root = Path(self.root)
-        if not root.exists():
-            raise FileNotFoundError(self.root)
-        if not root.is_dir():
-            raise NotADirectoryError(self.root)
-        paths = []
-        for folder, names, files in os.walk(root):
-            names[:] = sorted(n for n in names if self.all_dirs or n not in IGNORED_DIRS)
-            paths += [Path(folder, f).relative_to(root).as_posix() for f in files]
-        paths.sort(key=lambda p: p.split("/"))
-        return [FileGroup(self.root, paths[a : a + self.group]) for a in range(0, len(paths), self.group)] or [FileGroup(self.root, [])]
 
-    def read(self, partition: FileGroup) -> Iterator[tuple]:
-        for path in partition.paths:
-            yield path, Path(partition.root, path).read_bytes()
+def list_files(spark: SparkSession, root: str, all_folders: bool = False) -> DataFrame:
+    """filepath (relative, with slashes) of every file below a folder, listed level by level: tasks list the folders of a level, and
+    those that they find, but for ignored ones and links, are the next.  The driver only counts them."""
+    importable(spark)
 
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-class RepositorySource(DataSource):
-    """format("repository"): filepath (relative, with slashes) and content of every file below a folder."""
+        system, top = opened(root)
+        local = isinstance(system, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                names, kinds = [], []
+                for info in system.get_file_info(fs.FileSelector(f"{top}/{folder}" if folder else top)):
+                    entered = info.type == fs.FileType.Directory and (all_folders or info.base_name not in IGNORED_DIRS) and not (local and os.path.islink(info.path))
+                    if entered or info.type == fs.FileType.File:
+                        names.append(f"{folder}/{info.base_name}" if folder else info.base_name)
+                        kinds.append(entered)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.bool_())], ["filepath", "is_folder"])
 
-    @classmethod
-    def name(cls) -> str:
-        return "repository"
-
-    def schema(self) -> str:
-        return "filepath string, content binary"
-
-    def reader(self, schema) -> RepositoryReader:
-        return RepositoryReader(self.options)
+    level, found = spark.createDataFrame([("",)], "folder string"), []
+    while True:
+        level = stored(level.mapInArrow(children, "filepath string, is_folder boolean"))
+        found.append(level.filter(~F.col("is_folder")).select("filepath"))
+        folders = level.filter("is_folder").select(F.col("filepath").alias("folder"))
+        count = folders.count()
+        if not count:
+            return reduce(lambda a, b: a.unionByName(b), found)
+        level = folders.repartition(-(-count // FOLDERS_EACH), "folder")
 
 
 def read_repository(spark: SparkSession, root: str, all_folders: bool = False) -> DataFrame:
-    if not Path(root).exists():
+    """filepath and content of every file below a folder of any file system that tasks can open (a local path: one that all machines see)."""
+    from pyarrow import fs
+
+    system, top = opened(root)
+    kind = system.get_file_info(top).type
+    if kind == fs.FileType.NotFound:
         raise FileNotFoundError(root)
-    if not Path(root).is_dir():
+    if kind != fs.FileType.Directory:
         raise NotADirectoryError(root)
-    importable(spark).dataSource.register(RepositorySource)
-    return spark.read.format("repository").option("allFolders", str(all_folders).lower()).load(root)
+    files = list_files(spark, root, all_folders)
+    count = files.count()
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = opened(root)
+        for batch in batches:
+            paths, held, size = [], [], 0
+            for path in batch.column(0).to_pylist():
+                with system.open_input_file(f"{top}/{path}") as data:
+                    held.append(data.read())
+                paths.append(path)
+                size += len(held[-1])
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(held, pa.binary())], ["filepath", "content"])
+                    paths, held, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(held, pa.binary())], ["filepath", "content"])
+
+    return files.repartition(max(1, -(-count // FILES_EACH)), "filepath").mapInArrow(contents, "filepath string, content binary")
 
 
 def clone(url: str, destination: str) -> str:

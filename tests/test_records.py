@@ -181,6 +181,12 @@ def test_commands(spark, tmp_path, capsys):
     assert any("area_of_circle" in line for line in run("chunk", str(repo)))
     assert json.loads(run("build", str(repo), "--out", index)[-1])["chunk_count"] == 6
     assert json.loads(run("search", index, "area of circle", "--retrieval", "bm25", "--top-k", "1")[0])["filepath"] == "geo.py"
+    for kind in ("dense", "sparse"):
+        lines = [json.loads(x) for x in run(kind, str(repo), "--out", index, "--query", "area of circle", "--top-k", "2")]
+        assert lines[0] == {"chunks": 6, "rebuilt": True} and lines[1]["filepath"] == "geo.py" and lines[1]["rank"] == 1 and len(lines) <= 3
+        assert json.loads(run(kind, str(repo), "--out", index)[0])["rebuilt"] is False
+        assert json.loads(run(kind, str(repo), "--out", index, "--force-rebuild")[0])["rebuilt"] is True
+    assert run("generate", "what is three times the radius?")[0].startswith("three times the radius")
     assert json.loads(run("answer", index, "area of circle", "--retrieval", "bm25", "--log", str(tmp_path / "log"))[0])["answer"].startswith("three")
     assert spark.read.json(str(tmp_path / "log")).count() == 1
     scored = json.loads(run("evaluate", index, tests, "--oracle")[0])
