@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import answering, chunking, dense, evaluation, ordering, records, sparse
 from ..session import checkpoint_folder
+from ..sources.repository import read_eval_set, read_repository
 from ..streaming import refresh
 from . import store
 from .catalog import _PAIRS, _samples, lines_sql, query, table, tok
@@ -567,3 +568,96 @@ def external_score_means(spark: SparkSession, d: str) -> DataFrame:
 def metric_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", records.metric_text(F.col("value")).alias("value"))
 
+
+# what needs files or vectors -------------------------------------------------------
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters(text: F.Column) -> F.Column:
+    """How often a text has each letter."""
+    low = F.lower(text)
+    return F.transform(F.array(*map(F.lit, _LETTERS)), lambda x: (F.length(low) - F.length(F.replace(low, x))).cast("double"))
+
+
+_LETTERS_SQL = "list_transform([" + ", ".join(f"'{x}'" for x in _LETTERS) + "], lambda x: CAST(length(lower({t})) - length(replace(lower({t}), x, '')) AS DOUBLE))"
+_MEANT = f"""{_PAIRS}, t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, {_LETTERS_SQL.format(t="text")} AS v FROM conversations WHERE role = 'assistant'),
+m AS (SELECT p.*, least(1, greatest(0, coalesce(CASE WHEN list_sum(a.v) = 0 OR list_sum(b.v) = 0 THEN 0 ELSE list_cosine_similarity(a.v, b.v) END, 0))) AS y FROM p JOIN t a ON a.conv_id = p.conv_id AND a.i = "left" JOIN t b ON b.conv_id = p.conv_id AND b.i = "right")"""
+
+
+@query(f'WITH {_MEANT} SELECT conv_id AS query_id, "left", "right", round(x, 6) AS lexical, round(y, 6) AS semantic, round(0.4 * x + 0.6 * y, 6) AS combined FROM m')
+def semantic_agreement_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of answers by their words and by the cosine of vectors, here of their letters."""
+    pairs = answering.agreement_pairs(_samples(spark, d), semantic=lambda a, b: X.cosine(_letters(a), _letters(b)))
+    return pairs.select("query_id", *[F.col(c).cast("long").alias(c) for c in ("left", "right")], "lexical", "semantic", "combined")
+
+
+@query(
+    f"""WITH {_MEANT}, c AS (SELECT conv_id, count(*) AS pairs, max(round(0.4 * x + 0.6 * y, 6)) AS best, round(avg(round(0.4 * x + 0.6 * y, 6)), 6) AS confidence FROM m GROUP BY conv_id), g AS (SELECT conv_id, count(*) AS n, arg_max(text, turn) AS final FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT g.conv_id AS query_id, CAST(0.72 AS DOUBLE) AS threshold, n AS n_answers, final AS last_answer, coalesce(pairs, 0) AS n_pairs, coalesce(best, -1.0) AS best, coalesce(confidence, 0) AS confidence FROM g LEFT JOIN c ON c.conv_id = g.conv_id"""
+)
+def confidence_log(spark: SparkSession, d: str) -> DataFrame:
+    """The confidence log's records, appended to a file and read again."""
+    path, samples = _folder(spark, "confidence"), _samples(spark, d)
+    pairs = answering.agreement_pairs(samples, semantic=lambda a, b: X.cosine(_letters(a), _letters(b)))
+    store.append_jsonl(store.confidence_records(answering.confidence(samples, pairs), samples, pairs, answering.THRESHOLD, answering.TEMPERATURES), path)
+    kind = "array<struct<left:int,right:int,lexical:double,semantic:double,combined:double>>"
+    back = spark.read.schema(f"query_id long, threshold double, raw_answers array<string>, pair_scores {kind}, confidence double").json(path)
+    scores = F.coalesce("pair_scores", F.array().cast(kind))
+    return back.select(
+        "query_id", "threshold", F.size("raw_answers").alias("n_answers"), F.element_at("raw_answers", -1).alias("last_answer"), F.size(scores).alias("n_pairs"),
+        F.coalesce(F.array_max(F.transform(scores, lambda x: x["combined"])), F.lit(-1.0)).alias("best"), "confidence",
+    )
+
+
+@query(f"WITH {_ITEM_SQL} SELECT id, 'q' || CAST(doc_id % 25 AS VARCHAR) AS question, 'truth ' || CAST(quality AS VARCHAR) AS ground_truth_answer, 'f' || CAST(doc_id % 10 AS VARCHAR) AS place, refuse AS expected_refusal FROM i WHERE quality IS NOT NULL")
+def evaluation_items(spark: SparkSession, d: str) -> DataFrame:
+    """Test items written as JSON lists and read with their checks."""
+    path, items = _folder(spark, "items"), _items(spark, d).filter("ground_truth_answer IS NOT NULL")
+    lists = items.groupBy(F.pmod(F.xxhash64("id"), F.lit(16)).alias("part")).agg(F.to_json(F.collect_list(F.struct(*items.columns))).alias("value"))
+    lists.write.partitionBy("part").text(path)
+    back = read_eval_set(spark, path)
+    return back.select("id", "question", "ground_truth_answer", F.col("ground_truth_context")[0]["filepath"].alias("place"), "expected_refusal")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS condition_id, coalesce(CAST(quality AS VARCHAR), '') AS quality, printf('%.6f', doc_id / 7.0) AS rate FROM labels")
+def report_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """A report written as CSV, read as the tools that compare reports read it."""
+    path = _folder(spark, "summary")
+    store.write_report(table(spark, d, "labels").select(F.col("doc_id").alias("condition_id"), "quality", (F.col("doc_id") / F.lit(7.0)).alias("rate")), path)
+    return store.report_table(spark, path)
+
+
+@query(
+    """SELECT 'i' || CAST(item_id AS VARCHAR) || '/README.md' AS filepath, 'README:item-' || CAST(item_id AS VARCHAR) AS function_name, CAST(1 AS BIGINT) AS start_line, CAST(2 AS BIGINT) AS end_line FROM benchmark
+UNION ALL SELECT 'i' || CAST(item_id AS VARCHAR) || '/src/code.py', 'f_' || CAST(item_id AS VARCHAR), 1, 2 FROM benchmark"""
+)
+def repository_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of a tree of files that tasks wrote: a readme, a source file and one in an ignored folder for each item."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    root = _folder(spark, "tree")
+    i = F.col("item_id").cast("string")
+    readme = F.concat(F.lit("# Item "), i, F.lit("\n"), F.regexp_replace("text", "[\\s#]+", " "))
+    code = F.concat(F.lit("def f_"), i, F.lit("(x):\n    return x\n"))
+    files = F.inline(F.array(*[F.struct(F.concat(F.lit("i"), i, F.lit(p)).alias("filepath"), t.alias("text")) for p, t in (("/README.md", readme), ("/src/code.py", code), ("/build/code.py", code))]))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from lodestone.sources.repository import opened
+
+        system, top = opened(root)
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system.create_dir(f"{top}/{path.rpartition('/')[0]}", recursive=True)
+                with system.open_output_stream(f"{top}/{path}") as out:
+                    out.write(text.encode())
+            yield batch.select(["filepath"])
+
+    written = table(spark, d, "benchmark").select(files).mapInArrow(write, "filepath string").count()
+    found = read_repository(spark, root, all_folders=True)
+    if found.count() != written:
+        raise AssertionError("not all files are listed")
+    text = found.select("filepath", F.decode("content", "UTF-8").alias("raw_content"))
+    return chunking.chunk_files(text, 200).select("filepath", "function_name", "start_line", "end_line")

@@ -311,8 +311,15 @@ def write_report(report: DataFrame, path: str) -> None:
     report_rows(report).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
+def report_table(spark: SparkSession, path: str) -> DataFrame:
+    """A written report, all strings; what was null is empty."""
+    back = spark.read.option("header", True).csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
+
+
 def read_report(spark: SparkSession, path: str) -> dict[str, dict]:
-    return {r.condition_id: r.asDict() for r in spark.read.option("header", True).csv(path).collect()}
+    """The rows of a small report by condition."""
+    return {r.condition_id: r.asDict() for r in report_table(spark, path).collect()}
 
 
 def write_raw_files(files: DataFrame, path: str) -> None:
