@@ -31,7 +31,7 @@ SYMBOLS = "#*$%&|<>"
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_DOCS, MAX_SHARE, MIN_LEFT = 10, 0.10, 1 / 3
-#: Documents of a host that may hold a line, however large the host, where lines are removed.
+#: Documents of a host that may hold a line, however large the host.
 MAX_DOCS = 100
 
 
@@ -137,11 +137,11 @@ def left() -> list[Column]:
     return [F.sum("n").alias("all_words"), F.sum(F.when(F.col("boilerplate").isNull(), F.col("n")).otherwise(0)).alias("left_words")]
 
 
-def depleted(frame: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def depleted(frame: DataFrame, host: str = "source", text: str = "text", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int | None = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """Host and text hash of the texts that consist mostly of their host's boilerplate."""
     # copies of a text add the same lines each: shares do not depend on their number
     return (
-        judged(frame, host, text, min_docs, max_share, None)
+        judged(frame, host, text, min_docs, max_share, max_docs)
         .groupBy("host", "text_hash")
         .agg(*left())
         .filter(F.col("left_words") < min_left * F.col("all_words"))
@@ -232,7 +232,7 @@ WITH w AS (
   SELECT n.host, n.line FROM normal n
   JOIN (SELECT host, count(DISTINCT t) AS d FROM w GROUP BY host) h ON h.host = n.host
   WHERE n.line <> '' GROUP BY n.host, n.line, h.d
-  HAVING count(DISTINCT n.t) > {min_docs} AND count(DISTINCT n.t) > {max_share} * h.d
+  HAVING count(DISTINCT n.t) > {min_docs} AND count(DISTINCT n.t) > least({max_share} * h.d, {max_docs})
 ), poor AS (
   SELECT n.doc_id FROM normal n LEFT JOIN frequent f ON f.host = n.host AND f.line = n.line
   WHERE n.line <> '' GROUP BY n.doc_id
@@ -242,4 +242,4 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND p.doc_id IS NULL AS kept
 FROM base b LEFT JOIN poor p ON p.doc_id = b.doc_id
-""".format(min_docs=MIN_DOCS, max_share=MAX_SHARE, min_left=MIN_LEFT)
+""".format(min_docs=MIN_DOCS, max_share=MAX_SHARE, max_docs=MAX_DOCS, min_left=MIN_LEFT)

@@ -74,6 +74,23 @@ def test_lines_of_large_hosts_count_like_those_of_small_ones(spark):
     assert set(out) == set(range(1500)) and all(line not in t for t in out.values())
 
 
+def test_the_size_of_a_host_does_not_turn_a_verdict(spark):
+    """182 documents that are mostly six lines go from a host of 545 and from one of 2,000, in the query's rules, its SQL and the stage."""
+    import duckdb
+
+    lines = "\n".join(prose(7000 + j, 12) for j in range(6))
+    rows = [(1000 * h + i, lines + "\n" + prose(i, 10) if i < 182 else prose(50_000 * h + i, 55), "en", f"h{h}", 0) for h, n in ((10, 545), (20, 2000)) for i in range(n)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    wanted = {i for i, t, *_ in rows if lines not in t}
+    found = quality.rules(docs).select("doc_id", "base_failed", "kept").collect()
+    assert {r.doc_id for r in found if r.kept} == wanted and not any(r.base_failed for r in found)
+    assert {r.doc_id for r in quality.apply(docs).collect()} == wanted
+    documents = docs.toArrow()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert {r[0] for r in con.execute(f"SELECT doc_id FROM ({quality.SQL}) WHERE kept").fetchall()} == wanted
+
+
 def test_license_forms(spark, edges, nothing):
     mit = licenses.KNOWN[1][1]
     texts = [mit, mit.upper().replace("LICENSE", "LICENCE") + "\n\nCopyright (c) 2020 Someone", "© 2001 X\n" + mit.replace("\n", " \n "), mit + " more", "Some text.\nReleased under the MIT licence!\nEnd", "", None]
