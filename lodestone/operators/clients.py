@@ -5,8 +5,10 @@ All are optional: nothing here is imported or called unless asked for."""
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -17,12 +19,21 @@ from pyspark.sql import functions as F
 from ..functions.text import clamp, cosine
 
 
+#: Answers of a service after which asking again may help.
+PASSING = frozenset({408, 409, 425, 429, 500, 502, 503, 504})
+
+
 class ChatClient:
-    """A generator that asks a chat service of the usual HTTP form (POST <base_url>/chat/completions)."""
+    """A generator that asks a chat service of the usual HTTP form (POST <base_url>/chat/completions).
 
-    def __init__(self, base_url: str, model: str, api_key: str = "", timeout: float = 120.0, send: Callable[[urllib.request.Request, float], bytes] | None = None):
+    Up to `at_once` requests of a batch are on their way together (a cluster sends that many for each running task).  One that fails
+    in a way that may pass is sent again, up to `tries` times, each time after twice the pause."""
+
+    def __init__(self, base_url: str, model: str, api_key: str = "", timeout: float = 120.0, send: Callable[[urllib.request.Request, float], bytes] | None = None, at_once: int = 4, tries: int = 4, pause: float = 1.0):
+        if at_once < 1 or tries < 1:
+            raise ValueError("at_once and tries must be positive")
         self.base_url, self.model, self.api_key, self.timeout = base_url.rstrip("/"), model, api_key, timeout
-        self.send = send
+        self.send, self.at_once, self.tries, self.pause = send, at_once, tries, pause
 
     def request(self, system: str, message: str, temperature: float) -> urllib.request.Request:
         told = [{"role": "system", "content": system}] * bool(system) + [{"role": "user", "content": message}]
@@ -30,17 +41,27 @@ class ChatClient:
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
         return urllib.request.Request(f"{self.base_url}/chat/completions", body, headers)
 
+    def answered(self, asked: urllib.request.Request) -> str:
+        for n in range(self.tries):
+            try:
+                if self.send is not None:
+                    raw = self.send(asked, self.timeout)
+                else:
+                    with urllib.request.urlopen(asked, timeout=self.timeout) as answer:
+                        raw = answer.read()
+                return json.loads(raw)["choices"][0]["message"].get("content") or ""
+            except OSError as error:  # HTTPError and URLError are such
+                if n + 1 == self.tries or getattr(error, "code", 503) not in PASSING:
+                    raise
+                time.sleep(self.pause * 2**n)
+        raise AssertionError("unreachable")
+
     def __call__(self, messages: list[str], questions: list[str], temperature: float = 0.0, system: str = "") -> list[str]:
-        out = []
-        for message in messages:
-            asked = self.request(system, message, temperature)
-            if self.send is not None:
-                raw = self.send(asked, self.timeout)
-            else:
-                with urllib.request.urlopen(asked, timeout=self.timeout) as answer:
-                    raw = answer.read()
-            out.append(json.loads(raw)["choices"][0]["message"].get("content") or "")
-        return out
+        asked = [self.request(system, message, temperature) for message in messages]
+        if len(asked) < 2 or self.at_once == 1:
+            return list(map(self.answered, asked))
+        with ThreadPoolExecutor(min(self.at_once, len(asked))) as pool:
+            return list(pool.map(self.answered, asked))
 
 
 def mean_pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:

@@ -25,7 +25,43 @@ def test_chat_client_speaks_the_usual_form():
     assert body["messages"] == [{"role": "system", "content": "be strict"}, {"role": "user", "content": "a"}] and body["temperature"] == 0.5
     assert answering.takes_system(client) and not answering.takes_system(lambda m, q, t: m)
     with pytest.raises((urllib.error.URLError, OSError)):
-        clients.ChatClient("http://127.0.0.1:9/v1", "small", timeout=1)(["a"], ["q"])
+        clients.ChatClient("http://127.0.0.1:9/v1", "small", timeout=1, tries=1)(["a"], ["q"])
+
+
+def test_requests_are_sent_again_and_a_few_at_once():
+    import threading
+    import time
+    from urllib.error import HTTPError
+
+    seen, lock, now, most = [], threading.Lock(), 0, 0
+
+    def send(request, timeout):
+        nonlocal now, most
+        text = json.loads(request.data)["messages"][-1]["content"]
+        with lock:
+            seen.append(text)
+            now, most = now + 1, max(most, now + 1)
+            n = seen.count(text)
+        time.sleep(0.01)
+        with lock:
+            now -= 1
+        if text == "busy" and n < 3:
+            raise HTTPError(request.full_url, 429, "later", {}, None)
+        if text == "lost" and n < 2:
+            raise ConnectionResetError
+        if text == "wrong":
+            raise HTTPError(request.full_url, 400, "bad", {}, None)
+        return json.dumps({"choices": [{"message": {"content": f"to {text}"}}]}).encode()
+
+    client = clients.ChatClient("http://host/v1", "small", send=send, at_once=3, pause=0.001)
+    texts = ["a", "busy", "b", "lost", *map(str, range(12))]
+    assert client(texts, texts) == [f"to {t}" for t in texts]
+    assert seen.count("busy") == 3 and seen.count("lost") == 2 and 1 < most <= 3
+    with pytest.raises(HTTPError):
+        client(["wrong"], ["q"])
+    assert seen.count("wrong") == 1
+    with pytest.raises(HTTPError):
+        clients.ChatClient("http://host/v1", "small", send=send, tries=2, pause=0.001)(["busy2", "wrong"], ["q", "q"])
 
 
 def test_system_prompt_reaches_every_generator(spark):
