@@ -35,6 +35,8 @@ from .common import ready, written
 LEAF = 64
 #: Rows of a shard, rows on which the upper tree is fitted, and the pruning factor of the query.
 SHARD_ROWS, SAMPLE, FACTOR = 10_000, 20_000, 5.0
+#: Queries that a task holds beside a shard.
+QUERIES = 20_000
 #: Slack of bounds and of scores by matrix products.
 SLACK, CLOSE = 1e-9, 1e-12
 
@@ -202,9 +204,11 @@ def usable(frame: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def nearest(
-    frame: DataFrame, queries: DataFrame, k: int = 5, factor: float = FACTOR, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, sample: int = SAMPLE
-) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows of the frame nearest to each query row."""
+    frame: DataFrame, queries: DataFrame, k: int = 5, factor: float = FACTOR, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, sample: int = SAMPLE,
+    most_queries: int = QUERIES,
+) -> DataFrame:
+    """query_id, rank, vec_id, score: the k rows of the frame nearest to each query row.  The queries of a shard take turns of about
+    `most_queries`, so what a task holds grows with neither side."""
     ready(frame.sparkSession)
     if factor < 1:
         raise ValueError("factor is at least 1")
@@ -260,19 +264,26 @@ def nearest(
             columns, _ = search_shard(vectors, asked, k, factor)
         return pa.table([pa.array(c) for c in columns], names=["query_id", "number", "vec_id", "score"])
 
-    def searched(rows: DataFrame) -> DataFrame:
-        every = rows.join(blocks, ["length", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = shards.groupBy("length", "leaf", "block").cogroup(every.groupBy("length", "leaf", "block"))
+    def searched(rows: DataFrame, turns: DataFrame) -> DataFrame:
+        """turns: length, leaf and the number of turns of the leaf's queries."""
+        every = rows.join(blocks.join(turns, ["length", "leaf"]), ["length", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        every = every.withColumn("turn", F.pmod(F.xxhash64("number"), F.col("turns")).cast("int"))
+        copies = shards.join(turns, ["length", "leaf"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+        copies = copies.toDF(*copies.columns)
+        pairs = copies.groupBy("length", "leaf", "block", "turn").cogroup(every.groupBy("length", "leaf", "block", "turn"))
         return pairs.applyInArrow(work, "query_id long, number long, vec_id long, score double")
 
     def top(found: DataFrame, by: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
-    first = written(top(searched(placed), "number"), "first")
+    own = placed.groupBy("length", "leaf").agg(F.ceil(F.count("*") / most_queries).cast("int").alias("turns"))
+    first = written(top(searched(placed, own), "number"), "first")
     reached = first.filter(F.col("rank") == k).select("number", F.col("score").alias("reached"))
     more = placed.join(reached, "number", "left").withColumn("least", F.coalesce("reached", "least")).select(*placed.columns)
-    second = searched(more.mapInArrow(others, placed.schema))
+    # any query may reach any leaf
+    most = blocks.select("length", "leaf", F.lit(max(1, -(-placed.count() // most_queries))).alias("turns"))
+    second = searched(more.mapInArrow(others, placed.schema), most)
     # one answer for each id: of an id with several vectors the best rows of all
     best = first.drop("rank").unionByName(second).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return top(best, "query_id").select("query_id", "rank", "vec_id", "score")

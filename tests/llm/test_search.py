@@ -111,6 +111,23 @@ def test_recall_of_the_query(spark, data):
     assert sum(len(found[q] & set(v)) for q, v in true.items()) >= 0.9 * sum(map(len, true.values()))
 
 
+@pytest.mark.parametrize("factor, least", [(1.0, 1.0), (5.0, 0.9)])
+def test_several_shards_and_turns_of_queries(spark, factor, least):
+    """Turns change no result; factor 1 finds all, the query's factor nine tenths, over shards that are searched apart."""
+    r = np.random.default_rng(11)
+    points = r.normal(size=(12, 16))[r.integers(12, size=1500)] + 0.4 * r.normal(size=(1500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(points)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = frame.filter("vec_id % 50 = 0")
+    found = [{tuple(x) for x in neighbours.nearest(frame, asked, 5, factor, shard_rows=200, most_queries=n).collect()} for n in (7, 20_000)]
+    assert found[0] == found[1] and len(found[0]) == 150
+    true = brute_nearest(rows, 5)
+    by = defaultdict(set)
+    for q, _, i, _ in found[0]:
+        by[q].add(i)
+    assert sum(len(by[q] & set(v)) for q, v in true.items()) >= least * 150
+
+
 # near-duplicates -----------------------------------------------------------------
 
 
