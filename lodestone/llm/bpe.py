@@ -18,8 +18,8 @@ import numpy as np
 
 from .common import release
 
-#: Entries of each table of known strings; a table is emptied when full.
-MEMO_ENTRIES = 350_000
+#: Entries of each table of known strings.  A full table of parts becomes the older of two generations, others are emptied.
+MEMO_ENTRIES = 250_000
 
 #: The space in the byte alphabet.
 SPACE = "\u0120"
@@ -70,6 +70,7 @@ class Codec:
         self._characters = dict(enumerate(byte_alphabet()))
         self._of_piece: dict[str, bytes] = {}
         self._of_part: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._length: dict[str, int] = {}
         self._blobs: np.ndarray | None = None
 
@@ -117,7 +118,7 @@ class Codec:
         if part.isalpha():
             return self._ids(SPACE + (part if part.isascii() else part.encode().decode("latin-1").translate(self._characters)))
         if part[-1:] in (".", ",") and part[:-1].isalpha():
-            return (self._of_part.get(part[:-1]) or self._part(part[:-1])) + self._piece(part[-1])
+            return (self._of_part.get(part[:-1]) or self._older.get(part[:-1]) or self._part(part[:-1])) + self._piece(part[-1])
         return b"".join(map(self._piece, self._pieces(" " + part)))
 
     def encode_bytes(self, text: str) -> bytes:
@@ -134,10 +135,11 @@ class Codec:
         found[0] = head
         if None in found:
             if len(self._of_part) >= MEMO_ENTRIES:
-                self._of_part.clear()
+                self._older, self._of_part = self._of_part, {}
             for at, ids in enumerate(found):
                 if ids is None:
-                    found[at] = self._of_part[parts[at]] = self._part(parts[at])
+                    part = parts[at]
+                    found[at] = self._of_part[part] = self._older.get(part) or self._part(part)
         return b"".join(found)
 
     def spelled_matches(self, text: str) -> list[str]:
@@ -165,7 +167,7 @@ class Codec:
         parts = text.split(" ") if safe else _SAFE_CUT.split(text)
         found = list(map(self._length.get, parts))
         if None in found:
-            if len(self._length) >= 2 * MEMO_ENTRIES:
+            if len(self._length) >= 700_000:
                 self._length.clear()
             for at, n in enumerate(found):
                 if n is None:

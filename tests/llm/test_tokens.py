@@ -37,6 +37,17 @@ def test_encoders_agree_with_the_libraries(exact):
         assert a.decode(a.encode(text)) == text
 
 
+def test_known_parts_move_on_between_generations(exact, monkeypatch):
+    from lodestone.llm import bpe
+
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 20)
+    own, r = bpe.Codec(*RANKS), random.Random(8)
+    for _ in range(400):
+        text = " ".join(r.choice(["alpha", "beta.", f"w{r.randint(0, 90)}", f"word{r.choice('abcdefgh')},", "é-漢"]) for _ in range(6))
+        assert own.encode(text).tolist() == exact.encode_ordinary(text)
+    assert own._older and len(own._of_part) <= 30
+
+
 def test_offsets_and_split_characters():
     coder = codec(*JSON)
     library = Tokenizer.from_file(JSON[0])
