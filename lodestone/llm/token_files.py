@@ -30,6 +30,8 @@ from .bpe import codec
 from .common import parts_for, ready, scratch, written
 from .tokenize import BATCH_BYTES, binary_sizes, runs
 
+#: Texts whose unknown words are merged together.
+TOGETHER = 64
 #: Key that stands for null in shard-N.key.
 NULL_KEY = np.iinfo(np.int64).min
 
@@ -83,7 +85,8 @@ def write(frame: DataFrame, folder: str, vocabulary: str, pattern: str, end_id:
         for batch in batches:
             out = out or store.writer(own)
             for a, b in runs(binary_sizes(batch.column("text"))):
-                ids = [coder.encode_bytes(t or "") + end for t in batch.column("text").slice(a, b - a).to_pylist()]
+                texts = batch.column("text").slice(a, b - a).to_pylist()
+                ids = [x + end for i in range(0, len(texts), TOGETHER) for x in coder.encode_texts(texts[i : i + TOGETHER])]
                 counts.append(np.array([len(i) // 4 for i in ids], "<i8"))
                 keys.append(batch.column("key").slice(a, b - a).fill_null(int(NULL_KEY)).to_numpy())
                 out.write(np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes())
