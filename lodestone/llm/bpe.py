@@ -142,77 +142,6 @@ class Codec:
                     found[at] = self._of_part[part] = self._older.get(part) or self._part(part)
         return b"".join(found)
 
-    @cached_property
-    def _bare(self):
-        """The merges alone, for matches of the pattern in the byte alphabet with line ends between them."""
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        bare = Tokenizer(self.tokenizer.model)
-        bare.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
-        return bare
-
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts, each with a space before it, that the younger generation doesn't hold; most of them join it.  Those that
-        no generation holds are merged by one call of the library."""
-        if len(self._of_part) >= MEMO_ENTRIES:
-            self._older, self._of_part = self._of_part, {}
-        of, older, own, new, later = self._of_part, self._older, {}, {}, []
-        for part in parts:
-            ids = older.get(part)
-            if ids is None:
-                stem = part[:-1]
-                if part.isascii() and part.isalpha():
-                    new[part] = [SPACE + part]
-                    continue
-                if part[-1:] in (".", ",") and stem.isascii() and stem.isalpha():
-                    ids = of.get(stem) or older.get(stem)
-                    if ids is None:
-                        new[stem] = [SPACE + stem]
-                        later.append(part)
-                        continue
-                    ids += self._piece(part[-1])
-                else:
-                    new[part] = self.spelled_matches(" " + part)
-                    continue
-            own[part] = of[part] = ids
-        if new:
-            if self._blobs is None:
-                self._table()
-            ids = np.array(self._bare.encode_batch_fast(["\n".join([m for matches in new.values() for m in matches])])[0].ids, np.int64)
-            ends, stops = np.cumsum(self._sizes[ids]), np.cumsum([sum(map(len, matches)) for matches in new.values()])  # a letter of the alphabet is a byte
-            at = np.searchsorted(ends, stops)
-            if not np.array_equal(ends[np.minimum(at, len(ends) - 1)], stops):
-                raise ValueError("a token goes across matches")
-            raw, cuts = ids.astype("<u4").tobytes(), ((at + 1) * 4).tolist()
-            for part, a, b in zip(new, [0, *cuts], cuts, strict=False):
-                own[part] = of[part] = raw[a:b]
-        for part in later:
-            own[part] = of[part] = own[part[:-1]] + self._piece(part[-1])
-        return own
-
-    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of whole texts, as `encode_bytes` gives them; of a null text none."""
-        heads, split = [], []
-        for text in texts:
-            if not text:
-                heads.append(b"")
-                split.append([])
-            elif self._added and self._added(text):
-                heads.append(self.encode_bytes(text))
-                split.append([])
-            else:
-                safe = text[0] != " " and text[-1] != " " and not _UNSAFE.search(text)
-                first, *parts = text.split(" ") if safe else _SAFE_CUT.split(text)
-                heads.append(b"".join(map(self._piece, self._pieces(first))))
-                split.append(parts)
-        found = [list(map(self._of_part.get, parts)) for parts in split]
-        gaps = [[at for at, ids in enumerate(known) if ids is None] if None in known else () for known in found]
-        own = self._learn({parts[at] for parts, places in zip(split, gaps, strict=True) for at in places}) if any(gaps) else {}
-        for parts, known, places in zip(split, found, gaps, strict=True):
-            for at in places:
-                known[at] = own[parts[at]]
-        return [head + b"".join(known) for head, known in zip(heads, found, strict=True)]
-
     def spelled_matches(self, text: str) -> list[str]:
         """The matches of the pattern, spelled in the byte alphabet."""
         return [p.encode().decode("latin-1").translate(self._characters) for p in self._pieces(text)]
