@@ -72,6 +72,27 @@ def text_hash(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def fixed(number: Column, places: int) -> Column:
+    """A float with a fixed number of places as C's printf writes it: its exact binary value, rounded half to even (Java rounds its shortest decimal half up)."""
+    ten = 10**places
+
+    def written(x: Column) -> Column:
+        whole = F.floor(x)
+        part = x - whole  # exact
+        high = part * 134217729.0 - (part * 134217729.0 - part)  # its upper 26 bits, so that both products below are exact
+        scaled = part * float(ten)
+        rest = (high * float(ten) - scaled) + (part - high) * float(ten)
+        low = F.floor(scaled)
+        over = (scaled - low - 0.5) + rest  # beyond the half
+        up = (over > 0) | ((over == 0) & (low % 2 == 1))
+        digits = low + F.when(up, 1).otherwise(0)
+        return F.concat((whole + F.when(digits == ten, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((digits % ten).cast("string"), places, "0"))
+
+    wide = number.cast("double")
+    sign = F.when(wide.cast("string").startswith("-"), "-").otherwise("")
+    return F.when(F.abs(wide) < float(1 << 53), F.concat(sign, let(F.abs(wide), written))).when(wide.isNotNull(), F.format_string(f"%.{places}f", wide))
+
+
 def slug(text: Column) -> Column:
     """Lower-case words joined by hyphens, cut at 60 characters (which may end in a hyphen then)."""
     cleaned = F.regexp_replace(F.lower(text_or_empty(text)), "[^a-z0-9]+", "-")

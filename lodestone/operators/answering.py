@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import REFUSAL_ANSWER, clamp, cosine, invalid_citations, jaccard, limit_text, missing_identifiers, strip, text_or_empty, ungrounded_claims
+from ..functions.text import REFUSAL_ANSWER, clamp, cosine, fixed, invalid_citations, jaccard, limit_text, missing_identifiers, strip, text_or_empty, ungrounded_claims
 from ..session import stored
 
 #: Limits in characters, and what stands between rendered chunks.
@@ -195,7 +195,7 @@ def confidence(samples: DataFrame, pairs: DataFrame, threshold: float = THRESHOL
     out = firsts.join(means, group, "left").fillna(0.0, ["confidence", "lexical_similarity", "semantic_similarity"])
     refusal = F.col("answer") == REFUSAL_ANSWER
     out = out.withColumn("level", level(F.col("confidence"), threshold)).withColumn("should_refuse", refusal | (F.col("confidence") < threshold))
-    below = F.format_string(f"The sampled answers agree by %.2f only; {threshold:.2f} is asked for.", "confidence")
+    below = F.concat(F.lit("The sampled answers agree by "), fixed(F.col("confidence"), 2), F.lit(f" only; {threshold:.2f} is asked for."))
     warning = F.when(F.col("should_refuse"), F.when(refusal, "No answer could be grounded in the snippets that were found.").otherwise(below))
     return out.withColumn("warning", warning)
 

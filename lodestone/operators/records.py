@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import fixed, let
 from .fusion import first_seen
 
 #: Names under which records carry the same field, the first present counts.
@@ -124,7 +124,7 @@ def short_text(text: Column, limit: int = 120) -> Column:
 def metric_text(value: Column) -> Column:
     """A metric with three places, n/a where there is none."""
     number = value.try_cast("double")
-    return F.when(value.isNull(), "n/a").when(number.isNull(), value.cast("string")).otherwise(F.format_string("%.3f", number))
+    return F.when(value.isNull(), "n/a").when(number.isNull(), value.cast("string")).otherwise(fixed(number, 3))
 
 
 def fixture_chunks(spark) -> DataFrame:

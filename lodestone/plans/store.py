@@ -11,6 +11,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
 from ..operators import chunking, dense, evaluation, graph, sparse
 from ..operators.ordering import ordered_digest
 from ..operators.records import chunk_summary
@@ -303,7 +304,7 @@ def judge_ablation(spark: SparkSession, path: str, items: DataFrame, judge_fn: e
 
 def report_rows(report: DataFrame) -> DataFrame:
     """A report as strings: floats with six places, nulls empty."""
-    shape = lambda n, t: F.when(F.col(n).isNotNull(), F.format_string("%.6f", n)) if t in ("double", "float") else F.col(n).cast("string")
+    shape = lambda n, t: F.when(F.col(n).isNotNull(), fixed(F.col(n), 6)) if t in ("double", "float") else F.col(n).cast("string")
     return report.select(*[F.coalesce(shape(n, t), F.lit("")).alias(n) for n, t in report.dtypes])
 
 

@@ -98,3 +98,14 @@ def test_context_metrics(spark):
     e, a = F.col("e"), F.col("a")
     row = frame.select(M.context_hit(e, a), M.context_recall(e, a), M.context_precision(e, a), F.size(M.missing(e, a))).first()
     assert tuple(row) == (1.0, 0.5, 2 / 3, 1)
+
+
+def test_fixed_places_are_those_of_printf(spark):
+    r = random.Random(5)
+    numbers = [0.125, 0.375, 0.075, 0.145, 0.285, 0.995, 0.005, 1.005, 2.5e-7, 0.9999995, -0.125, -0.0, -1e-9, 0.0, 123456.0000005, 4503599627370496.5, 8.5]
+    numbers += [i / 1000 for i in range(5, 1000, 10)] + [r.uniform(-1000, 1000) for _ in range(500)] + [r.randrange(10**7) / 10**7 for _ in range(500)]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    for places in (2, 3, 6):
+        found = [t for (t,) in frame.orderBy("i").select(X.fixed(F.col("x"), places)).collect()]
+        assert found == [f"{x:.{places}f}" for x in numbers]
+    assert spark.range(1).select(X.fixed(F.lit(None).cast("double"), 2)).first()[0] is None
