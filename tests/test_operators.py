@@ -156,6 +156,31 @@ def test_dense_search_blocks_agree(spark):
     assert dense.knn_topk(rows, queries, 0).collect() == []
 
 
+def test_dense_search_in_tiles_keeps_ties_by_id(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(dense, "TILE", 7)
+    r = np.random.default_rng(3)
+    points = dense.units(r.normal(size=(200, 4)))
+    points[60:140] = points[5]  # one very common vector
+    queries, ids = dense.units(np.concatenate([points[5:6], r.normal(size=(9, 4))])), r.permutation(200)
+    for names in (pa.array(ids), pa.array([f"{i:03}" for i in ids])):
+        best = dense.Nearest(queries, 6, np.full(10, -np.inf))
+        for a, b in ((0, 90), (90, 95), (95, 200)):
+            best.add(names[a:b], points[a:b])
+        row, found, _ = best.found()
+        wanted = [names[int(i)].as_py() for s in queries @ points.T for i in np.lexsort((ids, -np.round(s, 9)))[:6]]
+        assert found.to_pylist() == wanted and row.tolist() == [q for q in range(10) for _ in range(6)]
+
+
+def test_shards_do_not_multiply_with_small_blocks(spark):
+    rows = spark.range(400).selectExpr("id AS vec_id", "array(sin(id), cos(id), sin(2 * id)) AS embedding")
+    found = dense.knn_topk(rows, rows.withColumnRenamed("vec_id", "query_id"), 3, block=3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(0, 133" not in plan and "[0,1,2" not in plan and found.count() == 1200
+
+
 def test_prompt_budget(spark):
     blocks = spark.createDataFrame([("q", 1, "a" * 10), ("q", 2, "b" * 10), ("q", 3, "c"), ("r", 1, "d" * 50)], "query_id string, position int, block string")
     kept = {(r.query_id, r.position): r.block for r in answering.within_budget(blocks, 30).collect()}
