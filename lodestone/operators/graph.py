@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import stored
+from .dense import knn_topk
+
 #: Rows of a shard, links of a point, candidates for them, random links, points that a walk keeps, queries of a block.
 SHARD_ROWS, DEGREE, CANDIDATES, RANDOM, BEAM, BLOCK = 20_000, 24, 64, 4, 128, 2048
 #: Queries that walk together.
@@ -181,3 +184,12 @@ def graph_topk(graph: DataFrame, queries: DataFrame, k: int = 10, query_key: str
     own = Window.partitionBy("query_id")
     place = F.row_number().over(own.orderBy(F.desc(F.round("score", 9)), F.asc("doc_id")))
     return found.withColumns({"compared": F.sum("compared").over(own), "rank": place}).filter(F.col("rank") <= k)
+
+
+def confirmed_topk(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """query_id, doc_id, score, rank: the exact k nearest after a walk.  What the walk found (`graph_topk`) gives a score that k points
+    reach; all points are held against it, and only those that reach it too are ranked."""
+    reached = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("reached"))
+    reached = stored(reached.select(F.col("query_id").alias(query_key), "reached"))  # so that the walks are made once
+    asked = queries.select(query_key, vector).filter(usable(F.col(vector))).join(reached, query_key, "left")
+    return knn_topk(vectors.filter(usable(F.col(vector))), asked, k, key, query_key, vector, block, "reached")

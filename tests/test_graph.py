@@ -51,6 +51,22 @@ def test_recall_over_several_shards_and_blocks(spark):
     assert {(r.query_id, r.doc_id, r.rank) for r in again} == {(r.query_id, r.doc_id, r.rank) for r in found}
 
 
+def test_confirmed_walks_are_exact(spark):
+    points, queries = cloud("uniform", 3000, 6)
+    points[2990:] = points[:10]  # copies: ties go to the smaller key
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*points[:10], *queries[:60]])], "query_id long, embedding array<double>")
+    found = graph.graph_topk(graph.build_graph(rows), asked, 10, beam=10)
+    pairs = lambda frame: {(r.query_id, r.rank, r.doc_id) for r in frame.collect()}
+    scores = unit(np.array([*points[:10], *queries[:60]])) @ unit(points).T
+    best = {(q, n + 1, int(i)) for q, s in enumerate(scores) for n, i in enumerate(np.lexsort((np.arange(3000), -np.round(s, 9)))[:10])}
+    assert pairs(found) != best
+    for block in (4096, 50):
+        assert pairs(graph.confirmed_topk(found, rows, asked, 10, block=block)) == best
+    few = graph.graph_topk(graph.build_graph(rows.filter("vec_id < 4")), asked, 10)
+    assert graph.confirmed_topk(few, rows.filter("vec_id < 4"), asked, 10).count() == 70 * 4
+
+
 def test_ties_copies_and_vectors_without_direction(spark):
     bad = [(50, None), (51, []), (52, [0.0, 0.0]), (53, [float("nan"), 1.0]), (54, [None, 1.0]), (55, [float("inf"), 1.0]), (None, [1.0, 0.0])]
     rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(40)] + [(40, [0.0, 2.0])] + bad, "vec_id long, embedding array<double>")
