@@ -22,6 +22,9 @@ GENERATED_MARKERS = ["@generated", "auto-generated", "autogenerated", "do not ed
 CHUNK_IGNORED_DIRS = ".git .hg .mypy_cache .pytest_cache .ruff_cache .tox .venv __pycache__ build dist node_modules site-packages".split()
 MODULE_NAME = "__module__"
 
+#: Characters of chunks that are put out together, and what a chunk counts for besides its text.
+AT_ONCE, ROW_CHARS = 1 << 20, 200
+
 SYMBOLS = "array<struct<name:string,id_name:string,start_line:int,end_line:int,docstring:string,source:string>>"
 
 
@@ -140,18 +143,31 @@ def readme_sections(text: str) -> list[tuple[str, str, int, int, str, str]]:
 
 
 def _chunks_of_files(batches: Iterator) -> Iterator:
-    import pandas as pd
+    """Chunks of files, put out whenever those found come to `AT_ONCE` characters: a batch's files can be of any size."""
+    import pyarrow as pa
+
+    kinds = [("filepath", pa.string()), ("function_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("docstring", pa.string()), ("source", pa.string()), ("language", pa.string())]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
 
     for files in batches:
-        rows = []
-        for path, text in zip(files["filepath"], files["raw_content"], strict=True):
+        rows, held = [], 0
+        for at in range(files.num_rows):
+            path, text = files.column(0)[at].as_py(), files.column(1)[at].as_py()
             if path.endswith(".py"):
                 found, language = python_symbols(text), "python"
             else:
                 extension = re.search(r"(\.[^./]*)?$", path.lower())[0]
                 found, language = readme_sections(text), README_LANGUAGES.get(extension, "text")
-            rows += [(path, name, start, end, doc, body, language) for name, _, start, end, doc, body in found]
-        yield pd.DataFrame(rows, columns=["filepath", "function_name", "start_line", "end_line", "docstring", "source", "language"])
+            for name, _, start, end, doc, body in found:
+                rows.append((path, name, start, end, doc, body, language))
+                held += len(body) + ROW_CHARS
+                if held >= AT_ONCE:
+                    yield batch(rows)
+                    rows, held = [], 0
+        yield batch(rows)
 
 
 def chunk_files(files: DataFrame, max_chunk_lines: int | None = None, overlap: int = 20) -> DataFrame:
@@ -160,7 +176,7 @@ def chunk_files(files: DataFrame, max_chunk_lines: int | None = None, overlap: i
     inside = F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, CHUNK_IGNORED_DIRS)))
     readme = F.col("filepath").rlike(r"(^|/)README(\.md|\.rst|\.txt)?$")
     wanted = files.filter(F.col("raw_content").isNotNull() & ~inside & (F.col("filepath").endswith(".py") | readme)).select("filepath", "raw_content")
-    found = wanted.mapInPandas(_chunks_of_files, "filepath string, function_name string, start_line int, end_line int, docstring string, source string, language string")
+    found = wanted.mapInArrow(_chunks_of_files, "filepath string, function_name string, start_line int, end_line int, docstring string, source string, language string")
     found = found.withColumn("id", chunk_id(F.col("filepath"), F.col("function_name"), F.col("start_line"), F.col("end_line")))
     if max_chunk_lines is not None:
         found = split_oversized(found, max_chunk_lines, overlap)

@@ -113,3 +113,13 @@ def test_empty_and_strange_texts():
         definitions(text)
     assert python_symbols("def f(:\n" * 3) == []
     assert [x[0] for x in python_symbols("(" * 5000 + "\ndef f():\n    pass")] == ["f"]
+
+
+def test_chunks_of_many_files_are_put_out_in_parts():
+    import pyarrow as pa
+
+    from lodestone.operators import chunking
+
+    files = pa.RecordBatch.from_pydict({"filepath": [f"{i}/README.md" for i in range(200)], "raw_content": ["# A\n" + "word " * 5000] * 200})
+    parts = list(chunking._chunks_of_files([files]))
+    assert sum(p.num_rows for p in parts) == 200 and len(parts) > 4 and max(p.nbytes for p in parts) < 2 * chunking.AT_ONCE
