@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import let, query_tokens, text_or_empty, tokenize
+from ..functions.text import query_tokens, text_or_empty, tokenize
 from ..session import stored
 
 #: The usual constants of the scoring formula.
@@ -20,6 +21,16 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Terms of all questions up to which they go to every task; found terms of a block of documents; what rounding may add to a score.
 ASKED_TERMS, BLOCK_HITS, SLACK = 50_000, 200_000, 1e-8
 
+#: Bytes of text whose tokens are counted at once.
+TEXT_BYTES = 1 << 20
+COUNTS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
+#: Kinds of bytes: none of these is a part of a longer UTF-8 sequence.
+CAPITAL, SMALL, DIGIT = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[65:91], _KINDS[97:123], _KINDS[48:58] = CAPITAL, SMALL, DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 
 def chunk_document(name: str = "function_name", docstring: str = "docstring", source: str = "source", filepath: str = "filepath") -> Column:
     """What of a chunk is indexed: its name, docstring, source and path, without empty ones."""
@@ -40,16 +51,56 @@ class SparseIndex:
         return self.documents.select("doc_id", "dl", F.inline("counts")).select("doc_id", "term", "tf", "dl")
 
 
-def counted_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, dl, counts.  A document is a row, so its terms are counted there, as runs of its sorted tokens: nothing is shuffled."""
+def token_counts(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many tokens (see `tokenize`) each text has, and its terms with their counts, by term; null where there are none.
+
+    All texts' bytes are worked on at once: a token begins behind what is neither letter nor digit, at a capital behind a
+    small letter or digit, and at the last of several capitals if a small letter follows."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    kind = _KINDS[raw]
+    before, behind = np.zeros(len(raw), np.uint8), np.zeros(len(raw), np.uint8)
+    before[1:], behind[:-1] = kind[:-1], kind[1:]
+    firsts = bounds[:-1][np.diff(bounds) > 0]
+    before[firsts] = 0  # texts end where the next begins
+    behind[firsts[1:] - 1] = 0
+    capital = kind == CAPITAL
+    starts = np.flatnonzero(((kind > 0) & (before == 0)) | (capital & ((before > CAPITAL) | ((before == CAPITAL) & (behind == SMALL)))))
+    solid = kind > 0
+    at = np.cumsum(solid)[starts] - 1 if len(starts) else starts
+    data = _LOWER[raw[solid]]
+    edges = np.append(at, len(data)).astype(np.int64)
+    tokens = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(data)).dictionary_encode()
+    first = np.searchsorted(starts, bounds)  # token with which each text begins
+    order = pc.sort_indices(tokens.dictionary).to_numpy()
+    n = max(len(order), 1)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    pairs = np.sort(np.repeat(np.arange(len(texts)) * n, np.diff(first)) + rank[tokens.indices.to_numpy()])
+    heads = np.flatnonzero(np.diff(pairs, prepend=-1))
+    terms = tokens.dictionary.take(pa.array(order[pairs[heads] % n])).cast(pa.string())
+    found = pa.StructArray.from_arrays([terms, pa.array(np.diff(np.append(heads, len(pairs))), pa.int64())], ["term", "tf"])
+    offsets = np.searchsorted(pairs[heads], np.arange(len(texts) + 1) * n).astype(np.int32)
+    return np.diff(first), pa.ListArray.from_arrays(pa.array(offsets), found, mask=pa.array(np.diff(offsets) == 0))
+
 
-    def runs(s: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        counted = let(begins, lambda b: F.transform(b, lambda i, n: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, n + 1), F.size(s)) - i).cast("long").alias("tf"))))
-        return F.when(F.size(s) > 0, counted)
+def counted_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, dl, counts.  A document is a row, so its terms are counted there, some texts of a batch at once: nothing is shuffled."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-    tokens = docs.select(F.col(key).alias("doc_id"), F.sort_array(tokenize(F.col(text))).alias("tokens"))
-    return tokens.select("doc_id", F.size("tokens").alias("dl"), let(F.col("tokens"), runs).alias("counts"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.cumsum(sizes) // TEXT_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    dl, counts = token_counts(batch.column(1).slice(a, b - a))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(dl, pa.int32()), counts], ["doc_id", "dl", "counts"])
+
+    return rows.mapInArrow(work, T.StructType([rows.schema["doc_id"], T.StructField("dl", T.IntegerType()), T.StructField("counts", COUNTS)]))
 
 
 def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -181,6 +181,31 @@ def test_shards_do_not_multiply_with_small_blocks(spark):
     assert "sequence(0, 133" not in plan and "[0,1,2" not in plan and found.count() == 1200
 
 
+def test_documents_counted_together_have_the_tokens_of_each(spark):
+    import random
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from lodestone.functions.text import tokenize
+
+    r = random.Random(8)
+    texts = [None, "", "A", "b", "aB", "HTTPServer", "HTTP", "s", "x" * 9, "ÉcoleABc É1Ab", "漢字 getHTTPResponse2XX_y"]
+    texts += ["".join(r.choice("aabAB1_ \néK") for _ in range(r.randint(0, 12))) for _ in range(800)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    wanted = [x for (x,) in frame.orderBy("doc_id").select(tokenize(F.col("text"))).collect()]
+    dl, counts = sparse.token_counts(pa.array(texts, pa.string()))
+    assert dl.tolist() == [len(w) for w in wanted]
+    assert [c and [(x["term"], x["tf"]) for x in c] for c in counts.to_pylist()] == [sorted(Counter(w).items()) or None for w in wanted]
+    part, _ = sparse.token_counts(pa.array(texts, pa.string()).slice(5, 300))
+    assert part.tolist() == dl[5:305].tolist() and sparse.token_counts(pa.array([], pa.string()))[0].tolist() == []
+    found = {d: c for d, c in sparse.counted_documents(frame).select("doc_id", "dl").collect()}
+    assert found == dict(enumerate(np.asarray(dl).tolist()))
+    assert "transform(" not in sparse.counted_documents(frame)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_prompt_budget(spark):
     blocks = spark.createDataFrame([("q", 1, "a" * 10), ("q", 2, "b" * 10), ("q", 3, "c"), ("r", 1, "d" * 50)], "query_id string, position int, block string")
     kept = {(r.query_id, r.position): r.block for r in answering.within_budget(blocks, 30).collect()}
