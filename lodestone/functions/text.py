@@ -123,35 +123,42 @@ def is_refusal(answer: Column) -> Column:
     return found
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Share of common words (ASCII); two empty texts are equal."""
+def word_set(text: Column) -> Column:
+    """Distinct words (ASCII) of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit("[a-z0-9_]+"), F.lit(0)))
 
-    def words(text: Column) -> Column:
-        return F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit("[a-z0-9_]+"), F.lit(0)))
 
-    both = F.struct(words(a).alias("a"), words(b).alias("b"))
+def shared_words(a: Column, b: Column) -> Column:
+    """Share of the words of two sets that both hold; two empty ones are equal."""
     return let(
-        both,
+        F.struct(a.alias("a"), b.alias("b")),
         lambda s: F.when((F.size(s["a"]) == 0) & (F.size(s["b"]) == 0), F.lit(1.0))
         .when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), F.lit(0.0))
         .otherwise(F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"]))),
     )
 
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Share of common words (ASCII); two empty texts are equal."""
+    return shared_words(word_set(a), word_set(b))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 if one has no length."""
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+    def share(s: Column) -> Column:
+        norm = F.sqrt(dot(s["a"], s["a"])) * F.sqrt(dot(s["b"], s["b"]))
+        return let(F.struct(norm.alias("n")), lambda x: F.when(x["n"] > 0, dot(s["a"], s["b"]) / x["n"]).otherwise(0.0))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def clamp(value: Column) -> Column:
     """A score within [0, 1]; null if it is no number."""
-    number = value.try_cast("double")
-    return F.when(F.isnan(number) | number.isNull(), None).otherwise(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)))
+    return let(value.try_cast("double"), lambda number: F.when(F.isnan(number) | number.isNull(), None).otherwise(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0))))
 
 
 def citations(answer: Column) -> Column:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import REFUSAL_ANSWER, clamp, cosine, fixed, invalid_citations, jaccard, limit_text, missing_identifiers, strip, text_or_empty, ungrounded_claims
+from ..functions.text import REFUSAL_ANSWER, clamp, cosine, fixed, invalid_citations, limit_text, missing_identifiers, shared_words, strip, text_or_empty, ungrounded_claims, word_set
 from ..session import stored
 
 #: Limits in characters, and what stands between rendered chunks.
@@ -172,14 +172,21 @@ def answer_conditions(queries: DataFrame, retrieve: Mapping[str, Callable[[DataF
     return answers.join(F.broadcast(conditions.select("condition_id", "retrieval", "mode")), ["retrieval", "mode"]).drop("retrieval")
 
 
-def agreement_pairs(samples: DataFrame, group: str = "query_id", order: str = "sample", answer: str = "answer", semantic: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """group, left, right, lexical, semantic, combined for every two samples of a group (the samples of one question are few by construction)."""
-    listed = samples.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, F.col(answer).alias("answer")))).alias("s"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.transform(F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda j: j > i), lambda j: F.struct(i.alias("left"), j.alias("right")))))
-    each = listed.withColumn("p", F.explode(pairs)).select(group, F.col("p.left").alias("left"), F.col("p.right").alias("right"), F.get("s", F.col("p.left"))["answer"].alias("a"), F.get("s", F.col("p.right"))["answer"].alias("b"))
-    lexical = jaccard(F.col("a"), F.col("b"))
-    similar = clamp(semantic(F.col("a"), F.col("b"))) if semantic else lexical
-    scored = each.select(group, "left", "right", lexical.alias("lexical"), similar.alias("semantic"))
+def agreement_pairs(samples: DataFrame, group: str = "query_id", order: str = "sample", answer: str = "answer", semantic: Callable[[Column, Column], Column] | None = None, features: Callable[[Column], Column] | None = None) -> DataFrame:
+    """group, left, right, lexical, semantic, combined for every two samples of a group (the samples of one question are few by construction).
+    Words, and `features` of an answer where `semantic` compares those, are worked out once for each sample, not for each pair."""
+    text = F.col(answer)
+    each = samples.select(group, order, text.alias("answer"), word_set(text).alias("words"), *([(features(text) if features else text).alias("meant")] if semantic else []))
+    listed = each.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*[c for c in each.columns if c != group]))).alias("s"))
+    held = ["words", "meant"] if semantic else ["words"]
+    side = lambda i, name: [F.get("s", i)[c].alias(f"{name}_{c}") for c in held]
+    places = F.sequence(F.lit(0), F.size("s") - 1)
+    pair = lambda i, j: F.struct(i.alias("left"), j.alias("right"), *side(i, "a"), *side(j, "b"))
+    pairs = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: pair(i, j))))
+    found = listed.select(group, F.explode(pairs).alias("p")).select(group, "p.*")
+    # each measure is a column before it is used again, so that it is worked out once for a pair
+    measured = found.select(group, "left", "right", shared_words(F.col("a_words"), F.col("b_words")).alias("lexical"), *([semantic(F.col("a_meant"), F.col("b_meant")).alias("semantic")] if semantic else []))
+    scored = measured.withColumn("semantic", clamp(F.col("semantic")) if semantic else F.col("lexical"))
     return scored.withColumn("combined", F.round(LEXICAL_WEIGHT * F.col("lexical") + SEMANTIC_WEIGHT * F.col("semantic"), 6)).withColumns({c: F.round(c, 6) for c in ("lexical", "semantic")})
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import answering, chunking, dense, evaluation, ordering, records, sparse
-from ..session import checkpoint_folder
+from ..session import checkpoint_folder, stored
 from ..sources.repository import read_eval_set, read_repository
 from ..streaming import refresh
 from . import store
@@ -576,8 +576,8 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 def _letters(text: F.Column) -> F.Column:
     """How often a text has each letter."""
-    low = F.lower(text)
-    return F.transform(F.array(*map(F.lit, _LETTERS)), lambda x: (F.length(low) - F.length(F.replace(low, x))).cast("double"))
+    each = lambda low: F.transform(F.array(*map(F.lit, _LETTERS)), lambda x: (F.length(low) - F.length(F.replace(low, x))).cast("double"))
+    return X.let(F.lower(text), each)
 
 
 _LETTERS_SQL = "list_transform([" + ", ".join(f"'{x}'" for x in _LETTERS) + "], lambda x: CAST(length(lower({t})) - length(replace(lower({t}), x, '')) AS DOUBLE))"
@@ -588,7 +588,7 @@ m AS (SELECT p.*, least(1, greatest(0, coalesce(CASE WHEN list_sum(a.v) = 0 OR l
 @query(f'WITH {_MEANT} SELECT conv_id AS query_id, "left", "right", round(x, 6) AS lexical, round(y, 6) AS semantic, round(0.4 * x + 0.6 * y, 6) AS combined FROM m')
 def semantic_agreement_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of answers by their words and by the cosine of vectors, here of their letters."""
-    pairs = answering.agreement_pairs(_samples(spark, d), semantic=lambda a, b: X.cosine(_letters(a), _letters(b)))
+    pairs = answering.agreement_pairs(_samples(spark, d), semantic=X.cosine, features=_letters)
     return pairs.select("query_id", *[F.col(c).cast("long").alias(c) for c in ("left", "right")], "lexical", "semantic", "combined")
 
 
@@ -599,7 +599,7 @@ SELECT g.conv_id AS query_id, CAST(0.72 AS DOUBLE) AS threshold, n AS n_answers,
 def confidence_log(spark: SparkSession, d: str) -> DataFrame:
     """The confidence log's records, appended to a file and read again."""
     path, samples = _folder(spark, "confidence"), _samples(spark, d)
-    pairs = answering.agreement_pairs(samples, semantic=lambda a, b: X.cosine(_letters(a), _letters(b)))
+    pairs = stored(answering.agreement_pairs(samples, semantic=X.cosine, features=_letters))  # read twice, measured once
     store.append_jsonl(store.confidence_records(answering.confidence(samples, pairs), samples, pairs, answering.THRESHOLD, answering.TEMPERATURES), path)
     kind = "array<struct<left:int,right:int,lexical:double,semantic:double,combined:double>>"
     back = spark.read.schema(f"query_id long, threshold double, raw_answers array<string>, pair_scores {kind}, confidence double").json(path)

@@ -109,3 +109,14 @@ def test_fixed_places_are_those_of_printf(spark):
         found = [t for (t,) in frame.orderBy("i").select(X.fixed(F.col("x"), places)).collect()]
         assert found == [f"{x:.{places}f}" for x in numbers]
     assert spark.range(1).select(X.fixed(F.lit(None).cast("double"), 2)).first()[0] is None
+
+
+def test_measures_work_out_their_arguments_once(spark):
+    from lodestone.operators import answering
+
+    samples = spark.createDataFrame([("q", 0, "a b"), ("q", 1, "b c")], "query_id string, sample int, answer string")
+    marked = lambda t: F.array(F.length(F.concat(t, F.lit("MARK"))).cast("double"), F.lit(1.0))
+    pairs = answering.agreement_pairs(samples, semantic=X.cosine, features=marked)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MARK") == 1 and plan.count("array_intersect") == 1
+    assert pairs.select("lexical", "semantic", "combined").first() == (round(1 / 3, 6), 1.0, round(0.4 / 3 + 0.6, 6))
