@@ -487,6 +487,27 @@ def test_fuzzy_copies_find_a_source_in_large_groups(spark, rate, least):
     assert len({r.doc_id for r in passages.passages(docs).collect()}) >= least * 199
 
 
+def test_every_holder_of_every_seed_on_demand(spark):
+    """Substitutions in 15 % of the words: documents that share 45 words, 80 % of them equal, with a smaller one, by a plain search."""
+    r = random.Random(12)
+    passage = prose(4050, 60).split()
+    kept = np.array([[r.random() >= 0.15 for _ in passage] for _ in range(120)])
+    middle = lambda i: " ".join(w if k else f"other{i}x{n}" for n, (w, k) in enumerate(zip(passage, kept[i], strict=True)))
+    rows = [(i, f"{prose(25000 + i, 20)} {middle(i)} {prose(35000 + i, 20)}", "en", "a", 0) for i in range(120)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    did = {x.key: x.did for x in passages.named(docs, "doc_id", "text").collect()}
+
+    def alike(i, j):
+        sums = np.concatenate([[0], np.cumsum(kept[i] & kept[j])])
+        return any(sums[b] - sums[a] >= 0.8 * (b - a) for a in range(16) for b in range(a + 45, 61))
+
+    unsigned = lambda x: x % (1 << 64)
+    needed = {i for i in range(120) if any(unsigned(did[j]) < unsigned(did[i]) and alike(i, j) for j in range(120))}
+    capped = {x.doc_id for x in passages.passages(docs).collect()} & needed
+    whole = {x.doc_id for x in passages.passages(docs, one_in=1, sources=None).collect()} & needed
+    assert len(whole) >= 0.99 * len(needed) and len(whole) > len(capped)
+
+
 def test_passages_do_not_depend_on_the_layout(spark, tmp_path):
     passage = prose(4100, 60)
     rows = [(i, prose(21000 + i, 20) + " " + edited(passage, 0.05 * (i % 3), 900 + i) + " " + prose(31000 + i, 20), "en", "a", 0) for i in range(60)]
