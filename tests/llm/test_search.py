@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -548,3 +549,58 @@ def test_passages_against_brute_force(spark):
                     keepers[run] += 1  # one holder keeps it; a text that holds it twice may keep its own
                     lost += keepers[run] > 1
     assert exact and lost <= 0.03 * (exact + lost)
+
+
+def test_edits_in_bits_equal_those_row_by_row(monkeypatch):
+    r = np.random.default_rng(8)
+    pairs = []
+    for _ in range(300):
+        a = r.integers(0, r.integers(2, 60), r.integers(0, 90)).astype("<u2")
+        b = a[r.random(len(a)) > r.random() * 0.4]
+        at = r.integers(0, len(b) + 1)
+        pairs.append((a, np.concatenate([b[:at], r.integers(0, 30, r.integers(0, 60)).astype("<u2"), b[at:]])))
+    pairs = [(a, b) for a, b in pairs if len(a) != len(b)]
+    for band in (0, 1, 24):
+        rows = [passages.edits_by_rows(a, b, band) for a, b in pairs]
+        for columns, widest in ((1024, 4096), (7, 4096), (1024, 20)):
+            monkeypatch.setattr(passages, "COLUMNS", columns)
+            monkeypatch.setattr(passages, "WIDEST", widest)
+            assert [passages.edits(a, b, band) for a, b in pairs] == [passages.edits(b, a, band) for a, b in pairs] == rows
+
+
+def test_edits_cost_little_a_word():
+    """A fifth at most of the CPU time that a row of the band for each word takes."""
+    r = np.random.default_rng(9)
+    pairs = []
+    for size in [150] * 40 + [3000] * 2:
+        a = r.integers(0, 5000, size).astype("<u2")
+        pairs.append((a, np.delete(np.where(r.random(size) < 0.12, 7, a).astype("<u2"), size // 2)))
+    row_by_row = getattr(passages, "edits_by_rows", passages.edits)
+    took, found = [], []
+    for f in (row_by_row, passages.edits):
+        began = time.process_time()
+        found.append([f(a, b, 24) for a, b in pairs])
+        took.append(time.process_time() - began)
+    assert found[0] == found[1] and took[1] <= 0.2 * took[0]
+
+
+def test_spans_made_together_are_those_of_each_pair():
+    r = random.Random(10)
+    rows = set()
+    for did in range(40):
+        for src in range(r.randint(1, 5)):
+            shift, at = r.randint(0, 50), 0
+            for _ in range(r.choice([1, 1, 2, 3, 8])):
+                at += r.choice([1, 2, 30, 33, 34, 35, 200])
+                rows.add((did, src, at, at + shift if r.random() < 0.8 else r.randint(0, 300)))
+                if r.random() < 0.1:
+                    rows.add((did, src, at, at + shift + 5))
+    did, src, pos, src_pos = np.array(sorted(rows)).T
+    near = np.array([r.random() < 0.5 for _ in did])
+    group, *spans = passages.spanned(did, src, pos, src_pos, near, 4)
+    found = [(int(did[g]), int(src[g]), *map(int, s)) for g, *s in zip(group, *spans, strict=True)]
+    plain = []
+    for d, s in sorted({x[:2] for x in rows}):
+        of = (did == d) & (src == s)
+        plain += [(d, s, *span) for span in passages.chains(pos[of], src_pos[of], 4, near=near[of])]
+    assert found == plain and len(plain) > 60
