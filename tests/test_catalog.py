@@ -3,8 +3,10 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
+from lodestone.operators import dense
 from lodestone.plans import catalog, records_catalog  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,6 +38,17 @@ def test_query_equals_its_sql(spark, data, database, name):
         assert rows
 
 
+def test_label_precision_is_given_for_every_row(spark, tmp_path):
+    r = np.random.default_rng(4)
+    vectors, labels = dense.units(r.normal(size=(90, 6))).astype(np.float32), r.integers(0, 3, 90)
+    rows = [(i, v, label) for i, (v, label) in enumerate(zip(vectors.tolist(), labels.tolist(), strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {x.query_id: (x.precision_at_10, x.hit) for x in catalog.QUERIES["knn_label_precision"](spark, str(tmp_path)).collect()}
+    unit = dense.units(vectors.astype(float))
+    hits = labels[np.argsort(-(unit @ unit.T), axis=1)[:, 1:11]] == labels[:, None]
+    assert found == {i: (round(h.mean(), 6), float(h.any())) for i, h in enumerate(hits)}
+
+
 def test_library_stands_without_the_training_data_operators():
     code = "import sys; sys.modules['lodestone.llm'] = None\nimport pkgutil, importlib, lodestone\n[importlib.import_module(m.name) for m in pkgutil.walk_packages(lodestone.__path__, 'lodestone.') if '.llm' not in m.name]"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
