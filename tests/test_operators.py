@@ -174,6 +174,30 @@ def test_dense_search_in_tiles_keeps_ties_by_id(monkeypatch):
         assert found.to_pylist() == wanted and row.tolist() == [q for q in range(10) for _ in range(6)]
 
 
+def test_dense_search_tells_scores_apart_that_are_one_in_single_precision(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(dense, "TILE", 20)
+    r = np.random.default_rng(5)
+    points = dense.units(r.normal(size=(300, 8)))
+    points[::3] = dense.units(points[0] + 1e-4 * r.normal(size=(100, 8)))  # scores of these lie within some 1e-7
+    points[::50] = np.inf, *[0.0] * 7  # no number when its length is one
+    queries, ids = dense.units(np.concatenate([points[[3, 6, 7]], r.normal(size=(9, 8)), points[:1]])), r.permutation(300)
+    scores = np.nan_to_num(queries @ dense.units(points).T, nan=-2.0)
+    assert len(np.unique(scores[0, 3::3].astype(np.float32))) < len(np.unique(scores[0, 3::3]))
+    for k in (1, 6, 299):
+        for least in (-np.inf, 0.2):
+            best = dense.Nearest(queries, k, np.full(13, least))
+            for a, b in ((0, 130), (130, 131), (131, 300)):
+                best.add(pa.array(ids[a:b]), points[a:b])
+            row, found, score = best.found()
+            wanted = [(q, int(ids[i])) for q, s in enumerate(scores) for i in np.lexsort((ids, -np.round(s, 9)))[:k] if s[i] > least]
+            assert list(zip(row.tolist(), found.to_pylist(), strict=True)) == wanted
+            exact = scores[row, np.argsort(ids)[found.to_numpy()]]
+            assert np.allclose(score, np.where(exact < -1.5, np.nan, exact), rtol=0, atol=1e-14, equal_nan=True)
+
+
 def test_shards_do_not_multiply_with_small_blocks(spark):
     rows = spark.range(400).selectExpr("id AS vec_id", "array(sin(id), cos(id), sin(2 * id)) AS embedding")
     found = dense.knn_topk(rows, rows.withColumnRenamed("vec_id", "query_id"), 3, block=3)
